@@ -199,8 +199,7 @@ def nearest_root(files: DataFrame, roots: DataFrame, path: str = "path", root: s
     directory, so the files themselves are joined only once, on their directory.
     """
     placed = files.withColumn("_dir", P.parent_path(path))
-    depth = F.size(F.split("_dir", "/"))
-    ancestors = F.transform(F.sequence(F.lit(1), depth), lambda i: F.substring_index(F.col("_dir"), "/", i))
+    ancestors = F.expr("transform(sequence(1, size(split(_dir, '/'))), i -> substring_index(_dir, '/', i))")
     nearest = (
         placed.select("_dir").distinct()
         .select("_dir", F.explode(ancestors).alias(root))

@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64
+HOT_ROWS = 5_000_000
 
 
-def _slices(df: DataFrame, order: str, slices: int) -> list[float]:
-    """Approximate split points of a numeric column; an empty list means one slice."""
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the biggest key; the counts combine before they are shuffled."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
+def _split_points(df: DataFrame, order: str, slices: int) -> list[float]:
+    """Approximate quantiles of a numeric column."""
     probs = [i / slices for i in range(1, slices)]
     found = df.select(F.percentile_approx(F.col(order).cast("double"), probs, 10_000)).first()[0]
     return sorted(set(found or []))
@@ -27,14 +34,18 @@ def _slice_of(order: str, points: list[float]) -> Column:
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                  slices: int = SLICES) -> DataFrame:
+                  slices: int = SLICES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``out``: sum of ``value`` over rows of the same key up to and including this order.
 
-    ``order`` must be numeric and unique within a key. Rows are cut into slices of
-    the order, so a hot key is spread over ``slices`` tasks. Slice totals are at most
-    ``slices`` rows per key and combine before their shuffle.
+    ``order`` must be numeric and unique within a key. While every key is small a plain
+    window does it. When one is larger than ``hot_rows``, rows are cut into slices of the
+    order, so that key is spread over ``slices`` tasks; slice totals are at most ``slices``
+    rows per key and combine before their shuffle.
     """
-    sliced = df.withColumn("_slice", _slice_of(order, _slices(df, order, slices)))
+    if largest_group(df, keys) <= hot_rows:
+        so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(so_far))
+    sliced = df.withColumn("_slice", _slice_of(order, _split_points(df, order, slices)))
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
@@ -47,6 +58,8 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
     )
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, out: str, slices: int = SLICES) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: str, out: str,
+                slices: int = SLICES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``out``: 1-based position of a row within its key; ``order`` must be unique there."""
-    return running_total(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, "_one", out, slices).drop("_one")
+    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return running_total(ones, keys, order, "_one", out, slices, hot_rows).drop("_one")

@@ -1,4 +1,10 @@
 """Loads every query module so that the registry is complete."""
 
-from fairlake.plans import manifest_queries, path_queries  # noqa: F401
+from fairlake.plans import (  # noqa: F401
+    history_queries,
+    listing_queries,
+    manifest_queries,
+    oplog_queries,
+    path_queries,
+)
 from fairlake.plans.registry import ORACLES, QUERIES  # noqa: F401

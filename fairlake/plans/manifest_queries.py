@@ -198,11 +198,11 @@ def unique_names(spark, d):
 
 @query("a09_ingest_uploads", _ALLOCATED + """SELECT dataset_id, stored_name AS file_name, 'uploaded_file' AS role, '.metadata/' || stored_name AS file_path,
   url AS file_description, 'html' AS file_extension, size_bytes AS file_size_bytes, '2024-03-01' AS file_created_utc FROM named
-UNION ALL SELECT dataset_id, file_name, 'raw_data', file_name, NULL, 'html', NULL, NULL FROM taken""")
+UNION ALL SELECT dataset_id, file_name, 'raw_data', file_name, NULL, 'html', 0, NULL FROM taken""")
 def ingest_uploads(spark, d):
     up, taken = _uploads(spark, d)
     manifest = taken.select("dataset_id", "file_name", F.lit("raw_data").alias("role"), F.col("file_name").alias("file_path"),
-                            F.lit("html").alias("file_extension"))
+                            F.lit("html").alias("file_extension"), F.lit(0).cast("bigint").alias("file_size_bytes"))
     up = up.withColumn("comment", F.col("url")).withColumn("uploaded_at", F.lit("2024-03-01"))
     return M.ingest_uploads(up, manifest, taken).select(
         "dataset_id", "file_name", "role", "file_path", "file_description", "file_extension", "file_size_bytes", "file_created_utc")

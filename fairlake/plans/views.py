@@ -231,7 +231,7 @@ FROM @events"""
 VIEWS["names"] = "SELECT page_id, url, html FROM @pages"
 
 VIEWS["history"] = """
-SELECT conv_id, 'rec_' || conv_id AS record_key, turn AS version, md5(text) AS content_hash, role AS author,
+SELECT conv_id, 'rec_' || conv_id AS record_key, turn AS version, 1700000000 + turn * 3600 + conv_id AS commit_ts, md5(text) AS content_hash, role AS author,
   '{"title":"' || md5(text) || '","role":"' || role || '","n":' || length(text) ||
     CASE WHEN turn % 3 = 0 THEN ',"note":"To be filled"' WHEN turn % 3 = 1 THEN ',"note":""' ELSE '' END || '}' AS raw
 FROM @conversations"""
