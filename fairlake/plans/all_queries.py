@@ -6,5 +6,6 @@ from fairlake.plans import (  # noqa: F401
     manifest_queries,
     oplog_queries,
     path_queries,
+    validation_queries,
 )
 from fairlake.plans.registry import ORACLES, QUERIES  # noqa: F401

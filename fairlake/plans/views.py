@@ -235,3 +235,17 @@ SELECT conv_id, 'rec_' || conv_id AS record_key, turn AS version, 1700000000 + t
   '{"title":"' || md5(text) || '","role":"' || role || '","n":' || length(text) ||
     CASE WHEN turn % 3 = 0 THEN ',"note":"To be filled"' WHEN turn % 3 = 1 THEN ',"note":""' ELSE '' END || '}' AS raw
 FROM @conversations"""
+
+VIEWS["schema_layers"] = """
+SELECT doc_id, 'r' || CAST(floor(doc_id / 20) AS BIGINT) AS data_root,
+  CASE doc_id % 5 WHEN 0 THEN 'project_descriptive' WHEN 1 THEN 'dataset_structural_schema' WHEN 2 THEN 'contextual/imaging'
+    WHEN 3 THEN 'contextual/assay' ELSE 'experiment_contextual_schema' END AS schema_id,
+  CASE lang WHEN 'en' THEN 'packaged' WHEN 'fr' THEN 'local' WHEN 'de' THEN 'custom' ELSE 'explicit' END AS source,
+  CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 0 END AS priority,
+  CASE WHEN doc_id % 4 <> 1 THEN 'Schema ' || doc_id END AS title, md5(text) AS description,
+  '{"type":"object","required":["project_identifier","cell"],"properties":{"project_identifier":{"type":"string"},' ||
+  '"dataset_identifier":{"type":"string","readOnly":true},"experiment_template_type":{"const":"' || lang || '"},' ||
+  '"my_field__name":{"type":"string","description":"' || md5(text) || '"},"n":{"type":"integer","title":"Number","minimum":' || n_chars || '},' ||
+  '"box":{"type":"object","required":["w"],"properties":{"w":{"type":"number"},"cell":{"type":"string"}}},' ||
+  '"rows":{"type":"array","minItems":1,"items":{"type":"object","properties":{"cell":{"type":"string","title":"C' || doc_id || '"}}}}}}' AS body
+FROM @documents"""
