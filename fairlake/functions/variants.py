@@ -48,17 +48,15 @@ def items(body) -> Column:
     return F.try_variant_get(_col(body), "$", "array<variant>")
 
 
+_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
 def kind(value) -> Column:
     """JSON kind: object, array, string, number, boolean or null; NULL when absent."""
-    s = F.schema_of_variant(_col(value))
-    return (
-        F.when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "VOID", "null")
-        .when(s.isNotNull(), "number")
-    )
+    v = _col(value)
+    names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    head = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.coalesce(F.try_element_at(names, head), F.when(v.isNotNull(), "number"))
 
 
 def is_container(value) -> Column:

@@ -30,10 +30,12 @@ def packaged_registry(spark: SparkSession) -> DataFrame:
     """The built-in schemas as a registry with one layer."""
     rows = [(S.SCHEMA_FILES[k], k, S.BY_TYPE["project_descriptive" if k == "project" else k]) for k in S.SCHEMA_FILES]
     rows += [(f"contextual/{k}", k, v) for k, v in S.BY_TEMPLATE.items()]
-    data = [("", sid, "packaged", LAYERS.index("packaged"), kind.replace("_", " ").title(), None, json.dumps(body))
-            for sid, kind, body in rows]
-    return spark.createDataFrame(
-        data, "data_root STRING, schema_id STRING, source STRING, priority INT, title STRING, description STRING, body STRING")
+    values, args = [], {}
+    for i, (sid, kind, body) in enumerate(rows):
+        args |= {f"s{i}": sid, f"t{i}": kind.replace("_", " ").title(), f"b{i}": json.dumps(body)}
+        values.append(f"('', :s{i}, 'packaged', {LAYERS.index('packaged')}, :t{i}, CAST(NULL AS STRING), :b{i})")
+    names = "data_root, schema_id, source, priority, title, description, body"
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS r({names})", args)
 
 
 def resolve_schemas(registry: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -100,27 +102,31 @@ def schema_fields(registry: DataFrame, depth: int = DEPTH, whole: bool = True) -
     with the empty path is the schema itself.
     """
     keys = ["data_root", "schema_id"]
-    level = registry.select(
-        *keys, F.lit("").alias("rule_path"), F.lit("").alias("name"), F.lit(False).alias("required"),
-        V.parse_strict("body").alias("node")).where("node IS NOT NULL")
-    fields = level
-    for at in range(depth + whole):
-        prefix = F.when(F.col("rule_path") == "", "").otherwise(F.concat("rule_path", F.lit(".")))
-        parent_required = F.coalesce(_texts(V.field("node", "required")), F.array().cast("array<string>"))
-        children = F.concat(
-            F.coalesce(F.transform(F.map_entries(V.members(V.field("node", "properties"))), lambda e: F.struct(
-                F.concat(prefix, e["key"]).alias("rule_path"), e["key"].alias("name"),
-                F.array_contains(parent_required, e["key"]).alias("required"), e["value"].alias("node"))),
-                F.array().cast("array<struct<rule_path:string,name:string,required:boolean,node:variant>>")),
-            F.when(V.field("node", "items").isNotNull(), F.array(F.struct(
-                F.concat(prefix, F.lit("[]")).alias("rule_path"), F.lit("[]").alias("name"),
-                F.lit(False).alias("required"), V.field("node", "items").alias("node")))).otherwise(
-                F.array().cast("array<struct<rule_path:string,name:string,required:boolean,node:variant>>")))
-        level = level.select(*keys, F.explode(children).alias("_c")).select(*keys, "_c.*")
-        if at == depth:
-            level = level.withColumn("rule_path", F.raise_error(F.concat(
-                F.lit("schema nests too deep: "), "schema_id")).cast("string"))
-        fields = fields.unionByName(level)
+    none = F.array().cast("array<struct<rule_path:string,name:string,required:boolean,node:variant>>")
+
+    def child(path: Column, name: Column, required: Column, node: Column) -> Column:
+        return F.struct(path.alias("rule_path"), name.alias("name"), required.alias("required"), node.alias("node"))
+
+    def below(n: Column) -> Column:
+        prefix = F.when(n["rule_path"] == "", "").otherwise(F.concat(n["rule_path"], F.lit(".")))
+        needed = F.coalesce(_texts(V.field(n["node"], "required")), F.array().cast("array<string>"))
+        members = F.transform(F.map_entries(V.members(V.field(n["node"], "properties"))), lambda e: child(
+            F.concat(prefix, e["key"]), e["key"], F.array_contains(needed, e["key"]), e["value"]))
+        items = F.filter(F.array(child(F.concat(prefix, F.lit("[]")), F.lit("[]"), F.lit(False), V.field(n["node"], "items"))),
+                         lambda c: c["node"].isNotNull())
+        return F.concat(F.coalesce(members, none), items)
+
+    root = child(F.lit(""), F.lit(""), F.lit(False), F.col("_schema"))
+    df = registry.select(*keys, V.parse_strict("body").alias("_schema")).where("_schema IS NOT NULL").select(
+        *keys, F.array(root).alias("_level0"))
+    for i in range(depth + whole):
+        df = df.withColumn(f"_level{i + 1}", F.flatten(F.transform(f"_level{i}", below)))
+    levels = F.concat(*[f"_level{i}" for i in range(depth + 1)])
+    if whole:
+        too_deep = F.raise_error(F.concat(F.lit("schema nests too deep: "), "schema_id")).cast("string")
+        levels = F.when(F.size(f"_level{depth + 1}") == 0, levels).otherwise(F.array(child(
+            too_deep, too_deep, F.lit(False), F.lit(None).cast("variant"))))
+    fields = df.select(*keys, F.explode(levels).alias("_n")).select(*keys, "_n.*")
 
     def number(name: str) -> Column:
         return F.try_variant_get("node", f"$.{name}", "double")

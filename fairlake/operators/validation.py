@@ -23,7 +23,7 @@ FORM_FORMATS = {
     "email": r"^(?!\.)(?!.*\.\.)[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$",
 }
 
-_NODE = "array<struct<path:string,rule_path:string,kind:string,value:variant>>"
+_NODE = "array<struct<path:string,rule_path:string,kind:string,names:array<string>,value:variant>>"
 _NAMES = "array<string>"
 
 
@@ -32,7 +32,8 @@ def _empty(kind: str) -> Column:
 
 
 def _node(path: Column, rule_path: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), rule_path.alias("rule_path"), V.kind(value).alias("kind"), value.alias("value"))
+    return F.struct(path.alias("path"), rule_path.alias("rule_path"), V.kind(value).alias("kind"),
+                    F.map_keys(V.members(value)).alias("names"), value.alias("value"))
 
 
 def _dot(prefix: Column, part: Column) -> Column:
@@ -58,12 +59,11 @@ def _checks(n: Column, r: Column, rules: tuple[str, ...], form: bool) -> Column:
     typed = F.when(r["type"] == "integer", F.coalesce(number == F.floor(number), F.lit(False))).otherwise(kind == r["type"])
     listed = F.array_contains(r["enum"], F.to_json(value))
     size = F.size(V.items(value))
-    members = V.members(value)
-    have = F.map_keys(members)
+    have = n["names"]
     bad = {
         "type": [(~typed, "has the wrong type")],
         "enum": [(~listed & typed if form else ~listed, "is not one of the listed values")],
-        "const": [(F.to_json(value) != r["const"], "differs from the fixed value")],
+        "const": [(r["const"] != F.to_json(value), "differs from the fixed value")],
         "pattern": [(~F.rlike(text, r["pattern"]), "does not match the pattern")],
         "range": [(number < r["minimum"], "is below the minimum"), (number > r["maximum"], "is above the maximum")],
         "items": [(size < r["min_items"], "has too few items"), (size > r["max_items"], "has too many items")],
@@ -89,7 +89,7 @@ def _checks(n: Column, r: Column, rules: tuple[str, ...], form: bool) -> Column:
     if "conditional" in rules:
         def applies(c: Column) -> Column:
             return F.forall(c["tests"], lambda t: ~F.array_contains(have, t["field"]) | F.coalesce(
-                F.array_contains(t["allowed"], F.to_json(F.try_element_at(members, t["field"]))), F.lit(False)))
+                F.array_contains(t["allowed"], F.to_json(F.try_element_at(V.members(value), t["field"]))), F.lit(False)))
 
         active = F.filter(F.when(kind == "object", r["conditions"]), applies)
         lacking = F.flatten(F.transform(active, lambda c: F.array_except(c["required"], have)))

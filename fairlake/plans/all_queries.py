@@ -6,6 +6,7 @@ from fairlake.plans import (  # noqa: F401
     manifest_queries,
     oplog_queries,
     path_queries,
+    record_queries,
     validation_queries,
 )
 from fairlake.plans.registry import ORACLES, QUERIES  # noqa: F401

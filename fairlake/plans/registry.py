@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairlake.plans.views import VIEWS
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_TABLE = re.compile(r"@(" + "|".join(TABLES) + r")\b")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,12 +28,12 @@ def _inline_views(sql: str) -> str:
 
 
 def spark_text(sql: str, sf_dir: str) -> str:
-    sql = re.sub(r"@([a-z]+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", _inline_views(sql))
+    sql = _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", _inline_views(sql))
     return sql.replace("OCTETS(", "octet_length(")
 
 
 def oracle_text(sql: str) -> str:
-    return re.sub(r"@([a-z]+)", r"\1", _inline_views(sql)).replace("OCTETS(", "strlen(")
+    return _TABLE.sub(r"\1", _inline_views(sql)).replace("OCTETS(", "strlen(")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

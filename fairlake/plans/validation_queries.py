@@ -204,9 +204,10 @@ done AS (SELECT record_key, field, CASE WHEN want IS NULL THEN p
   WHEN want = 'array' THEN CASE WHEN p <> '[]' THEN replace(replace(replace(p, '["","C"', '["C"'), '["a",""]', '["a"]'), '["a"," "]', '["a"]') END
   WHEN want = 'object' AND t = 'OBJECT' THEN CASE WHEN p <> '{{}}' THEN replace(p, '{_QC}', '{{"fastqc_passed":true,"adapter_trimming":false}}') END
   ELSE p END AS w FROM top)
-SELECT record_key, field, array_to_string(list_sort(string_split(w, '')), '') AS value FROM done WHERE w IS NOT NULL""")
+SELECT record_key, array_to_string(list_sort(string_split('{{' || string_agg('"' || field || '":' || w, ',') || '}}', '')), '') AS body
+FROM done WHERE w IS NOT NULL GROUP BY record_key""")
 def normalize(spark, d):
-    return _member_rows(V.normalize(_records(spark, d)))
+    return V.normalize(_records(spark, d)).select("record_key", _letters(F.to_json("body")).alias("body"))
 
 
 @query("f17_clean_enums", _NODES + f"""
