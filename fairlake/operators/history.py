@@ -107,11 +107,12 @@ def field_diff(pairs: DataFrame, required: list[str] | None = None, system: list
 
     ``errors`` names an array<string> column with the fields that have an error.
     """
-    old, new = V.members("old_body"), V.members("new_body")
+    old, new = F.col("_old"), F.col("_new")
     none = F.array().cast("array<string>")
     names = F.array_union(F.coalesce(F.map_keys(old), none), F.coalesce(F.map_keys(new), none))
-    fields = pairs.select(*keys, *([errors] if errors else []), old.alias("_old"), new.alias("_new"),
-                          F.explode(names).alias("field"))
+    # The maps are built below the explode, once per pair and not once per field.
+    maps = pairs.select(*keys, *([errors] if errors else []), V.members("old_body").alias("_old"), V.members("new_body").alias("_new"))
+    fields = maps.select("*", F.explode(names).alias("field"))
     before, after = F.try_element_at("_old", F.col("field")), F.try_element_at("_new", F.col("field"))
     complete = V.form_complete(after, trim=True)
     has_error = F.array_contains(errors, F.col("field")) if errors else F.lit(False)

@@ -22,8 +22,8 @@ def completion_gate(contextual: DataFrame, registry: DataFrame | None = None) ->
     matched = _rules(contextual, registry)
     ignored = F.array(*[F.lit(f) for f in C.GATE_IGNORED_FIELDS])
     gated = F.array_except(F.coalesce(F.col("rules")[""]["required"], F.array().cast("array<string>")), ignored)
-    members = V.members("body")
-    complete = F.forall(gated, lambda f: F.coalesce(V.passes_gate(F.try_element_at(members, f)), F.lit(False)))
+    passing = F.map_keys(F.map_filter(V.members("body"), lambda _, v: V.passes_gate(v)))
+    complete = F.size(F.array_except(gated, passing)) == 0
     return matched.withColumn("complete", F.coalesce(complete, F.lit(False))).withColumn(
         "experiment_id", F.when(F.col("complete"), V.text("body", "experiment_identifier_run_id"))).drop("rules")
 
@@ -123,28 +123,21 @@ def section_progress(records: DataFrame, registry: DataFrame | None = None, erro
     A field belongs to each section whose words occur in its name. Row-local but for the
     lookup of the schema. ``errors`` names an array<string> column of fields with errors.
     """
-    names = F.filter(F.map_keys("rules"), lambda k: ~k.isin("", "[]"))
-    needed = F.coalesce(F.col("rules")[""]["required"], F.array().cast("array<string>"))
-    members = V.members("body")
-    wrong = F.col(errors) if errors else F.array().cast("array<string>")
-    fields = F.transform(names, lambda n: F.struct(
-        n.alias("name"), F.array_contains(needed, n).alias("required"),
-        V.form_complete(F.try_element_at(members, n)).alias("completed"), F.array_contains(wrong, n).alias("error")))
-    df = _rules(records, registry).where("rules IS NOT NULL").withColumn("_fields", fields)
-
-    def section(s: Column) -> Column:
-        return F.struct(s["id"].alias("section"), F.filter("_fields", lambda f: F.exists(
-            s["words"], lambda w: F.contains(f["name"], w)) | F.array_contains(s["names"], f["name"])).alias("fields"))
-
-    rows = df.select(*keys, F.explode(F.transform(_sections(), section)).alias("_s")).select(*keys, "_s.*")
-
-    def n(test) -> Column:
-        return F.size(F.filter("fields", test))
-
-    counted = rows.where(F.size("fields") > 0).select(
-        *keys, "section", F.size("fields").alias("fields"), n(lambda f: f["completed"]).alias("completed"),
-        n(lambda f: f["required"]).alias("required"), n(lambda f: f["required"] & f["completed"]).alias("required_completed"),
-        n(lambda f: f["error"]).alias("errors"))
+    none = F.array().cast("array<string>")
+    df = _rules(records, registry).where("rules IS NOT NULL").select(
+        *keys, *([] if "metadata_type" in keys else ["metadata_type"]),
+        F.filter(F.map_keys("rules"), lambda k: ~k.isin("", "[]")).alias("_names"),
+        F.coalesce(F.col("rules")[""]["required"], none).alias("_needed"),
+        F.map_keys(F.map_filter(V.members("body"), lambda _, v: V.form_complete(v))).alias("_done"),
+        (F.col(errors) if errors else none).alias("_wrong"))
+    rows = df.select("*", F.explode(_sections()).alias("_s")).withColumn(
+        "_in", F.filter("_names", lambda n: F.exists(F.col("_s.words"), lambda w: F.contains(n, w)) | F.array_contains("_s.names", n)))
+    needed = F.array_intersect("_in", "_needed")
+    counted = rows.where(F.size("_in") > 0).select(
+        *keys, F.col("_s.id").alias("section"), F.size("_in").alias("fields"),
+        F.size(F.array_intersect("_in", "_done")).alias("completed"), F.size(needed).alias("required"),
+        F.size(F.array_intersect(needed, F.col("_done"))).alias("required_completed"),
+        F.size(F.array_intersect("_in", "_wrong")).alias("errors"))
     return counted.select("*", *_percentages(), section_state().alias("state"))
 
 

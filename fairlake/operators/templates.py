@@ -50,8 +50,8 @@ def default_records(registry: DataFrame) -> DataFrame:
 
 def fill(defaults: Column, auto: Column) -> Column:
     """Default record with automatic values; fields that the schema lacks are left out."""
-    return F.to_variant_object(F.transform_values(
-        V.members(defaults), lambda name, value: F.coalesce(F.try_element_at(auto, name), value)))
+    both = F.map_zip_with(V.members(defaults), auto, lambda _, value, new: F.when(value.isNotNull(), F.coalesce(new, value)))
+    return F.to_variant_object(F.map_filter(both, lambda _, v: v.isNotNull()))
 
 
 def _auto(values: dict[str, Column | str]) -> Column:
@@ -128,10 +128,7 @@ def init_datasets(datasets: DataFrame, run_ts: str, registry: DataFrame | None =
 
 def inherit_defaults(records: DataFrame, admin: str = "admin") -> DataFrame:
     """Lays a project's defaults over administrative dataset records, where the record has the field."""
-    given = inherited(F.col(admin))
-    body = F.to_variant_object(F.transform_values(
-        V.members("body"), lambda k, v: F.coalesce(F.try_element_at(given, k), v)))
-    return records.withColumn("body", body)
+    return records.withColumn("body", fill(F.col("body"), inherited(F.col(admin))))
 
 
 def init_contextual(datasets: DataFrame, run_ts: str, registry: DataFrame | None = None) -> DataFrame:

@@ -23,7 +23,6 @@ FORM_FORMATS = {
     "email": r"^(?!\.)(?!.*\.\.)[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$",
 }
 
-_NODE = "array<struct<path:string,rule_path:string,kind:string,names:array<string>,value:variant>>"
 _NAMES = "array<string>"
 
 
@@ -33,7 +32,8 @@ def _empty(kind: str) -> Column:
 
 def _node(path: Column, rule_path: Column, value: Column) -> Column:
     return F.struct(path.alias("path"), rule_path.alias("rule_path"), V.kind(value).alias("kind"),
-                    F.map_keys(V.members(value)).alias("names"), value.alias("value"))
+                    F.map_keys(V.members(value)).alias("names"), value.alias("value"),
+                    F.try_element_at("rules", rule_path).alias("rule"))
 
 
 def _dot(prefix: Column, part: Column) -> Column:
@@ -46,7 +46,7 @@ def _children(level: Column) -> Column:
             _dot(n["path"], e["key"]), _dot(n["rule_path"], e["key"]), e["value"]))
         items = F.transform(V.items(n["value"]), lambda x, i: _node(
             _dot(n["path"], i.cast("string")), _dot(n["rule_path"], F.lit("[]")), x))
-        return F.coalesce(members, items, _empty(_NODE))
+        return F.coalesce(members, items, F.filter(F.array(n), lambda _: F.lit(False)))
 
     return F.flatten(F.transform(level, below))
 
@@ -105,13 +105,13 @@ def violations(records: DataFrame, rules: tuple[str, ...] = RECORD_RULES, depth:
     # The marker column keeps every level in a projection of its own, so no level is computed twice.
     df = records.withColumn("_level0", F.array(_node(F.lit(""), F.lit(""), F.col("body"))))
     for i in range(depth):
-        known = F.filter(_children(F.col(f"_level{i}")), lambda n: F.map_contains_key("rules", n["rule_path"]))
+        known = F.filter(_children(F.col(f"_level{i}")), lambda n: n["rule"].isNotNull())
         df = df.withColumn(f"_level{i + 1}", known)
     levels = [f"_level{i}" for i in range(depth + 1)]
     df = df.withColumn("_nodes", F.concat(*levels)).drop(*levels)
 
     def of_node(n: Column) -> Column:
-        found = F.array_compact(_checks(n, F.try_element_at("rules", n["rule_path"]), rules, form))
+        found = F.array_compact(_checks(n, n["rule"], rules, form))
         return F.transform(found, lambda c: F.struct(
             F.when(c["member"].isNull(), n["path"]).otherwise(_dot(n["path"], c["member"])).alias("field_path"),
             c["rule"].alias("rule"), c["message"].alias("message")))
@@ -172,26 +172,29 @@ def _normal_object(value: Column, at: Column, depth: int) -> Column:
     """New object VARIANT with the members at rule path ``at`` rewritten."""
     required = F.coalesce(F.try_element_at("rules", at)["required"], _empty(_NAMES))
 
-    def entry(e: Column) -> Column:
+    def with_rule(e: Column) -> Column:
         path = _dot(at, e["key"])
-        new = _normal_value(e["value"], path, F.array_contains(required, e["key"]), depth)
-        known = F.map_contains_key("rules", path)
-        return F.struct(e["key"].alias("key"), F.when(known, new).otherwise(e["value"]).alias("value"))
+        return F.struct(e["key"].alias("key"), e["value"].alias("value"), path.alias("path"),
+                        V.kind(e["value"]).alias("kind"), F.try_element_at("rules", path).alias("rule"))
+
+    def entry(e: Column) -> Column:
+        new = _normal_value(e, F.array_contains(required, e["key"]), depth)
+        return F.struct(e["key"].alias("key"), F.when(e["rule"].isNotNull(), new).otherwise(e["value"]).alias("value"))
 
-    entries = F.transform(F.map_entries(V.members(value)), entry)
+    entries = F.transform(F.transform(F.map_entries(V.members(value)), with_rule), entry)
     return F.to_variant_object(F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
 
 
-def _normal_value(value: Column, path: Column, required: Column, depth: int) -> Column:
+def _normal_value(entry: Column, required: Column, depth: int) -> Column:
     """New VARIANT of a member, or NULL where the member is dropped."""
-    wanted = F.try_element_at("rules", path)["type"]
-    kind, text = V.kind(value), value.cast("string")
+    value, path, kind = entry["value"], entry["path"], entry["kind"]
+    wanted, text = entry["rule"]["type"], value.cast("string")
     drop = F.lit(None).cast("variant")
     empty = (kind == "string") & (text == "")
     lowered = F.lower(text)
     single = F.when(~_blank(value), F.array(value).cast("variant"))
     items = _normal_items(V.items(value), _dot(path, F.lit("[]")), depth)
-    shaped = F.try_element_at("rules", path)["has_properties"]
+    shaped = entry["rule"]["has_properties"]
     child = F.when(shaped & (kind == "object"), _normal_object(value, path, depth - 1)).otherwise(value) if depth else value
     return (
         F.when(wanted.isNull(), value)

@@ -7,6 +7,7 @@ from fairlake.plans import (  # noqa: F401
     oplog_queries,
     path_queries,
     record_queries,
+    stream_queries,
     validation_queries,
 )
 from fairlake.plans.registry import ORACLES, QUERIES  # noqa: F401

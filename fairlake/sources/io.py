@@ -52,7 +52,15 @@ def load_records(spark: SparkSession, root: str) -> DataFrame:
         F.when(is_dataset, owner).alias("dataset_key"), "raw", "body", "readable")
 
 
-def load_schema_registry(spark: SparkSession, roots: dict[str, tuple[str, int]], data_root: str | None = None) -> DataFrame:
+def parse_schemas(texts: DataFrame) -> DataFrame:
+    """Adds title and description to schema texts in ``body``; unreadable ones are skipped."""
+    return (
+        texts.withColumn("_s", V.parse_strict("body")).where(F.col("_s").isNotNull())
+        .withColumn("title", V.text("_s", "title")).withColumn("description", V.text("_s", "description")).drop("_s")
+    )
+
+
+def load_schema_registry(spark: SparkSession, roots: dict[str, tuple[str, int]], data_root: str = "") -> DataFrame:
     """Schemas below several folders: ``{source: (folder, priority)}``, bad files skipped."""
     layers = None
     for source, (folder, priority) in roots.items():
@@ -60,12 +68,10 @@ def load_schema_registry(spark: SparkSession, roots: dict[str, tuple[str, int]],
             spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
             .select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("_path"))
         )
-        schema = V.parse_strict("body")
-        layer = texts.withColumn("_s", schema).where(F.col("_s").isNotNull()).select(
-            F.lit(data_root).cast("string").alias("data_root"),
-            F.regexp_replace(P.base_name("_path"), r"\.json$", "").alias("schema_id"),
-            F.lit(source).alias("source"), F.lit(priority).alias("priority"),
-            V.text("_s", "title").alias("title"), V.text("_s", "description").alias("description"), "body")
+        inside = F.regexp_extract("_path", r"((contextual/)?[^/]+)\.json$", 1)
+        layer = parse_schemas(texts).select(
+            F.lit(data_root).cast("string").alias("data_root"), inside.alias("schema_id"), F.lit(source).alias("source"),
+            F.lit(priority).alias("priority"), "title", "description", "body")
         layers = layer if layers is None else layers.unionByName(layer)
     return layers
 
