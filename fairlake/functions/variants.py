@@ -48,25 +48,34 @@ def items(body) -> Column:
     return F.try_variant_get(_col(body), "$", "array<variant>")
 
 
-_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+_KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+
+
+def kind_of_json(text: Column) -> Column:
+    """Kind of a JSON text, told by its first character."""
+    names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, F.left(text, F.lit(1))), F.when(text.isNotNull(), "number"))
 
 
 def kind(value) -> Column:
     """JSON kind: object, array, string, number, boolean or null; NULL when absent."""
-    v = _col(value)
-    names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
-    head = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    return F.coalesce(F.try_element_at(names, head), F.when(v.isNotNull(), "number"))
+    return kind_of_json(F.to_json(_col(value)))
+
+
+def is_container_json(text: Column) -> Column:
+    return F.left(text, F.lit(1)).isin("{", "[")
 
 
 def is_container(value) -> Column:
-    s = F.schema_of_variant(_col(value))
-    return s.startswith("OBJECT") | s.startswith("ARRAY")
+    return is_container_json(F.to_json(_col(value)))
 
 
 def scores_as_filled(value) -> Column:
     """Score rule for scalars: truthy and not the placeholder."""
-    j = F.to_json(_col(value))
+    return json_scores_as_filled(F.to_json(_col(value)))
+
+
+def json_scores_as_filled(j: Column) -> Column:
     empty = j.isin("null", "false", '""', f'"{PLACEHOLDER}"') | j.rlike(r"^-?0(\.0*)?([eE].*)?$")
     return F.coalesce(~empty, F.lit(False))
 

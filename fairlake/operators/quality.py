@@ -9,7 +9,7 @@ from fairlake import constants as C
 from fairlake.functions import variants as V
 from fairlake.operators.registry import dispatch, packaged_registry, schema_rules
 
-DEPTH = 8
+DEPTH = 6
 
 
 def _rules(records: DataFrame, registry: DataFrame | None) -> DataFrame:
@@ -34,26 +34,29 @@ def completeness(records: DataFrame, body: str = "body", depth: int = DEPTH) ->
     Each object member counts; of array items only scalars do. A scalar is filled when it is
     truthy and not the placeholder. Fails on records nested deeper than ``depth``.
     """
+    def child(value: Column, item: bool) -> Column:
+        return F.struct(value.alias("value"), F.to_json(value).alias("json"), F.lit(item).alias("item"))
+
+    def inside(n: Column) -> Column:
+        return V.is_container_json(n["json"])
+
     df = records.withColumn("_open0", F.array(F.col(body)))
     totals, filled = [], []
     for i in range(depth):
-        members = F.flatten(F.filter(F.transform(
-            f"_open{i}", lambda v: F.map_values(V.members(v))), lambda x: x.isNotNull()))
-        items = F.flatten(F.filter(F.transform(f"_open{i}", lambda v: V.items(v)), lambda x: x.isNotNull()))
-        df = df.withColumn("_members", members).withColumn("_items", items)
-        df = df.withColumn("_scalars", F.filter("_items", lambda v: ~V.is_container(v)))
-        df = (
-            df.withColumn(f"_total{i}", F.size("_members") + F.size("_scalars"))
-            .withColumn(f"_filled{i}", F.size(F.filter(F.concat("_members", "_scalars"), lambda v: ~V.is_container(v) & V.scores_as_filled(v))))
-            .withColumn(f"_open{i + 1}", F.filter(F.concat("_members", "_items"), lambda v: V.is_container(v)))
-            .drop("_members", "_items", "_scalars", f"_open{i}")
-        )
+        members = F.flatten(F.filter(F.transform(f"_open{i}", lambda v: F.transform(
+            F.map_values(V.members(v)), lambda x: child(x, False))), lambda x: x.isNotNull()))
+        items = F.flatten(F.filter(F.transform(f"_open{i}", lambda v: F.transform(
+            V.items(v), lambda x: child(x, True))), lambda x: x.isNotNull()))
+        df = df.withColumn("_nodes", F.concat(members, items))
+        df = df.withColumns({
+            f"_total{i}": F.size(F.filter("_nodes", lambda n: ~(n["item"] & inside(n)))),
+            f"_filled{i}": F.size(F.filter("_nodes", lambda n: ~inside(n) & V.json_scores_as_filled(n["json"]))),
+            f"_open{i + 1}": F.transform(F.filter("_nodes", inside), lambda n: n["value"])}).drop("_nodes", f"_open{i}")
         totals.append(F.col(f"_total{i}"))
         filled.append(F.col(f"_filled{i}"))
     too_deep = F.raise_error(F.lit("record nests too deep to be scored")).cast("int")
     total = F.when(F.size(f"_open{depth}") == 0, sum(totals[1:], totals[0])).otherwise(too_deep)
-    return df.withColumn("total_fields", total).withColumn("filled_fields", sum(filled[1:], filled[0])).drop(
-        *[f"_total{i}" for i in range(depth)], *[f"_filled{i}" for i in range(depth)], f"_open{depth}")
+    return df.select(*records.columns, total.alias("total_fields"), sum(filled[1:], filled[0]).alias("filled_fields"))
 
 
 def completeness_score() -> Column:
