@@ -36,12 +36,13 @@ def parse_records(raw: DataFrame, source: str = "raw") -> DataFrame:
 
 
 def load_records(spark: SparkSession, root: str) -> DataFrame:
-    """All JSON records in ``.metadata`` folders below ``root``, one row each."""
-    texts = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-        .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
-        .where(F.col("source_path").contains(f"/{C.METADATA_DIR}/"))
-    )
+    """All JSON records in the ``.metadata`` folders of projects and datasets below ``root``, one row each.
+
+    The folders are named in the path: Spark does not list hidden folders by itself.
+    """
+    folders = f"{root.rstrip('/')}/{{*,*/*}}/{C.METADATA_DIR}"
+    texts = spark.read.option("pathGlobFilter", "*.json").text(folders, wholetext=True).select(
+        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
     parts = F.split("source_path", "/")
     owner = F.get(parts, F.size(parts) - 3)
     above = F.get(parts, F.size(parts) - 4)
