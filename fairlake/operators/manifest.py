@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairlake import constants as C
 from fairlake.functions import paths as P
 from fairlake.operators.ranking import rank_within, running_total
+from fairlake.session import ensure_checkpoint_dir
 
 # Manifest columns in their documented order.
 MANIFEST_FIELDS = [
@@ -145,6 +146,7 @@ def dedupe_names(uploads: DataFrame, existing: DataFrame, order: str = "seq",
     the later ones of that name's root are computed again against the settled names.
     Every round settles at least the first open upload of each root, so it ends.
     """
+    ensure_checkpoint_dir(uploads.sparkSession)
     stem, ext = _split_name(F.col("file_name"))
     columns = uploads.columns
     pending = uploads.withColumn("_stem", stem).withColumn("_ext", ext)

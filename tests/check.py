@@ -17,7 +17,7 @@ if __name__ == "__main__":
         i = args.index("--sf")
         sf = args[i + 1]
         del args[i:i + 2]
-    spark = local_session("8")
+    spark = local_session("8", int(__import__("os").environ.get("CHECK_PARTITIONS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     sqls = entry.oracle_sql()
