@@ -54,13 +54,16 @@ def merge_records(spark, d):
     return _member_rows(G.merge_records(_records(spark, d), _updates(spark, d)))
 
 
-@query("g02_audit_stamps", f"""
+_STAMPS = f"""
 WITH o AS (SELECT r.record_key, r.metadata_type, r.raw AS old, u.raw AS upd FROM $records r JOIN $record_updates u ON r.record_key = u.record_key),
 m AS (SELECT *, coalesce(json_extract(upd, '$.created_by'), json_extract(old, '$.created_by')) AS cb, json_extract(old, '$.created_date') AS cd FROM o)
 SELECT record_key, CASE WHEN NOT aud THEN CAST(cb AS VARCHAR) WHEN cb IS NULL OR CAST(cb AS VARCHAR) IN {_OPEN} THEN coalesce(CAST(json_extract(old, '$.created_by') AS VARCHAR), '"system"') ELSE CAST(cb AS VARCHAR) END AS created_by,
   CASE WHEN NOT aud THEN CAST(cd AS VARCHAR) ELSE coalesce(CAST(cd AS VARCHAR), '"{TS}"') END AS created_date,
   CASE WHEN aud THEN '"{TS}"' ELSE CAST(json_extract(old, '$.last_modified_date') AS VARCHAR) END AS last_modified_date
-FROM (SELECT *, metadata_type NOT LIKE 'dataset%' AS aud FROM m) x""")
+FROM (SELECT *, metadata_type NOT LIKE 'dataset%' AS aud FROM m) x"""
+
+
+@query("g02_audit_stamps", _STAMPS)
 def audit_stamps(spark, d):
     stamped = G.stamp_audit(G.merge_records(_records(spark, d), _updates(spark, d)), TS)
     return stamped.select("record_key", *[F.to_json(J.field("body", n)).alias(n) for n in ("created_by", "created_date", "last_modified_date")])
@@ -119,10 +122,20 @@ def record_lookup(spark, d):
     return found.select("record_key", F.md5("raw").alias("raw"))
 
 
-@query("g07_validated_updates")
+_STAMPED = f"""(SELECT s.record_key, r0.metadata_type, '{{' || string_agg('"' || field || '":' || v, ',') || '}}' AS raw FROM (
+  SELECT m.record_key, m.field, m.v FROM ({_MERGED}) m JOIN $records q ON q.record_key = m.record_key
+    WHERE q.metadata_type LIKE 'dataset%' OR m.field NOT IN ('created_by', 'created_date', 'last_modified_by', 'last_modified_date')
+  UNION ALL SELECT a.record_key, u.f, CASE u.f WHEN 'created_by' THEN a.created_by WHEN 'created_date' THEN a.created_date WHEN 'last_modified_by' THEN '"system"' ELSE '"{TS}"' END
+    FROM ({_STAMPS}) a JOIN $records q ON q.record_key = a.record_key, unnest(['created_by', 'created_date', 'last_modified_by', 'last_modified_date']) u(f)
+    WHERE q.metadata_type NOT LIKE 'dataset%') s JOIN $records r0 ON r0.record_key = s.record_key GROUP BY s.record_key, r0.metadata_type)"""
+
+
+@query("g07_validated_updates", _NODES.replace("$records r", _STAMPED + " r") + f"""
+SELECT recs.record_key, coalesce(k, 0) = 0 AS accepted, coalesce(k, 0) AS violations FROM recs
+LEFT JOIN (SELECT record_key, count(*) AS k FROM ({_ALL}) a GROUP BY record_key) b ON recs.record_key = b.record_key""")
 def validated_updates(spark, d):
     judged = G.judge_updates(_records(spark, d), _updates(spark, d), TS)
-    return judged.select("record_key", F.col("valid").alias("accepted"), F.size("violations").alias("violations"))
+    return judged.select("record_key", F.col("valid").alias("accepted"), F.size("violations").cast("bigint").alias("violations"))
 
 
 @query("e01_default_records", f"""
