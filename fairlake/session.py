@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,12 +24,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fai
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 
-    Lies below ``spark.checkpoint.dir`` when the cluster names one; a temporary
-    folder stands in only where that setting is absent, as in local tests.
+    Lies below ``spark.checkpoint.dir``, or below the warehouse, which executors share as
+    well, where that setting is absent. A relative warehouse path is refused off local mode.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fairlake-")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if ":" not in base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{base.rstrip('/')}/_intermediate"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
