@@ -102,14 +102,14 @@ def queue(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_
 def _positions(served: DataFrame) -> DataFrame:
     """Adds ``position`` in the order of finish times: totals of time ranges, then sums inside each range."""
     share = F.coalesce(F.try_divide(F.least("finish", "level"), F.col("level")), F.lit(0.0))
-    ranged = served.withColumn("stretch", F.floor(share * SLICES).cast("int"))
+    behind = F.lit(SLICES) + F.pmod(F.xxhash64("ticket"), F.lit(SLICES))  # after the end of the mix, in no order
+    ranged = served.withColumn("stretch", F.when(F.col("finish") > F.col("level"), behind).otherwise(F.floor(share * SLICES)).cast("int"))
     totals = ranged.groupBy("stretch").agg(F.sum("taken").alias("total"))
-    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * SLICES rows
     offsets = totals.select("stretch", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("stretch_before"))
-    spread = F.when(F.col("finish") > F.col("level"), F.pmod(F.xxhash64("ticket"), F.lit(SLICES)))  # behind the end, in no order
-    order = Window.partitionBy("stretch", "spread").orderBy("finish", F.col("source").isNull(), "source", "epoch", "ticket", "id")
+    order = Window.partitionBy("stretch").orderBy("finish", F.col("source").isNull(), "source", "epoch", "ticket", "id")
     inside = F.sum("taken").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    counted = ranged.withColumn("spread", spread).withColumn("inside", F.coalesce(inside, F.lit(0)))
+    counted = ranged.withColumn("inside", F.coalesce(inside, F.lit(0)))
     return counted.join(offsets, "stretch").withColumn("position", (F.col("inside") + F.col("stretch_before")).cast("long"))
 
 
