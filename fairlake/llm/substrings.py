@@ -15,6 +15,8 @@ from fairlake.llm.common import settle
 
 #: Windows of one text that are worked on at once, and words whose hashes a task remembers.
 AT_ONCE, REMEMBERED = 1 << 18, 1 << 20
+#: Characters of texts that are hashed together.
+TOGETHER = 1 << 21
 
 
 class _WordHashes(dict):
@@ -63,36 +65,50 @@ class Winnower:
         part = _grams(hashes, half)
         return _mix(part[starts], part[starts + (self.window - half)])
 
-    def anchors(self, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each anchor: its hash, the hash of all words of its windows, their first start, their number."""
-        n = len(hashes) - self.window + 1
-        if n < 1:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
+    def anchors(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Anchors of texts whose word hashes follow each other, ``lengths`` words each.
+
+        Of each anchor: its hash, the hash of all words of its windows, its text, the first window's start
+        there, and the number of windows.
+        """
+        ends = np.cumsum(lengths)
+        starts = np.flatnonzero(np.arange(len(hashes)) + self.window <= np.repeat(ends, lengths))
+        if not len(starts):
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
         seeds = _grams(hashes, self.seed)
         width = self.window - self.seed + 1
-        chosen = np.empty(n, np.int64)
-        for k in range(0, n, AT_ONCE):
+        chosen = np.empty(len(hashes) - self.window + 1, np.int64)
+        for k in range(0, len(chosen), AT_ONCE):
             part = np.lib.stride_tricks.sliding_window_view(seeds[k:k + AT_ONCE + width - 1], width)[:AT_ONCE]
             chosen[k:k + len(part)] = part.argmin(axis=1) + np.arange(k, k + len(part))
-        first = np.flatnonzero(np.diff(chosen, prepend=-1))
-        count = np.diff(first, append=n)
+        chosen = chosen[starts]
+        lead = np.flatnonzero(np.diff(chosen, prepend=-1))
+        count, first = np.diff(lead, append=len(chosen)), starts[lead]
         half = _half(self.window)
-        part = _grams(hashes, half)  # two overlapping runs of half the length cover all words of an anchor's windows
+        part = _grams(hashes, half)  # overlapping runs of half the length cover all words of an anchor's windows
         last = first + count - 1 + self.window - half
         inner = np.minimum(first + half, last)
         context = _mix(_mix(part[first], part[inner]), _mix(part[last], count.astype(np.uint64)))
-        return seeds[chosen[first]].view(np.int64), context.view(np.int64), first, count
+        text = np.searchsorted(ends, first, side="right")
+        return seeds[chosen[lead]].view(np.int64), context.view(np.int64), text, first - (ends - lengths)[text], count
+
+
+def _groups(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in groups of about ``TOGETHER`` bytes of text."""
+    place = batch["text"].map(lambda t: len(t or "")).cumsum() // TOGETHER
+    for _, group in batch.groupby(place.to_numpy(), sort=False):
+        yield group
 
 
 def _anchor_rows(window: int, seed: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         winnower = Winnower(window, seed)
         for batch in batches:
-            for key, text in zip(batch["row_key"], batch["text"]):
-                anchor, context, first, count = winnower.anchors(winnower.hashes(text))
-                if len(first):
-                    yield pd.DataFrame({"anchor": anchor, "context": context, "row_key": np.int64(key),
-                                        "start": first.astype(np.int32), "n": count.astype(np.int32)})
+            for group in _groups(batch):
+                parts = [winnower.hashes(t) for t in group["text"]]
+                anchor, context, text, start, n = winnower.anchors(np.concatenate(parts), np.array([len(p) for p in parts]))
+                yield pd.DataFrame({"anchor": anchor, "context": context, "row_key": group["row_key"].to_numpy()[text],
+                                    "start": start.astype(np.int32), "n": n.astype(np.int32)})
 
     return rows
 
@@ -101,11 +117,18 @@ def _window_rows(window: int, seed: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         winnower = Winnower(window, seed)
         for batch in batches:
-            for key, text, anchors, starts, counts in zip(*[batch[c] for c in ("row_key", "text", "anchors", "starts", "counts")]):
-                hashes = winnower.hashes(text)
-                at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, counts)])
-                yield pd.DataFrame({"anchor": np.repeat(np.asarray(anchors, np.int64), counts), "row_key": np.int64(key),
-                                    "window": winnower.windows(hashes, at).view(np.int64), "start": at.astype(np.int32)})
+            for group in _groups(batch):
+                parts = [winnower.hashes(t) for t in group["text"]]
+                lengths = np.array([len(p) for p in parts])
+                before = np.cumsum(lengths) - lengths
+                each = group["starts"].map(len).to_numpy()
+                starts, counts, anchors = (np.concatenate(group[c].to_list()).astype(np.int64) for c in ("starts", "counts", "anchors"))
+                text = np.repeat(np.repeat(np.arange(len(group)), each), counts)
+                step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = np.repeat(starts, counts) + step
+                found = winnower.windows(np.concatenate(parts), before[text] + at)
+                yield pd.DataFrame({"anchor": np.repeat(anchors, counts), "row_key": group["row_key"].to_numpy()[text],
+                                    "window": found.view(np.int64), "start": at.astype(np.int32)})
 
     return rows
 
