@@ -69,7 +69,7 @@ def classify_dir(path) -> Column:
 
 def strip_prefix(name, prefix: str) -> Column:
     n = _col(name)
-    return F.when(n.startswith(prefix), F.substring(n, len(prefix) + 1, 1_000_000)).otherwise(n)
+    return F.when(n.startswith(prefix), F.substr(n, F.lit(len(prefix) + 1))).otherwise(n)
 
 
 def is_project(path) -> Column:
@@ -268,7 +268,8 @@ def matches_glob(path, globs: list[str]) -> Column:
 
 
 def client_id(forwarded_for, real_ip, peer) -> Column:
-    first = F.trim(F.split_part(_col(forwarded_for), F.lit(","), F.lit(1)))
+    blanks = r"[\s\x1c-\x1f\x85\p{Z}]+"
+    first = F.regexp_replace(F.split_part(_col(forwarded_for), F.lit(","), F.lit(1)), f"^{blanks}|{blanks}$", "")
     return (
         F.when(F.coalesce(_col(forwarded_for), F.lit("")) != "", first)
         .when(F.coalesce(_col(real_ip), F.lit("")) != "", _col(real_ip))

@@ -70,21 +70,42 @@ def is_container(value) -> Column:
     return is_container_json(F.to_json(_col(value)))
 
 
+def is_blank(text: Column) -> Column:
+    """Only white space, of Unicode too, or nothing."""
+    return text.rlike(r"^[\s\x1c-\x1f\x85\p{Z}]*$")
+
+
+# Fixed value: a JSON number that is zero.
+ZERO = r"-?0(?:\.0*)?(?:[eE][+-]?[0-9]+)?"
+
+
 def scores_as_filled(value) -> Column:
     """Score rule for scalars: truthy and not the placeholder."""
     return json_scores_as_filled(F.to_json(_col(value)))
 
 
 def json_scores_as_filled(j: Column) -> Column:
-    empty = j.isin("null", "false", '""', f'"{PLACEHOLDER}"') | j.rlike(r"^-?0(\.0*)?([eE].*)?$")
+    empty = j.isin("null", "false", '""', f'"{PLACEHOLDER}"') | j.rlike(f"^{ZERO}$")
     return F.coalesce(~empty, F.lit(False))
 
 
+def scalar_marks(body) -> Column:
+    """The shape of a value: its JSON text with ``s`` for each filled scalar and ``e`` for each other one, at any depth.
+
+    Names are marked too. An escaped quote never stands before an opening quote, so the first
+    pattern finds whole empty and placeholder strings only.
+    """
+    shape = F.regexp_replace(F.to_json(_col(body)), rf'(?<!\\)"(?:{PLACEHOLDER})?"', "e")
+    shape = F.regexp_replace(shape, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "s")
+    shape = F.regexp_replace(shape, rf"(?<=[\[,:])(?:{ZERO}|false|null)(?=[,\]}}])", "e")
+    return F.regexp_replace(shape, r"(?<=[\[,:])(?:true|-?[0-9][0-9.eE+-]*)(?=[,\]}])", "s")
+
+
 def passes_gate(value) -> Column:
     """Gate rule: present, not null, and not a blank or placeholder string."""
     v = _col(value)
     s = v.cast("string")
-    open_text = (kind(v) == "string") & ((F.trim(s) == "") | (s == PLACEHOLDER))
+    open_text = (kind(v) == "string") & (is_blank(s) | (s == PLACEHOLDER))
     return v.isNotNull() & ~F.is_variant_null(v) & ~open_text
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlake.functions import variants as V
-from fairlake.operators.ranking import HOT_ROWS, SLICES, _slice_of, _split_points, largest_group
 
 
 def commit(history: DataFrame, snapshot: DataFrame, message: str, author: str, commit_ts) -> DataFrame:
@@ -42,26 +41,24 @@ def record_history(history: DataFrame, record_key) -> DataFrame:
     return history.where(F.col("record_key") == record_key).orderBy(F.desc("version"))
 
 
-def with_validity(history: DataFrame, slices: int = SLICES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_validity(history: DataFrame, versions: int = 4096) -> DataFrame:
     """Adds ``valid_from`` and ``valid_to`` (NULL for the current version).
 
-    A record with very many versions is cut into version ranges; the first commit of
-    the next range closes the last version of a range.
+    Versions are cut into ranges of ``versions`` numbers, so a record with very many of them is spread
+    over tasks; the first commit of the next range closes the last version of a range.
     """
     df = history.withColumn("valid_from", F.col("commit_ts"))
-    if largest_group(df, ["record_key"]) <= hot_rows:
-        by_version = Window.partitionBy("record_key").orderBy("version")
-        return df.withColumn("valid_to", F.lead("commit_ts").over(by_version))
-    cut = df.withColumn("_slice", _slice_of("version", _split_points(df, "version", slices)))
-    starts = cut.groupBy("record_key", "_slice").agg(F.min_by("commit_ts", "version").alias("_start"))
-    next_start = starts.withColumn(
-        "_next", F.lead("_start").over(Window.partitionBy("record_key").orderBy("_slice"))).drop("_start")
+    cut = df.withColumn("_slice", F.coalesce(F.floor(F.col("version") / versions), F.lit(-1)))
+    starts = cut.groupBy("record_key", "_slice").agg(F.min_by("commit_ts", F.struct("version")).alias("_start"))
+    next_start = starts.select(
+        F.col("record_key").alias("_key"), F.col("_slice").alias("_range"),
+        F.lead("_start").over(Window.partitionBy("record_key").orderBy("_slice")).alias("_next"))
     inside = Window.partitionBy("record_key", "_slice").orderBy("version")
     return (
         cut.withColumn("_lead", F.lead("commit_ts").over(inside))
-        .join(next_start, ["record_key", "_slice"])
+        .join(next_start, F.col("record_key").eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_range")))
         .withColumn("valid_to", F.coalesce("_lead", "_next"))
-        .drop("_slice", "_lead", "_next")
+        .drop("_slice", "_lead", "_next", "_key", "_range")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlake import constants as C
-from fairlake.operators.ranking import largest_group, running_total
+from fairlake.operators.ranking import running_total
 
 
 def endpoint_stats(requests: DataFrame) -> DataFrame:
@@ -64,9 +64,10 @@ def latency_percentiles(requests: DataFrame, percentiles: list[int] | None = Non
         return found.select(F.inline(pairs))
     v = F.col(column).cast("double")
     values = (
-        requests.where(v.isNotNull()).groupBy(v.alias("value")).agg(F.count("*").alias("n"))
+        requests.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(F.count("*").alias("n"))
         .withColumn("bucket", F.when(F.col("value") == 0, F.lit(0).cast("bigint")).otherwise(
-            F.signum("value").cast("bigint") * (F.floor(F.log2(F.abs("value")) * 64) + 100_000)))
+            F.signum("value").cast("bigint") * F.when(F.abs("value") == float("inf"), 1_000_000)
+            .otherwise(F.floor(F.log2(F.abs("value")) * 64) + 100_000)))
     )
     # One row per bucket, at most some 270,000 whatever the input: a single window is safe here.
     everything = Window.partitionBy(F.lit(0))
@@ -183,28 +184,27 @@ def _admit(times: np.ndarray, start: int, end: int, window: deque, limit: int, w
 
 
 def quota_audit(requests: DataFrame, limit: int, window_seconds: int, client: str = "client_id", ts: str = "ts",
-                tie: str = "event_id", hot_rows: int = 5_000_000) -> DataFrame:
+                tie: str = "event_id") -> DataFrame:
     """Adds ``allowed``: at most ``limit`` admitted requests per client in any window.
 
     Denied requests do not count, and one exactly ``window_seconds`` old has expired, so
     the decisions of a client follow from each other and are made in one ordered pass per
     client that keeps ``limit`` times and never the client's rows. A pause of at least the
-    window empties it; a client with very many requests is cut there into stretches that
-    run apart.
+    window empties it, so every client is cut there into stretches that run apart. A client
+    that never pauses stays one pass: its decisions form one chain.
     """
     width = window_seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = requests.withColumn("_t", micros)
-    group = [client]
-    if largest_group(rows, [client]) > hot_rows:
-        rows = rows.withColumn("_cell", F.floor(F.col("_t") / width))
-        cells = rows.groupBy(client, "_cell").agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"))
-        by_time = Window.partitionBy(client).orderBy("_cell")
-        gap = F.coalesce(F.col("_from") - F.lag("_to").over(by_time) >= width, F.lit(True))
-        cells = cells.withColumn("_gap", gap.cast("int")).select(
-            client, "_cell", F.sum("_gap").over(by_time).alias("_stretch"))
-        rows = rows.join(cells, [client, "_cell"]).drop("_cell")
-        group = [client, "_stretch"]
+    rows = rows.withColumn("_cell", F.floor(F.col("_t") / width))
+    cells = rows.groupBy(client, "_cell").agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"))
+    by_time = Window.partitionBy(client).orderBy("_cell")
+    gap = F.coalesce(F.col("_from") - F.lag("_to").over(by_time) >= width, F.lit(True))
+    cells = cells.withColumn("_gap", gap.cast("int")).select(
+        F.col(client).alias("_client"), F.col("_cell").alias("_at"), F.sum("_gap").over(by_time).alias("_stretch"))
+    same = F.col(client).eqNullSafe(F.col("_client")) & F.col("_cell").eqNullSafe(F.col("_at"))
+    rows = rows.join(cells, same).drop("_cell", "_client", "_at")
+    group = [client, "_stretch"]
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_t", "_stretch")] + [
         T.StructField("allowed", T.BooleanType())])
 

@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 from fairlake import constants as C
 from fairlake.functions import variants as V
-from fairlake.operators.registry import dispatch, packaged_registry, schema_rules
-
-DEPTH = 6
-
-
-def _rules(records: DataFrame, registry: DataFrame | None) -> DataFrame:
-    registry = packaged_registry(records.sparkSession) if registry is None else registry
-    return dispatch(records, schema_rules(registry, 1, whole=False), ["rules"])
+from fairlake.operators.registry import unescaped, with_rules
 
 
 def completion_gate(contextual: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Adds ``complete`` and ``experiment_id``: every required field but audit and template fields is filled."""
-    matched = _rules(contextual, registry)
+    matched, _ = with_rules(contextual, registry, top_only=True)
     ignored = F.array(*[F.lit(f) for f in C.GATE_IGNORED_FIELDS])
     gated = F.array_except(F.coalesce(F.col("rules")[""]["required"], F.array().cast("array<string>")), ignored)
     passing = F.map_keys(F.map_filter(V.members("body"), lambda _, v: V.passes_gate(v)))
@@ -28,35 +21,19 @@ def completion_gate(contextual: DataFrame, registry: DataFrame | None = None) ->
         "experiment_id", F.when(F.col("complete"), V.text("body", "experiment_identifier_run_id"))).drop("rules")
 
 
-def completeness(records: DataFrame, body: str = "body", depth: int = DEPTH) -> DataFrame:
-    """Adds ``total_fields`` and ``filled_fields``, counted inside the row.
+def completeness(records: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``total_fields`` and ``filled_fields``, counted inside the row at any depth.
 
     Each object member counts; of array items only scalars do. A scalar is filled when it is
-    truthy and not the placeholder. Fails on records nested deeper than ``depth``.
+    truthy and not the placeholder. Members are the colons of the value's shape, scalar items the
+    marks between brackets or commas.
     """
-    def child(value: Column, item: bool) -> Column:
-        return F.struct(value.alias("value"), F.to_json(value).alias("json"), F.lit(item).alias("item"))
-
-    def inside(n: Column) -> Column:
-        return V.is_container_json(n["json"])
-
-    df = records.withColumn("_open0", F.array(F.col(body)))
-    totals, filled = [], []
-    for i in range(depth):
-        members = F.flatten(F.filter(F.transform(f"_open{i}", lambda v: F.transform(
-            F.map_values(V.members(v)), lambda x: child(x, False))), lambda x: x.isNotNull()))
-        items = F.flatten(F.filter(F.transform(f"_open{i}", lambda v: F.transform(
-            V.items(v), lambda x: child(x, True))), lambda x: x.isNotNull()))
-        df = df.withColumn("_nodes", F.concat(members, items))
-        df = df.withColumns({
-            f"_total{i}": F.size(F.filter("_nodes", lambda n: ~(n["item"] & inside(n)))),
-            f"_filled{i}": F.size(F.filter("_nodes", lambda n: ~inside(n) & V.json_scores_as_filled(n["json"]))),
-            f"_open{i + 1}": F.transform(F.filter("_nodes", inside), lambda n: n["value"])}).drop("_nodes", f"_open{i}")
-        totals.append(F.col(f"_total{i}"))
-        filled.append(F.col(f"_filled{i}"))
-    too_deep = F.raise_error(F.lit("record nests too deep to be scored")).cast("int")
-    total = F.when(F.size(f"_open{depth}") == 0, sum(totals[1:], totals[0])).otherwise(too_deep)
-    return df.select(*records.columns, total.alias("total_fields"), sum(filled[1:], filled[0]).alias("filled_fields"))
+    shape = F.col("_shape")
+    members = F.length(shape) - F.length(F.replace(shape, F.lit(":")))
+    items = F.regexp_count(shape, F.lit(r"(?<=[\[,])[es](?=[,\]])"))
+    filled = F.regexp_count(shape, F.lit(r"(?<=[\[,:])s(?=[,\]}])"))
+    return records.withColumn("_shape", V.scalar_marks(body)).select(
+        *records.columns, F.coalesce(members + items, F.lit(0)).alias("total_fields"), F.coalesce(filled, F.lit(0)).alias("filled_fields"))
 
 
 def completeness_score() -> Column:
@@ -127,9 +104,9 @@ def section_progress(records: DataFrame, registry: DataFrame | None = None, erro
     lookup of the schema. ``errors`` names an array<string> column of fields with errors.
     """
     none = F.array().cast("array<string>")
-    df = _rules(records, registry).where("rules IS NOT NULL").select(
+    df = with_rules(records, registry, top_only=True)[0].where("rules IS NOT NULL").select(
         *keys, *([] if "metadata_type" in keys else ["metadata_type"]),
-        F.filter(F.map_keys("rules"), lambda k: ~k.isin("", "[]")).alias("_names"),
+        F.transform(F.filter(F.map_keys("rules"), lambda k: ~k.isin("", "[]")), unescaped).alias("_names"),
         F.coalesce(F.col("rules")[""]["required"], none).alias("_needed"),
         F.map_keys(F.map_filter(V.members("body"), lambda _, v: V.form_complete(v))).alias("_done"),
         (F.col(errors) if errors else none).alias("_wrong"))

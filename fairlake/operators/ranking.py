@@ -2,64 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
-HOT_ROWS = 5_000_000
+SLICES = 32
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the biggest key; the counts combine before they are shuffled."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+def with_slices(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
+    """Adds ``_slice``, the index of the slice of ``order`` that a row falls in; NULL values fall in the first.
 
-
-def _split_points(df: DataFrame, order: str, slices: int) -> list[float]:
-    """Approximate quantiles of a numeric column."""
-    probs = [i / slices for i in range(1, slices)]
-    found = df.select(F.percentile_approx(F.col(order).cast("double"), probs, 10_000)).first()[0]
-    return sorted(set(found or []))
-
-
-def _slice_of(order: str, points: list[float]) -> Column:
-    """Index of the slice a value falls in, as a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(order).cast("double") <= points[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(points))
+    The limits are approximate quantiles of the column, a scalar subquery of the same plan: no
+    job runs before the query's own.
+    """
+    value = F.col(order).cast("double")
+    shares = [i / slices for i in range(1, slices)]
+    if not shares:
+        return df.withColumn("_slice", F.lit(0))
+    limits = df.select(value.alias("v")).agg(F.percentile_approx("v", shares, 10_000).alias("limits")).scalar()
+    known = df.withColumn("_limits", F.coalesce(limits, F.array().cast("array<double>")))
+    return known.withColumn("_slice", F.size(F.filter("_limits", lambda limit: limit < value))).drop("_limits")
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                  slices: int = SLICES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, slices: int = SLICES) -> DataFrame:
     """Adds ``out``: sum of ``value`` over rows of the same key up to and including this order.
 
-    ``order`` must be numeric and unique within a key. While every key is small a plain
-    window does it. When one is larger than ``hot_rows``, rows are cut into slices of the
-    order, so that key is spread over ``slices`` tasks; slice totals are at most ``slices``
-    rows per key and combine before their shuffle.
+    ``order`` must be numeric and unique within a key; NULL comes first. Rows are cut into slices
+    of the order, so a hot key is spread over ``slices`` tasks; slice totals are at most
+    ``slices`` rows per key and combine before their shuffle.
     """
-    if largest_group(df, keys) <= hot_rows:
-        so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(so_far))
-    sliced = df.withColumn("_slice", _slice_of(order, _split_points(df, order, slices)))
+    sliced = with_slices(df, order, slices)
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        sliced.withColumn("_inside", F.sum(value).over(inside))
-        .join(offsets, [*keys, "_slice"])
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_slice", "_inside", "_before")
-    )
+    summed = sliced.withColumn("_inside", F.sum(value).over(inside))
+    same = [summed[k].eqNullSafe(offsets[k]) for k in [*keys, "_slice"]]
+    return summed.join(offsets, same).select(
+        *[summed[c] for c in df.columns], (F.col("_before") + F.col("_inside")).alias(out))
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, out: str,
-                slices: int = SLICES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: str, out: str, slices: int = SLICES) -> DataFrame:
     """Adds ``out``: 1-based position of a row within its key; ``order`` must be unique there."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running_total(ones, keys, order, "_one", out, slices, hot_rows).drop("_one")
+    return running_total(ones, keys, order, "_one", out, slices).drop("_one")

@@ -20,7 +20,7 @@ from fairlake.operators.validation import validate
 def truthy(value: Column) -> Column:
     """Present and not null, '', 0, false or an empty container."""
     j = F.to_json(value)
-    return F.coalesce(~j.isin("null", '""', "0", "false", "[]", "{}"), F.lit(False))
+    return F.coalesce(~(j.isin("null", '""', "false", "[]", "{}") | j.rlike(f"^{V.ZERO}$")), F.lit(False))
 
 
 def with_members(body: Column, members: dict[str, Column]) -> Column:
@@ -33,8 +33,27 @@ def _text(value) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("variant")
 
 
-def merge_records(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Shallow merge: members of an update replace those of the record; adds ``old_body``."""
+def last_updates(updates: DataFrame, order: list[str]) -> DataFrame:
+    """One update per record: of each member the value of the last update in ``order`` that has it.
+
+    Members combine before the shuffle, so a record with very many updates stays small.
+    """
+    rest = [c for c in updates.columns if c not in ("record_key", "body", *order)]
+    at = F.struct(*order)
+    members = updates.select("record_key", *order, F.explode(V.members("body")).alias("name", "value"))
+    latest = members.groupBy("record_key", "name").agg(F.max_by("value", at).alias("value"))
+    bodies = latest.groupBy("record_key").agg(F.to_variant_object(
+        F.map_from_entries(F.collect_list(F.struct("name", "value")))).alias("body"))
+    others = updates.groupBy("record_key").agg(*[F.max_by(c, at).alias(c) for c in rest])
+    return others.join(bodies, "record_key")
+
+
+def merge_records(current: DataFrame, updates: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Shallow merge: members of an update replace those of the record; adds ``old_body``.
+
+    ``order`` names the columns that order several updates of one record; without it records have one update.
+    """
+    updates = last_updates(updates, order) if order else updates
     cur = current.withColumnRenamed("body", "old_body")
     new = updates.select("record_key", F.col("metadata_type").alias("_type"), F.col("body").alias("_update"))
     none = F.create_map().cast("map<string,variant>")

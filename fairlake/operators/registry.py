@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairlake import constants as C
 from fairlake import schemas as S
@@ -92,15 +94,57 @@ def _conditions(node: Column) -> Column:
         tests(rule).alias("tests"), _texts(V.field(V.field(rule, "then"), "required")).alias("required")))
 
 
+#: Nesting of the packaged schemas; other registries are measured.
 DEPTH = 4
 
+# Keywords of JSON Schema that constrain values and are not supported here.
+UNSUPPORTED = ["$ref", "anyOf", "oneOf", "not", "dependencies", "dependentRequired", "dependentSchemas", "patternProperties",
+               "propertyNames", "multipleOf", "uniqueItems", "contains", "exclusiveMinimum", "exclusiveMaximum", "minProperties",
+               "maxProperties", "prefixItems", "additionalItems", "unevaluatedProperties", "unevaluatedItems"]
 
-def schema_fields(registry: DataFrame, depth: int = DEPTH, whole: bool = True) -> DataFrame:
+
+def _nesting(node: object) -> int:
+    """Levels of properties and items below a schema node."""
+    if not isinstance(node, dict):
+        return 0
+    properties = node.get("properties")
+    below = [*(properties.values() if isinstance(properties, dict) else []), *([node["items"]] if node.get("items") is not None else [])]
+    return max((1 + _nesting(b) for b in below), default=0)
+
+
+def schema_depth(registry: DataFrame) -> int:
+    """How deep the schemas of a registry nest. A registry is a small table, read here before the query's own job."""
+    @F.pandas_udf(T.IntegerType())
+    def depth(bodies: pd.Series) -> pd.Series:
+        def one(text: str | None) -> int:
+            try:
+                return _nesting(json.loads(text or "null"))
+            except ValueError:
+                return 0
+
+        return bodies.map(one).astype("int32")
+
+    return registry.agg(F.max(depth(F.col("body").cast("string")))).first()[0] or 0
+
+
+def escaped(name: Column) -> Column:
+    """A member's name as one step of a rule path: dots in it are no separators, and ``[]`` is not the items."""
+    plain = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("."), F.lit("\\."))
+    return F.when(name == "[]", F.lit("\\[]")).otherwise(plain)
+
+
+def unescaped(path: Column) -> Column:
+    return F.regexp_replace(path, r"\\(.)", "$1")
+
+
+def schema_fields(registry: DataFrame, depth: int | None = None, whole: bool = True) -> DataFrame:
     """One row per field of every schema, nested ones with a dotted path.
 
     Array items appear as ``[]`` in ``rule_path``; ``field_path`` leaves them out. The row
-    with the empty path is the schema itself.
+    with the empty path is the schema itself. ``depth`` ends the walk earlier; without it
+    the walk is as deep as the schemas.
     """
+    depth = schema_depth(registry) if depth is None else depth
     keys = ["data_root", "schema_id"]
     none = F.array().cast("array<struct<rule_path:string,name:string,required:boolean,node:variant>>")
 
@@ -111,7 +155,7 @@ def schema_fields(registry: DataFrame, depth: int = DEPTH, whole: bool = True) -
         prefix = F.when(n["rule_path"] == "", "").otherwise(F.concat(n["rule_path"], F.lit(".")))
         needed = F.coalesce(_texts(V.field(n["node"], "required")), F.array().cast("array<string>"))
         members = F.transform(F.map_entries(V.members(V.field(n["node"], "properties"))), lambda e: child(
-            F.concat(prefix, e["key"]), e["key"], F.array_contains(needed, e["key"]), e["value"]))
+            F.concat(prefix, escaped(e["key"])), e["key"], F.array_contains(needed, e["key"]), e["value"]))
         items = F.filter(F.array(child(F.concat(prefix, F.lit("[]")), F.lit("[]"), F.lit(False), V.field(n["node"], "items"))),
                          lambda c: c["node"].isNotNull())
         return F.concat(F.coalesce(members, none), items)
@@ -119,13 +163,9 @@ def schema_fields(registry: DataFrame, depth: int = DEPTH, whole: bool = True) -
     root = child(F.lit(""), F.lit(""), F.lit(False), F.col("_schema"))
     df = registry.select(*keys, V.parse_strict("body").alias("_schema")).where("_schema IS NOT NULL").select(
         *keys, F.array(root).alias("_level0"))
-    for i in range(depth + whole):
+    for i in range(depth):
         df = df.withColumn(f"_level{i + 1}", F.flatten(F.transform(f"_level{i}", below)))
     levels = F.concat(*[f"_level{i}" for i in range(depth + 1)])
-    if whole:
-        too_deep = F.raise_error(F.concat(F.lit("schema nests too deep: "), "schema_id")).cast("string")
-        levels = F.when(F.size(f"_level{depth + 1}") == 0, levels).otherwise(F.array(child(
-            too_deep, too_deep, F.lit(False), F.lit(None).cast("variant"))))
     fields = df.select(*keys, F.explode(levels).alias("_n")).select(*keys, "_n.*")
 
     def number(name: str) -> Column:
@@ -135,24 +175,28 @@ def schema_fields(registry: DataFrame, depth: int = DEPTH, whole: bool = True) -
         return F.try_variant_get("node", f"$.{name}", "int")
 
     path = F.regexp_replace(F.regexp_replace("rule_path", r"(^|\.)\[\]", ""), r"^\.", "")
+    parent = F.when(path.rlike(r"(?<!\\)\."), F.regexp_replace(path, r"(?<!\\)\.(?:[^.\\]|\\.)*$", "")).otherwise(F.lit(""))
     return fields.select(
-        *keys, "rule_path", path.alias("field_path"), "name",
-        F.when(path.contains("."), F.regexp_replace(path, r"\.[^.]*$", "")).otherwise(F.lit("")).alias("parent"),
+        *keys, "rule_path", unescaped(path).alias("field_path"), "name", unescaped(parent).alias("parent"),
         F.coalesce(V.text("node", "title"), P.humanize("name")).alias("title"),
         V.text("node", "description").alias("description"), "required",
         F.coalesce(F.try_variant_get("node", "$.readOnly", "boolean"), F.lit(False)).alias("read_only"),
         F.struct(
-            V.text("node", "type").alias("type"), _json_items(V.field("node", "enum")).alias("enum"),
+            V.text("node", "type").alias("type"),
+            F.coalesce(_texts(V.field("node", "type")), F.array(V.text("node", "type"))).alias("types"), _json_items(V.field("node", "enum")).alias("enum"),
             F.to_json(V.field("node", "const")).alias("const"), V.text("node", "pattern").alias("pattern"),
             V.text("node", "format").alias("format"), number("minimum").alias("minimum"), number("maximum").alias("maximum"),
             size("minItems").alias("min_items"), size("maxItems").alias("max_items"),
             size("minLength").alias("min_length"), size("maxLength").alias("max_length"),
             _texts(V.field("node", "required")).alias("required"),
             V.field("node", "properties").isNotNull().alias("has_properties"),
+            F.map_keys(V.members(V.field("node", "properties"))).alias("names"),
+            F.coalesce(F.to_json(V.field("node", "additionalProperties")) == "false", F.lit(False)).alias("closed"),
+            F.size(F.array_intersect(F.map_keys(V.members("node")), F.array(*[F.lit(k) for k in UNSUPPORTED]))).alias("unsupported"),
             _conditions(F.col("node")).alias("conditions")).alias("rule"))
 
 
-def schema_rules(registry: DataFrame, depth: int = DEPTH, whole: bool = True) -> DataFrame:
+def schema_rules(registry: DataFrame, depth: int | None = None, whole: bool = True) -> DataFrame:
     """One row per schema: ``rules``, a map from rule path to the constraints there."""
     entry = F.struct(F.col("rule_path").alias("key"), F.col("rule").alias("value"))
     return schema_fields(registry, depth, whole).groupBy("data_root", "schema_id").agg(
@@ -169,7 +213,7 @@ def field_catalog(registry: DataFrame, metadata_types: dict[str, str] | None = N
     return top.withColumn("read_only", F.col("read_only") | F.concat_ws(":", owner, "name").isin(protected)).drop("rule")
 
 
-def describe_fields(registry: DataFrame, depth: int = DEPTH) -> DataFrame:
+def describe_fields(registry: DataFrame, depth: int | None = None) -> DataFrame:
     """Title, description and required flag by dotted path; only top-level names can be required."""
     fields = schema_fields(registry, depth).where("name NOT IN ('', '[]')")
     root = schema_fields(registry, 0, whole=False).select("data_root", "schema_id", F.coalesce(
@@ -186,6 +230,27 @@ def schema_id_of(metadata_type="metadata_type") -> Column:
     return F.try_element_at(table, F.col(metadata_type))
 
 
+def effective(registry: DataFrame, by_root: bool) -> DataFrame:
+    """The winning layer of every schema: per data root, or over all roots, of which the first wins at a tie."""
+    if by_root:
+        return resolve_schemas(registry)
+    rest = [c for c in registry.columns if c != "schema_id"]
+    first = F.min_by(F.struct(*rest), F.struct("priority", "data_root")).alias("_s")
+    return registry.groupBy("schema_id").agg(first).select("schema_id", *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
+def with_rules(records: DataFrame, registry: DataFrame | None, top_only: bool = False) -> tuple[DataFrame, int]:
+    """Records with ``schema_id`` and the ``rules`` of their schema, and how deep those nest.
+
+    Layers are resolved first. Records with a ``data_root`` follow the schemas of their root;
+    without a registry the packaged schemas hold for all roots.
+    """
+    by_root = registry is not None and "data_root" in records.columns
+    schemas = packaged_registry(records.sparkSession) if registry is None else effective(registry, by_root)
+    depth = 1 if top_only else DEPTH if registry is None else schema_depth(registry)
+    return dispatch(records, schema_rules(schemas, depth), ["rules"], "data_root" if by_root else None), depth
+
+
 def dispatch(records: DataFrame, schemas: DataFrame, columns: list[str], tie_root: str | None = None) -> DataFrame:
     """Adds ``schema_id`` and ``columns`` of the schema that applies to each record.
 

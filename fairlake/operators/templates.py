@@ -10,7 +10,7 @@ from fairlake.functions import paths as P
 from fairlake.functions import variants as V
 from fairlake.functions.ids import mint_id
 from fairlake.operators.records import truthy, with_members
-from fairlake.operators.registry import BASE_CONTEXTUAL, packaged_registry
+from fairlake.operators.registry import BASE_CONTEXTUAL, effective, packaged_registry
 
 
 def _default(name: Column, node: Column, nested: bool) -> Column:
@@ -65,25 +65,32 @@ def _audit(run_ts: str) -> dict:
     return {"created_by": "system", "created_date": run_ts, "last_modified_by": "system", "last_modified_date": run_ts}
 
 
-def _defaults_of(registry: DataFrame, schema_id: str) -> Column:
-    return default_records(registry.where(F.col("schema_id") == schema_id)).select("defaults").scalar()
+def _registry_of(rows: DataFrame, registry: DataFrame | None) -> DataFrame:
+    """The winning schemas: of each data root if ``rows`` have a ``data_root``, else over all roots."""
+    return packaged_registry(rows.sparkSession) if registry is None else effective(registry, "data_root" in rows.columns)
+
+
+def _with_defaults(rows: DataFrame, registry: DataFrame | None, schema_id: str, out: str) -> DataFrame:
+    """Adds the default record of a schema, NULL where a row's data root has none."""
+    found = default_records(_registry_of(rows, registry).where(F.col("schema_id") == schema_id))
+    if registry is None or "data_root" not in rows.columns:
+        return rows.withColumn(out, found.select("defaults").scalar())
+    return rows.join(found.select("data_root", F.col("defaults").alias(out)), "data_root", "left")
 
 
 def init_projects(dirs: DataFrame, run_ts: str, registry: DataFrame | None = None) -> DataFrame:
     """A descriptive record for every project directory."""
-    registry = packaged_registry(dirs.sparkSession) if registry is None else registry
     auto = _auto({"project_identifier": mint_id("project_key"),
                   "project_title": P.strip_prefix("project_key", C.PROJECT_PREFIX)} | _audit(run_ts))
-    return dirs.withColumn("_defaults", _defaults_of(registry, "project_descriptive")).select(
+    return _with_defaults(dirs, registry, "project_descriptive", "_defaults").select(
         "project_key", F.lit("project_descriptive").alias("metadata_type"), mint_id("project_key").alias("project_identifier"),
         fill(F.col("_defaults"), auto).alias("body"))
 
 
 def init_project_admin(projects: DataFrame, run_ts: str, registry: DataFrame | None = None) -> DataFrame:
     """The administrative record that goes with each project record."""
-    registry = packaged_registry(projects.sparkSession) if registry is None else registry
     auto = _auto({"project_identifier_link": F.col("project_identifier")} | _audit(run_ts))
-    return projects.withColumn("_defaults", _defaults_of(registry, "project_administrative_schema")).select(
+    return _with_defaults(projects, registry, "project_administrative_schema", "_defaults").select(
         "project_key", F.lit("project_administrative").alias("metadata_type"), "project_identifier",
         fill(F.col("_defaults"), auto).alias("body"))
 
@@ -107,12 +114,9 @@ def inherited(admin: Column) -> Column:
 
 def init_datasets(datasets: DataFrame, run_ts: str, registry: DataFrame | None = None) -> DataFrame:
     """Administrative and structural records sharing one id; expects ``project_id`` and ``admin`` (or NULL)."""
-    registry = packaged_registry(datasets.sparkSession) if registry is None else registry
-    base = (
-        datasets.withColumn("dataset_id", mint_id("project_key", "dataset_key"))
-        .withColumn("_admin_defaults", _defaults_of(registry, "dataset_administrative_schema"))
-        .withColumn("_struct_defaults", _defaults_of(registry, "dataset_structural_schema"))
-    )
+    base = datasets.withColumn("dataset_id", mint_id("project_key", "dataset_key"))
+    base = _with_defaults(base, registry, "dataset_administrative_schema", "_admin_defaults")
+    base = _with_defaults(base, registry, "dataset_structural_schema", "_struct_defaults")
     admin_auto = F.map_concat(_auto({"dataset_identifier_link": F.col("dataset_id")} | _audit(run_ts)), inherited(F.col("admin")))
     struct_auto = _auto({
         "dataset_identifier": F.col("dataset_id"), "dataset_title": P.strip_prefix("dataset_key", C.DATASET_PREFIX),
@@ -137,12 +141,14 @@ def init_contextual(datasets: DataFrame, run_ts: str, registry: DataFrame | None
     A schema's own template name wins over the wanted one. Expects ``experiment_id``
     (NULL: minted) and ``dataset_link`` (NULL or '': none known).
     """
-    registry = packaged_registry(datasets.sparkSession) if registry is None else registry
-    defaults = default_records(registry)
-    own = defaults.select(F.col("schema_id").alias("_own"), F.struct("schema_id", "defaults", "template_const").alias("_s1"))
-    base = defaults.where(F.col("schema_id") == BASE_CONTEXTUAL).select(F.struct("schema_id", "defaults", "template_const")).scalar()
-    joined = datasets.withColumn("_own", F.concat(F.lit("contextual/"), "template")).join(own, "_own", "left").withColumn(
-        "_s", F.coalesce("_s1", base))
+    defaults = default_records(_registry_of(datasets, registry))
+    roots = ["data_root"] if registry is not None and "data_root" in datasets.columns else []
+    shape = F.struct("schema_id", "defaults", "template_const")
+    own = defaults.select(*roots, F.col("schema_id").alias("_own"), shape.alias("_s1"))
+    base = defaults.where(F.col("schema_id") == BASE_CONTEXTUAL).select(*roots, shape.alias("_s2"))
+    joined = datasets.withColumn("_own", F.concat(F.lit("contextual/"), "template")).join(own, [*roots, "_own"], "left")
+    joined = joined.join(base, roots, "left") if roots else joined.withColumn("_s2", base.scalar())
+    joined = joined.withColumn("_s", F.coalesce("_s1", "_s2"))
     experiment = F.coalesce("experiment_id", mint_id("project_key", "dataset_key", F.lit("experiment")))
     names = F.map_keys(V.members("_s.defaults"))
     run_field = (

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlake.functions import variants as V
-from fairlake.operators.registry import DEPTH, dispatch, packaged_registry, schema_rules
+from fairlake.operators.registry import escaped, with_rules
 
-RECORD_RULES = ("type", "required", "enum", "const", "pattern", "range", "items", "conditional")
+RECORD_RULES = ("type", "required", "enum", "const", "pattern", "length", "range", "items", "conditional", "additional", "schema")
 FORM_RULES = ("type", "required", "enum", "format", "length", "range", "items")
 
 # Text formats that forms check.
@@ -24,6 +24,8 @@ FORM_FORMATS = {
 }
 
 _NAMES = "array<string>"
+#: How deep objects with properties nest in the packaged schemas.
+PACKAGED_OBJECTS = 2
 
 
 def _empty(kind: str) -> Column:
@@ -43,7 +45,7 @@ def _dot(prefix: Column, part: Column) -> Column:
 def _children(level: Column) -> Column:
     def below(n: Column) -> Column:
         members = F.transform(F.map_entries(V.members(n["value"])), lambda e: _node(
-            _dot(n["path"], e["key"]), _dot(n["rule_path"], e["key"]), e["value"]))
+            _dot(n["path"], e["key"]), _dot(n["rule_path"], escaped(e["key"])), e["value"]))
         items = F.transform(V.items(n["value"]), lambda x, i: _node(
             _dot(n["path"], i.cast("string")), _dot(n["rule_path"], F.lit("[]")), x))
         return F.coalesce(members, items, F.filter(F.array(n), lambda _: F.lit(False)))
@@ -56,7 +58,8 @@ def _checks(n: Column, r: Column, rules: tuple[str, ...], form: bool) -> Column:
     kind, value = n["kind"], n["value"]
     text = F.when(kind == "string", value.cast("string"))
     number = F.when(kind == "number", F.try_variant_get(value, "$", "double"))
-    typed = F.when(r["type"] == "integer", F.coalesce(number == F.floor(number), F.lit(False))).otherwise(kind == r["type"])
+    whole = F.coalesce(number == F.floor(number), F.lit(False))
+    typed = F.exists(r["types"], lambda t: F.when(t == "integer", whole).otherwise(kind == t))
     listed = F.array_contains(r["enum"], F.to_json(value))
     size = F.size(V.items(value))
     have = n["names"]
@@ -67,6 +70,7 @@ def _checks(n: Column, r: Column, rules: tuple[str, ...], form: bool) -> Column:
         "pattern": [(~F.rlike(text, r["pattern"]), "does not match the pattern")],
         "range": [(number < r["minimum"], "is below the minimum"), (number > r["maximum"], "is above the maximum")],
         "items": [(size < r["min_items"], "has too few items"), (size > r["max_items"], "has too many items")],
+        "schema": [(r["unsupported"] > 0, "has a schema with keywords that are not supported")],
         "length": [(F.length(text) < r["min_length"], "is too short"), (F.length(text) > r["max_length"], "is too long")],
     }
     wrong_format = F.lit(None).cast("boolean")
@@ -86,6 +90,9 @@ def _checks(n: Column, r: Column, rules: tuple[str, ...], form: bool) -> Column:
     if "required" in rules:
         missing = F.array_except(F.when(kind == "object", r["required"]), have)
         parts.append(F.transform(missing, lambda m: one("required", m, "is required")))
+    if "additional" in rules:
+        extra = F.array_except(F.when((kind == "object") & r["closed"], have), F.coalesce(r["names"], _empty(_NAMES)))
+        parts.append(F.transform(extra, lambda m: one("additional", m, "is not allowed here")))
     if "conditional" in rules:
         def applies(c: Column) -> Column:
             return F.forall(c["tests"], lambda t: ~F.array_contains(have, t["field"]) | F.coalesce(
@@ -97,7 +104,7 @@ def _checks(n: Column, r: Column, rules: tuple[str, ...], form: bool) -> Column:
     return F.concat(*[F.coalesce(p, _empty("array<struct<rule:string,member:string,message:string>>")) for p in parts])
 
 
-def violations(records: DataFrame, rules: tuple[str, ...] = RECORD_RULES, depth: int = DEPTH, form: bool = False) -> DataFrame:
+def violations(records: DataFrame, rules: tuple[str, ...] = RECORD_RULES, depth: int = 1, form: bool = False) -> DataFrame:
     """Adds ``violations``; expects ``body`` and the ``rules`` map of the record's schema.
 
     ``depth`` is the nesting of the schemas, as in ``schema_fields``; values below it have no rules.
@@ -122,13 +129,12 @@ def violations(records: DataFrame, rules: tuple[str, ...] = RECORD_RULES, depth:
 
 
 def validate(records: DataFrame, registry: DataFrame | None = None, strict: bool = False,
-             rules: tuple[str, ...] = RECORD_RULES, depth: int = DEPTH, form: bool = False) -> DataFrame:
+             rules: tuple[str, ...] = RECORD_RULES, form: bool = False) -> DataFrame:
     """Adds ``schema_id``, ``violations`` and ``valid``; records of a type without a schema are valid.
 
     ``strict`` fails the job at an invalid record.
     """
-    registry = packaged_registry(records.sparkSession) if registry is None else registry
-    matched = dispatch(records, schema_rules(registry, depth), ["rules"])
+    matched, depth = with_rules(records, registry)
     out = violations(matched, rules, depth, form).drop("rules").withColumn("valid", F.size("violations") == 0)
     if strict:
         out = out.withColumn("valid", F.when(F.col("valid"), True).otherwise(
@@ -136,9 +142,9 @@ def validate(records: DataFrame, registry: DataFrame | None = None, strict: bool
     return out
 
 
-def validate_form(records: DataFrame, registry: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+def validate_form(records: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Like ``validate`` with the rules of the editing form: formats are checked, patterns are not."""
-    return validate(records, registry, rules=FORM_RULES, depth=depth, form=True)
+    return validate(records, registry, rules=FORM_RULES, form=True)
 
 
 def violation_rows(validated: DataFrame, keys: tuple[str, ...] = ("record_key", "metadata_type")) -> DataFrame:
@@ -154,7 +160,9 @@ def group_errors(validated: DataFrame) -> DataFrame:
 
 
 def _leading_number(text: Column, integer: Column) -> Column:
-    whole = F.regexp_extract(text, r"^\s*([-+]?\d+)", 1).try_cast("bigint").cast("variant")
+    digits = F.regexp_extract(text, r"^\s*([-+]?\d+)", 1)
+    whole = F.coalesce(digits.try_cast("bigint").cast("variant"), digits.try_cast("decimal(38,0)").cast("variant"),
+                       digits.try_cast("double").cast("variant"))
     decimal = F.regexp_extract(text, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double")
     return F.when(integer, whole).otherwise(decimal.cast("variant"))
 
@@ -173,7 +181,7 @@ def _normal_object(value: Column, at: Column, depth: int) -> Column:
     required = F.coalesce(F.try_element_at("rules", at)["required"], _empty(_NAMES))
 
     def with_rule(e: Column) -> Column:
-        path = _dot(at, e["key"])
+        path = _dot(at, escaped(e["key"]))
         return F.struct(e["key"].alias("key"), e["value"].alias("value"), path.alias("path"),
                         V.kind(e["value"]).alias("kind"), F.try_element_at("rules", path).alias("rule"))
 
@@ -221,30 +229,28 @@ def _normal_items(items: Column, path: Column, depth: int) -> Column:
             F.when(_blank(x), F.lit(None).cast("variant"))
             .when(wanted.isin("number", "integer"), number)
             .when((wanted == "object") & (kind == "object"), _unless_empty(child))
-            .when((wanted == "string") & (kind == "string") & (F.trim(x.cast("string")) == ""), F.lit(None).cast("variant"))
+            .when((wanted == "string") & (kind == "string") & V.is_blank(x.cast("string")), F.lit(None).cast("variant"))
             .otherwise(x)
         )
 
     return F.filter(F.transform(items, rewrite), lambda x: x.isNotNull())
 
 
-def normalize(records: DataFrame, registry: DataFrame | None = None, depth: int = 2) -> DataFrame:
+def normalize(records: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Rewrites ``body`` so that form text fits the schema: numbers and booleans parsed, single
-    values wrapped into arrays, empty optional values removed. ``depth`` is how deep objects nest
-    in the schemas."""
-    registry = packaged_registry(records.sparkSession) if registry is None else registry
-    matched = dispatch(records, schema_rules(registry), ["rules"])
+    values wrapped into arrays, empty optional values removed, as deep as the schemas nest."""
+    matched, depth = with_rules(records, registry)
+    depth = PACKAGED_OBJECTS if registry is None else depth
     new = F.when(F.col("rules").isNotNull(), _normal_object(F.col("body"), F.lit(""), depth))
     return matched.withColumn("body", F.coalesce(new, "body")).drop("rules")
 
 
 def clean_enums(records: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Sets every truthy top-level value outside its field's list to ''."""
-    registry = packaged_registry(records.sparkSession) if registry is None else registry
-    matched = dispatch(records, schema_rules(registry, 1, whole=False), ["rules"])
+    matched, _ = with_rules(records, registry, top_only=True)
 
     def clean(name: Column, value: Column) -> Column:
-        allowed = F.try_element_at("rules", name)["enum"]
+        allowed = F.try_element_at("rules", escaped(name))["enum"]
         j = F.to_json(value)
         bad = ~F.array_contains(allowed, j) & ~j.isin("null", "false", "0", '""')
         return F.when(bad, F.lit("").cast("variant")).otherwise(value)

@@ -78,9 +78,10 @@ def backfill(spark, d):
         batch.select("event_id", "kind").write.mode("overwrite").parquet(f"{base}/table/batch={batch_id}")
 
     stream = _event_stream(spark, d, "fs_events")
-    # The second start finds nothing new: the checkpoint knows what was taken.
-    for _ in range(2):
-        K.run_available(stream, f"{base}/checkpoint", handle).awaitTermination()
+    # The continuous job finds nothing new: the checkpoint knows what was taken.
+    running = K.backfill_then_stream(stream, f"{base}/checkpoint", handle, "1 second")
+    running.processAllAvailable()
+    running.stop()
     return spark.read.parquet(f"{base}/table").groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -136,7 +137,7 @@ def settled_events(spark, d):
 
 @query("k06_repeated_events", f"SELECT DISTINCT path, kind FROM ({_ROUTED}) r")
 def repeated_events(spark, d):
-    routed = K.route_events(_event_stream(spark, d, "fs_events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    routed = K.route_events(_event_stream(spark, d, "fs_events"))
     return _appended(spark, K.dedupe_events(routed).select("path", "kind"), "dedupe")
 
 

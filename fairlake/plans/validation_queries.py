@@ -64,7 +64,9 @@ def _rule_rows(sid, schema, path=""):
 
     yield (f"('{sid}', '{path}', {text(schema.get('type'))}, {_sql_list(schema.get('enum'))}, "
            f"{_sql_list([schema['const']] if 'const' in schema else None)}, {text(schema.get('pattern'))}, "
-           f"{number(schema.get('minimum'))}, {number(schema.get('maximum'))}, {_sql_names(schema.get('required'))}, {text(schema.get('format'))})")
+           f"{number(schema.get('minimum'))}, {number(schema.get('maximum'))}, {_sql_names(schema.get('required'))}, {text(schema.get('format'))}, "
+           f"{number(schema.get('minItems'))}, {number(schema.get('maxItems'))}, {number(schema.get('minLength'))}, {number(schema.get('maxLength'))}, "
+           f"{_sql_names(list(schema.get('properties', {})))}, {'true' if schema.get('additionalProperties') is False else 'false'})")
     dot = path + "." if path else ""
     for name, sub in schema.get("properties", {}).items():
         yield from _rule_rows(sid, sub, dot + name)
@@ -81,7 +83,7 @@ _CONDITIONS = ", ".join(
 
 _NODES = f"""
 WITH recs AS MATERIALIZED (SELECT record_key, metadata_type, raw, {_SID} AS sid FROM $records r),
-rules(sid, rule_path, type, enum, const, pattern, minimum, maximum, required, format) AS (VALUES {_RULES}),
+rules(sid, rule_path, type, enum, const, pattern, minimum, maximum, required, format, min_items, max_items, min_length, max_length, names, closed) AS (VALUES {_RULES}),
 nodes AS MATERIALIZED (SELECT record_key, metadata_type, recs.sid, ltrim(regexp_replace(j.fullkey[2:], '\\[(\\d+)\\]', '.\\1', 'g'), '.') AS path,
   ltrim(regexp_replace(j.fullkey[2:], '\\[\\d+\\]', '.[]', 'g'), '.') AS rule_path, j.type AS t, j.value AS v FROM recs, json_tree(recs.raw) j),
 n AS MATERIALIZED (SELECT nodes.*, r.* EXCLUDE (sid, rule_path), CASE r.type WHEN 'string' THEN t = 'VARCHAR' WHEN 'integer' THEN t LIKE '%BIGINT' OR (t = 'DOUBLE' AND TRY_CAST(v AS DOUBLE) % 1 = 0)
@@ -100,7 +102,12 @@ _BAD = {
     "conditional": f"""SELECT record_key, metadata_type, need, 'conditional' FROM recs JOIN (VALUES {_CONDITIONS}) c(sid, field, allowed, need) ON recs.sid = c.sid
       WHERE (json_extract(raw, field) IS NULL OR list_contains(allowed, CAST(json_extract(raw, field) AS VARCHAR)))
       AND NOT list_contains(json_keys(raw), need)""",
-    "items": "SELECT record_key, metadata_type, path, 'items' FROM n WHERE false",
+    "items": """SELECT record_key, metadata_type, path, 'items' FROM n WHERE t = 'ARRAY'
+      AND (json_array_length(v) < min_items OR json_array_length(v) > max_items)""",
+    "length": "SELECT record_key, metadata_type, path, 'length' FROM n WHERE length(s) < min_length OR length(s) > max_length",
+    "additional": """SELECT record_key, metadata_type, CASE WHEN path = '' THEN k ELSE path || '.' || k END, 'additional' FROM n, unnest(json_keys(v)) u(k)
+      WHERE t = 'OBJECT' AND closed AND NOT coalesce(list_contains(names, k), false)""",
+    "schema": "SELECT record_key, metadata_type, path, 'schema' FROM n WHERE false",  # packaged schemas use supported keywords only
     "format": """SELECT record_key, metadata_type, path, 'format' FROM n WHERE s IS NOT NULL AND enum IS NULL AND CASE format
       WHEN 'date' THEN TRY_CAST(s AS DATE) IS NULL OR length(s) <> 10
       WHEN 'date-time' THEN NOT regexp_matches(s, 'T[0-9:.]+Z$')

@@ -38,8 +38,10 @@ def parse_records(raw: DataFrame, source: str = "raw") -> DataFrame:
 def load_records(spark: SparkSession, root: str) -> DataFrame:
     """All JSON records in the ``.metadata`` folders of projects and datasets below ``root``, one row each.
 
-    The folders are named in the path: Spark does not list hidden folders by itself.
+    The folders are named in the path: Spark does not list hidden folders by itself. Of a member
+    that an object has twice the last value counts.
     """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     folders = f"{root.rstrip('/')}/{{*,*/*}}/{C.METADATA_DIR}"
     texts = spark.read.option("pathGlobFilter", "*.json").text(folders, wholetext=True).select(
         F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))

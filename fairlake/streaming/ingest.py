@@ -43,7 +43,7 @@ def route_events(events: DataFrame) -> DataFrame:
     action = (
         F.when(kind == "created", placed)
         .when((kind == "moved") & ~P.is_ignored(p, ~is_dir), placed)
-        .when((kind == "modified") & ~is_dir & (P.base_name(p) == "experiment_contextual.json"), "check_completion")
+        .when((kind == "modified") & ~is_dir & P.in_metadata(p) & p.endswith("experiment_contextual.json"), "check_completion")
     )
     return routed.withColumn("action", action)
 
@@ -54,10 +54,12 @@ def settled(events: DataFrame, now: Column, min_age_seconds: int, listing: DataF
     return ripe if listing is None else ripe.join(listing.select("path"), "path", "left_semi")
 
 
-def dedupe_events(events: DataFrame, keys: tuple[str, ...] = ("path", "kind"), delay: str = "10 minutes",
-                  ts: str = "ts") -> DataFrame:
-    """Repeated events of a path within the delay collapse into one."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+def dedupe_events(events: DataFrame, keys: tuple[str, ...] = ("path", "kind")) -> DataFrame:
+    """The first event of every key; repeated ones collapse however a stream is cut into batches.
+
+    The state holds one small entry per key, spread over the shuffle partitions.
+    """
+    return events.dropDuplicates(list(keys))
 
 
 def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -143,9 +145,9 @@ def quota_writer(table: str, state: str, limit: int, window_seconds: int, client
         out = f"{table}/batch={batch_id}"
         quota_audit(rows, limit, window_seconds, client, ts, tie).write.mode("overwrite").parquet(out)
         decided = spark.read.parquet(out)
-        newest = decided.groupBy(client).agg(F.max(ts).alias("_newest"))
-        live = F.col(ts) > F.col("_newest") - F.make_dt_interval(secs=F.lit(window_seconds))
-        kept = decided.where("allowed").join(newest, client).where(live).select(client, ts, tie)
+        newest = decided.agg(F.max(ts)).scalar()  # over all clients, so those that left expire too
+        live = F.col(ts) > newest - F.make_dt_interval(secs=F.lit(window_seconds))
+        kept = decided.where("allowed").where(live).select(client, ts, tie)
         io.write_snapshot(kept, state, batch_id + 1)
 
     return handle

@@ -71,19 +71,24 @@ def test_dedupe_names_brute_force(spark):
     assert {r.seq: r.stored_name for r in got.collect()} == _names(uploads, taken)
 
 
-def test_running_total_of_a_hot_key(spark):
-    df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("k"), "id", (F.col("id") % 7).alias("v"))
-    plain = ranking.running_total(df, ["k"], "id", "v", "t")
-    sliced = ranking.running_total(df, ["k"], "id", "v", "t", slices=8, hot_rows=10)
-    assert sorted(plain.collect()) == sorted(sliced.select(plain.columns).collect())
-
-
-def test_validity_of_a_hot_record(spark):
+@pytest.mark.parametrize("slices", [1, 8])
+def test_running_total_of_a_hot_key_with_nulls(spark, slices):
+    rows = [("hot" if i % 3 else None if i % 2 else "cold", None if i < 2 else i * 37 % 1000, i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k STRING, id BIGINT, v BIGINT")
+    want, sums = [], {}
+    for k, i, v in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
+        sums[k] = sums.get(k, 0) + v
+        want.append((k, i, v, sums[k]))
+    got = [tuple(r) for r in ranking.running_total(df, ["k"], "id", "v", "t", slices=slices).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("versions", [7, 4096])
+def test_validity_of_a_hot_record(spark, versions):
     df = spark.range(500).select(F.concat(F.lit("r"), F.col("id") % 2).alias("record_key"), F.floor(F.col("id") / 2).alias("version"),
                                  (F.col("id") * 10).alias("commit_ts"))
-    plain = history.with_validity(df)
-    sliced = history.with_validity(df, slices=8, hot_rows=10)
-    assert sorted(plain.collect()) == sorted(sliced.select(plain.columns).collect())
+    got = {(r.record_key, r.version): (r.valid_from, r.valid_to) for r in history.with_validity(df, versions).collect()}
+    assert got == {(f"r{i % 2}", i // 2): (i * 10, (i + 2) * 10 if i < 498 else None) for i in range(500)}
 
 
 def _quota(rows, n, w):
@@ -95,12 +100,11 @@ def _quota(rows, n, w):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 5])
-def test_quota_brute_force(spark, hot_rows):
+def test_quota_brute_force(spark):
     rnd = random.Random(5)
     rows = [(f"c{rnd.randrange(3)}", rnd.randrange(0, 4000), i) for i in range(400)]
     df = spark.createDataFrame(rows, "client_id STRING, t BIGINT, event_id BIGINT").withColumn("ts", F.timestamp_seconds("t"))
-    got = oplog.quota_audit(df, 2, 60, hot_rows=hot_rows).collect()
+    got = oplog.quota_audit(df, 2, 60).collect()
     assert {r.event_id: r.allowed for r in got} == _quota(rows, 2, 60)
 
 
@@ -225,3 +229,10 @@ def test_quota_stream_equals_batch(spark, tmp_path):
         ingest.stream_quota(stream, table, state, mark, 2, 60).awaitTermination()
     got = {r.event_id: r.allowed for r in spark.read.parquet(table).where("NOT carried").collect()}
     assert got == _quota(rows, 2, 60)
+
+
+def test_percentiles_with_infinite_and_missing_values(spark):
+    values = [float("inf"), float("-inf"), 1.0, 2.0, 3.0, None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "latency_ms DOUBLE")
+    got = {r.percentile: r.value for r in oplog.latency_percentiles(df, [0, 50, 100]).collect()}
+    assert got == {0: float("-inf"), 50: 2.0, 100: float("inf")}
