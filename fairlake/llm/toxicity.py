@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW_WORDS, LONGEST_WORD, GRAM = 8, 256, 6
-COMMON_BYTES, OWN_BYTES = 112_000, 2048
+COMMON_BYTES, OWN_BYTES = 112_000, 1536
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -73,11 +73,11 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     the same length there.
     """
     a, b, ratio = _gram_documents(toxic), _gram_documents(ordinary), len(ordinary) / len(toxic)
-    telling = {g for g, n in a.items() if n >= 3 and n * ratio >= 6 * b[g] and (n * ratio - b[g]) / (n * ratio + b[g] + 1) ** 0.5 > 4}
+    telling = {g for g, n in a.items() if n >= 3 and n * ratio >= 6 * b[g] and (n * ratio - b[g]) / (n * ratio + b[g] + 1) ** 0.5 > 6}
     passages = [p for p in (_passages(t, telling) for t in toxic) if len(p) >= 8]
     plain = [w for t in ordinary for w in windows(t)]
     common = _trained(plain[::max(1, len(plain) // 60_000)], COMMON_BYTES, 48)
-    own = _trained(passages, OWN_BYTES, 16) if passages else b""
+    own = _trained(passages, OWN_BYTES, 24) if passages else b""
     return common + common[-len(own):] if own else common, common + own
 
 
@@ -128,7 +128,7 @@ def _calibrate(found: np.ndarray, marks: np.ndarray, prior: float) -> tuple[np.n
     return mean, spread, weights
 
 
-def train(toxic: list[str], ordinary: list[str], prior: float = 0.25) -> ToxicityModel | None:
+def train(toxic: list[str], ordinary: list[str], prior: float = 0.2) -> ToxicityModel | None:
     """Fits dictionaries and calibration; None if a class has fewer than four texts.
 
     The calibration sees each half of the sample with dictionaries of the other half, since a
@@ -152,7 +152,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-        rows_per_class: int = 1500, sample_bytes: int = 1 << 24, prior: float = 0.25) -> ToxicityModel | None:
+        rows_per_class: int = 1500, sample_bytes: int = 1 << 24, prior: float = 0.2) -> ToxicityModel | None:
     """Trains on a bounded sample of labelled rows that are not held out.
 
     At most ``rows_per_class`` labelled ids of each class are drawn by hash; their texts are
