@@ -18,9 +18,12 @@ from fairlake.session import shared_dir
 #: White space of Unicode. Byte-level BPE never joins what stands before a run of it with the run,
 #: so a run with the characters after it can be encoded by itself, and its ids remembered.
 _SPACE = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Chunks whose ids a task remembers; a full memory starts anew.
-REMEMBERED = 1 << 19
+#: Nor does it join a letter with the ASCII character after it that is no letter.
+_CHUNK = re.compile(rf"[{_SPACE}]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Chunks whose ids a task remembers, twice: those used of late, and those used before them.
+REMEMBERED = 1 << 17
+#: Bytes of ids that are handed on together.
+TOGETHER = 1 << 22
 
 
 class Encoder:
@@ -30,13 +33,19 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def encode(self, text: str | None) -> bytes:
         chunks = _CHUNK.findall(text or "")
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(chunks).difference(self.known))
+            self.known, self.older = {}, self.known
+        new = []
+        for chunk in set(chunks).difference(self.known):
+            ids = self.older.get(chunk)
+            if ids is None:
+                new.append(chunk)
+            else:
+                self.known[chunk] = ids
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.known[chunk] = struct.pack(f"<{len(found.ids)}I", *found.ids)
         return b"".join(map(self.known.__getitem__, chunks))
@@ -51,17 +60,24 @@ def _token_rows(path: str, end_id: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, before, end = _encoder(path), TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
         for batch in batches:
-            out = []
+            out, size = [], 0
             for doc, text in zip(batch["id"], batch["text"]):
                 ids = encoder.encode(text) + end
                 out.append((part, before, None if pd.isna(doc) else int(doc), len(ids) // 4, ids))
                 before += len(ids) // 4
-            frame = pd.DataFrame(out, columns=["part", "before", "id", "n", "ids"])
-            yield frame.astype({"id": "Int64"})
+                size += len(ids)
+                if size > TOGETHER:
+                    yield _frame(out)
+                    out, size = [], 0
+            yield _frame(out)
 
     return rows
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["part", "before", "id", "n", "ids"]).astype({"id": "Int64"})
+
+
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """Token ids of every document, with its partition and the tokens that the partition has before it.
 
