@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairlake import constants as C
 from fairlake.functions import variants as V
 from fairlake.operators.registry import unescaped, with_rules
+from fairlake.operators.templates import linked_body
 
 
 def completion_gate(contextual: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -52,26 +53,39 @@ ENVELOPE_FILLED = 9
 def finalize(records: DataFrame, run_ts: str, registry: DataFrame | None = None, generated_by: str = "fairlake") -> DataFrame:
     """Complete records of all datasets that pass the gate and have all five components.
 
-    The dataset components meet in one aggregation per dataset; the two project components
-    are joined on the project.
+    An empty dataset link of a contextual record is filled with the structural record's id
+    first. Published is what the complete-record schema allows: components that are objects and
+    a run id that is a string. The other components are scored where they are; those of a dataset, and those of a
+    project, then meet in one aggregation each, and the two results are joined on the project.
     """
+    kinds = {"dataset": ("dataset_administrative", "dataset_structural", "experiment_contextual"),
+             "project": ("project_descriptive", "project_administrative")}
     contextual = completion_gate(records.where("metadata_type = 'experiment_contextual'"), registry)
-    ready = contextual.where(F.col("complete") & (F.coalesce("experiment_id", F.lit("")) != "")).select(
-        "project_key", "dataset_key", "experiment_id", F.col("body").alias("experiment_contextual"))
-
-    def part(kind: str, *keys: str) -> DataFrame:
-        return records.where(F.col("metadata_type") == kind).select(*keys, F.col("body").alias(kind))
-
-    whole = ready
-    for kind in ("dataset_administrative", "dataset_structural"):
-        whole = whole.join(part(kind, "project_key", "dataset_key"), ["project_key", "dataset_key"])
-    for kind in ("project_descriptive", "project_administrative"):
-        whole = whole.join(part(kind, "project_key"), "project_key")
-    whole = whole.withColumn("_all", F.to_variant_object(F.struct(*C.COMPONENT_TYPES)))
-    scored = completeness(whole, "_all")
-    # The five component names are counted both by the wrapping and as members of _all.
-    total = F.col("total_fields") - len(C.COMPONENT_TYPES) + ENVELOPE_FIELDS
-    score = (F.col("filled_fields") + ENVELOPE_FILLED) / total
+    text_id = V.kind(V.field("body", "experiment_identifier_run_id")) == "string"
+    ready = contextual.where(F.col("complete") & text_id & (F.coalesce("experiment_id", F.lit("")) != "")).select(
+        "project_key", "dataset_key", "metadata_type", "body", "experiment_id",
+        F.lit(0).alias("total_fields"), F.lit(0).alias("filled_fields"))
+    others = completeness(records.where("metadata_type <> 'experiment_contextual'")).select(
+        "project_key", "dataset_key", "metadata_type", "body", F.lit(None).cast("string").alias("experiment_id"), "total_fields", "filled_fields")
+
+    def together(rows: DataFrame, keys: list[str], owner: str) -> DataFrame:
+        objects = rows.where(F.col("metadata_type").isin(*kinds[owner]) & (V.kind("body") == "object"))
+        mine = objects.groupBy(*keys).agg(
+            *[F.first(F.when(F.col("metadata_type") == k, F.struct("body", "experiment_id", "total_fields", "filled_fields")),
+                      ignorenulls=True).alias(f"_{k}") for k in kinds[owner]])
+        have = [F.col(f"_{k}").isNotNull() for k in kinds[owner]]
+        return mine.where(have[0] & have[1] & have[-1])
+
+    datasets = together(ready.unionByName(others), ["project_key", "dataset_key"], "dataset")
+    projects = together(others.drop("dataset_key"), ["project_key"], "project")
+    whole = datasets.join(projects, "project_key").select(
+        "project_key", "dataset_key", F.col("_experiment_contextual.experiment_id").alias("experiment_id"),
+        linked_body(F.col("_experiment_contextual.body"), V.field("_dataset_structural.body", "dataset_identifier")).alias("experiment_contextual"),
+        *[F.col(f"_{k}.body").alias(k) for k in C.COMPONENT_TYPES if k != "experiment_contextual"],
+        sum((F.col(f"_{k}.total_fields") for k in C.COMPONENT_TYPES), F.lit(0)).alias("_total"),
+        sum((F.col(f"_{k}.filled_fields") for k in C.COMPONENT_TYPES), F.lit(0)).alias("_filled"))
+    scored = completeness(whole, "experiment_contextual").withColumn("_all", F.to_variant_object(F.struct(*C.COMPONENT_TYPES)))
+    score = (F.col("filled_fields") + F.col("_filled") + ENVELOPE_FILLED) / (F.col("total_fields") + F.col("_total") + ENVELOPE_FIELDS)
     document = F.to_json(F.struct(
         F.lit("2.0").alias("version"), F.col("experiment_id").alias("experiment_identifier"),
         F.col("_all").alias("metadata_components"),

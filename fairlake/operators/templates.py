@@ -163,9 +163,13 @@ def init_contextual(datasets: DataFrame, run_ts: str, registry: DataFrame | None
     return joined.select("project_key", "dataset_key", F.col("_s.schema_id").alias("schema_id"), body.alias("body"))
 
 
+def linked_body(body: Column, identifier: Column) -> Column:
+    """A contextual body whose empty dataset link is set to the identifier, if that is not empty."""
+    missing = ~truthy(V.field(body, "dataset_identifier_link")) | V.field(body, "dataset_identifier_link").isNull()
+    return with_members(body, {"dataset_identifier_link": F.when(missing & truthy(identifier), identifier)})
+
+
 def fill_dataset_link(contextual: DataFrame, structural: DataFrame, key: tuple[str, ...] = ("dataset_key",)) -> DataFrame:
     """Sets an empty dataset link of contextual records to the id in the structural record, if that has one."""
     ids = structural.select(*key, V.field("body", "dataset_identifier").alias("_id"))
-    missing = ~truthy(V.field("body", "dataset_identifier_link"))
-    body = with_members(F.col("body"), {"dataset_identifier_link": F.when(missing & truthy(F.col("_id")), F.col("_id"))})
-    return contextual.join(ids, list(key), "left").withColumn("body", body).drop("_id")
+    return contextual.join(ids, list(key), "left").withColumn("body", linked_body(F.col("body"), F.col("_id"))).drop("_id")

@@ -299,9 +299,13 @@ def quality(spark, d):
 @query("h05_finalize", _NODES + f"""
 , c AS ({_COUNTS}), g AS ({_GATE})
 SELECT x.project_key, x.dataset_key, g.run_id AS experiment_id, round(score, 9) AS completeness_score, round(score * 0.8 + 0.2, 9) AS quality_score FROM (
-  SELECT k.record_key, k.project_key, k.dataset_key, (c1.filled_fields + c2.filled_fields + c3.filled_fields + c4.filled_fields + c5.filled_fields + 9) /
-    CAST(c1.total_fields + c2.total_fields + c3.total_fields + c4.total_fields + c5.total_fields + 20 AS DOUBLE) AS score
-  FROM $contextual k JOIN $dataset_admin a ON a.dataset_key = k.dataset_key JOIN c c1 ON c1.record_key = k.record_key JOIN c c2 ON c2.record_key = a.record_key
+  SELECT k.record_key, k.project_key, k.dataset_key, (c1.filled_fields + c2.filled_fields + c3.filled_fields + c4.filled_fields + c5.filled_fields + linked + 9) /
+    CAST(c1.total_fields + c2.total_fields + c3.total_fields + c4.total_fields + c5.total_fields + added + 20 AS DOUBLE) AS score
+  FROM (SELECT q.*, CASE WHEN empty_link AND coalesce(st.raw ->> '$.dataset_identifier', '') <> '' THEN 1 ELSE 0 END AS linked,
+      CASE WHEN linked = 1 AND json_extract(q.raw, '$.dataset_identifier_link') IS NULL THEN 1 ELSE 0 END AS added
+    FROM (SELECT *, coalesce(raw ->> '$.dataset_identifier_link', '') IN ('', '0', 'false') AS empty_link FROM $contextual x) q
+    JOIN $records st ON st.record_key = 'dss:' || q.doc_id) k
+  JOIN $dataset_admin a ON a.dataset_key = k.dataset_key JOIN c c1 ON c1.record_key = k.record_key JOIN c c2 ON c2.record_key = a.record_key
   JOIN c c3 ON c3.record_key = 'dss:' || k.doc_id JOIN c c4 ON c4.record_key = replace(k.project_key, 'p_', 'prd:') JOIN c c5 ON c5.record_key = replace(k.project_key, 'p_', 'pra:')) x
 JOIN g ON g.record_key = x.record_key WHERE g.complete AND g.run_id <> ''""")
 def finalize(spark, d):

@@ -17,7 +17,7 @@ def connect(sf_dir: str):
 
 
 def _cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, float):
         return repr(v)

@@ -236,3 +236,96 @@ def test_percentiles_with_infinite_and_missing_values(spark):
     df = spark.createDataFrame([(v,) for v in values], "latency_ms DOUBLE")
     got = {r.percentile: r.value for r in oplog.latency_percentiles(df, [0, 50, 100]).collect()}
     assert got == {0: float("-inf"), 50: 2.0, 100: float("inf")}
+
+
+def _deep(depth, leaf):
+    value = leaf
+    for _ in range(depth):
+        value = {"k": value}
+    return value
+
+
+def _deep_schema(depth, leaf):
+    node = leaf
+    for _ in range(depth):
+        node = {"type": "object", "properties": {"k": node}}
+    return node
+
+
+def _layers(spark, rows):
+    """Registry rows: root, id, source, schema."""
+    data = [(root, sid, source, ["explicit", "local", "custom", "packaged"].index(source), sid, None, json.dumps(body)) for root, sid, source, body in rows]
+    return spark.createDataFrame(data, "data_root STRING, schema_id STRING, source STRING, priority INT, title STRING, description STRING, body STRING")
+
+
+def _records(spark, rows):
+    data = [(f"r{i}", "project_descriptive", json.dumps(body), root) for i, (root, body) in enumerate(rows)]
+    return spark.createDataFrame(data, "record_key STRING, metadata_type STRING, raw STRING, data_root STRING").withColumn("body", F.parse_json("raw"))
+
+
+def test_completeness_at_any_depth_and_with_odd_texts(spark):
+    bodies = [_deep(12, "x"), _deep(12, ""), {"a\"": "q\"\"", "b": "To be filled", 'c:,[]{}"': "say \"To be filled\"", "d": [0.0, -0, 1e5, "s", None, [2, []], {"e": False}]},
+              {}, [], {"a": {}, "b": [], "c": "\\"}, {"n": [[["x", ""]], True], "esc": "\\\"", "u": "\u2028é"}]
+    df = _records(spark, [("", b) for b in bodies])
+
+    def count(v):
+        total = filled = 0
+        for x, member in ([(x, True) for x in v.values()] if isinstance(v, dict) else [(x, False) for x in v]):
+            inner = isinstance(x, (dict, list))
+            total += member or not inner
+            if inner:
+                t, f = count(x)
+                total, filled = total + t, filled + f
+            else:
+                filled += bool(x) and x != "To be filled"
+        return total, filled
+
+    got = {r.record_key: (r.total_fields, r.filled_fields) for r in quality.completeness(df).collect()}
+    assert got == {f"r{i}": count(b) for i, b in enumerate(bodies)}
+
+
+def test_validation_and_normalisation_as_deep_as_the_schema(spark):
+    registry = _layers(spark, [("", "project_descriptive", "local", _deep_schema(9, {"type": "integer"}))])
+    df = _records(spark, [("", _deep(9, 5)), ("", _deep(9, "no")), ("", _deep(4, "x"))]).drop("data_root")
+    got = {r.record_key: [(v.field_path, v.rule) for v in r.violations] for r in validation.validate(df, registry).collect()}
+    assert got == {"r0": [], "r1": [("k" + ".k" * 8, "type")], "r2": [("k.k.k.k", "type")]}
+    shallow = _layers(spark, [("", "project_descriptive", "local", _deep_schema(4, {"type": "integer"}))])
+    text = validation.normalize(_records(spark, [("", _deep(4, "5"))]).drop("data_root"), shallow).select(F.to_json("body")).first()[0]
+    assert json.loads(text) == _deep(4, 5)
+
+
+def test_layers_and_roots_give_one_row_per_record(spark):
+    one, two = {"type": "object", "required": ["a"], "properties": {"a": {"type": "string"}}}, {"type": "object", "required": ["b"]}
+    registry = _layers(spark, [("x", "project_descriptive", "packaged", two), ("x", "project_descriptive", "explicit", one),
+                               ("x", "project_descriptive", "custom", two), ("y", "project_descriptive", "packaged", two)])
+    df = _records(spark, [("x", {"a": "v"}), ("y", {"a": "v"}), ("z", {"a": "v"})])
+    rows = validation.validate(df, registry).collect()
+    assert {r.record_key: [v.field_path for v in r.violations] for r in rows} == {"r0": [], "r1": ["b"], "r2": []} and len(rows) == 3
+    assert validation.validate(df.drop("data_root"), registry).count() == 3
+    assert validation.normalize(df, registry).count() == 3 and validation.clean_enums(df, registry).count() == 3
+    assert quality.section_progress(df, registry).select("record_key").distinct().count() == 1
+    dirs = spark.createDataFrame([("p_1", "x"), ("p_2", "y")], "project_key STRING, data_root STRING")
+    got = {r.project_key: json.loads(r.b) for r in templates.init_projects(dirs, "t", registry).select("project_key", F.to_json("body").alias("b")).collect()}
+    assert set(got) == {"p_1", "p_2"} and "a" in got["p_1"]
+
+
+def test_dotted_names_type_lists_lengths_and_closed_objects(spark):
+    schema = {"type": "object", "additionalProperties": False, "properties": {
+        "a.b": {"type": "integer"}, "a": {"type": "object", "properties": {"b": {"type": "string", "minLength": 3}}},
+        "t": {"type": ["string", "integer"]}, "u": {"type": "string", "anyOf": [{"minLength": 1}]}}}
+    df = _records(spark, [("", {"a.b": 1, "a": {"b": "long"}, "t": 4}), ("", {"a.b": "x", "a": {"b": ""}, "t": True, "more": 1}), ("", {"u": "v"})])
+    rows = validation.validate(df.drop("data_root"), _layers(spark, [("", "project_descriptive", "local", schema)])).collect()
+    got = {r.record_key: sorted((v.field_path, v.rule) for v in r.violations) for r in rows}
+    assert got == {"r0": [], "r1": [("a.b", "length"), ("a.b", "type"), ("more", "additional"), ("t", "type")], "r2": [("u", "schema")]}
+
+
+def test_gate_takes_any_white_space_for_empty(spark):
+    assert values(spark, ['"\\t"', '"\\u00a0 "', '"x"', "null", '"To be filled"'], V.passes_gate(F.parse_json("v"))) == [False, False, True, False, False]
+
+
+def test_updates_of_one_record_are_reduced_in_order(spark):
+    current = _records(spark, [("", {"a": 1, "b": 1})]).drop("raw", "data_root")
+    updates = spark.createDataFrame([("r0", "project_descriptive", '{"a":2,"c":2}', 2), ("r0", "project_descriptive", '{"a":3}', 3), ("r0", "project_descriptive", '{"c":1}', 1)],
+                                    "record_key STRING, metadata_type STRING, raw STRING, seq INT").withColumn("body", F.parse_json("raw")).drop("raw")
+    rows = records.merge_records(current, updates, ["seq"]).select(F.to_json("body").alias("b")).collect()
+    assert [json.loads(r.b) for r in rows] == [{"a": 3, "b": 1, "c": 2}]
