@@ -40,7 +40,8 @@ def targets(sizes: DataFrame, weights: DataFrame, share: float, epochs: int) ->
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("left_weight"))
     # weight * left_words / left_weight is what a source gets if all drier ones stop at their most
     level = level.withColumn("dry", F.col("weight") * F.col("left_words") >= F.col("most") * F.col("left_weight"))
-    first = F.min(F.when(~F.col("dry"), F.struct(F.col("most") / F.col("weight"), "left_words", "left_weight"))).over(everything)
+    level = level.withColumn("place", F.row_number().over(dry))
+    first = F.min(F.when(~F.col("dry"), F.struct("place", "left_words", "left_weight"))).over(everything)
     last = F.max(F.col("most") / F.col("weight")).over(everything)
     return level.withColumn("first", first).withColumn("last", last).select(
         "source", "source_size", "weight",
@@ -114,9 +115,9 @@ def _positions(served: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The mixed corpus: rows of ``docs``, a row twice if it is taken twice, with ``position`` and ``taken``.
+    """The mixed corpus: rows of ``docs``, a row twice if it is taken twice, with ``epoch``, ``taken`` and ``position``.
 
-    Takes the options of :func:`queue`. A document that the end of the mix cuts keeps its first
+    Columns of these names are replaced. Takes the options of :func:`queue`. A document that the end of the mix cuts keeps its first
     ``taken`` words, joined by one blank. Ids should be unique here: rows that share one are told
     apart by source and size only.
     """
@@ -124,10 +125,11 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     served = queue(docs, text=text, **options).where("taken > 0").groupBy(
         F.col(id_col).alias("q_id"), F.col("source").alias("q_source"), F.col("size").alias("q_size"), "epoch", "before").agg(
         F.first("taken").alias("taken"), F.first("position").alias("position"))
-    found = words(F.col(text))
-    sized = docs.withColumn("row_size", F.size(found).cast("long"))
+    found = words(F.col(f"row.{text}"))
+    sized = docs.select(F.struct(*docs.columns).alias("row")).withColumn("row_size", F.size(found).cast("long"))
     cut = F.when(F.col("taken") < F.col("row_size"), F.array_join(F.slice(found, 1, F.col("taken").cast("int")), " "))
-    joined = sized.join(served, F.col(id_col).eqNullSafe(F.col("q_id")) & F.col(source).eqNullSafe(F.col("q_source"))
+    joined = sized.join(served, F.col(f"row.{id_col}").eqNullSafe(F.col("q_id")) & F.col(f"row.{source}").eqNullSafe(F.col("q_source"))
                         & (F.col("row_size") == F.col("q_size")))
-    return joined.select(*[F.coalesce(cut, F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns],
-                         "epoch", "taken", "position")
+    added = ["epoch", "taken", "position"]
+    return joined.select(*[F.coalesce(cut, F.col(f"row.{c}")).alias(c) if c == text else F.col(f"row.{c}")
+                           for c in docs.columns if c not in added], *added)

@@ -98,7 +98,7 @@ lev AS (
          sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY dry_at, source IS NULL, source
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_weight FROM full_),
 dry AS (SELECT *, weight * left_words >= most * left_weight AS is_dry FROM lev),
-lim AS (SELECT left_words AS lw, left_weight AS lg FROM dry WHERE NOT is_dry ORDER BY dry_at LIMIT 1),
+lim AS (SELECT left_words AS lw, left_weight AS lg FROM dry WHERE NOT is_dry ORDER BY dry_at, source IS NULL, source LIMIT 1),
 goal AS (
   SELECT source, source_size, CASE WHEN is_dry THEN most::DOUBLE
          ELSE weight * (SELECT lw FROM lim)::DOUBLE / (SELECT lg FROM lim)::DOUBLE END AS target FROM dry),

@@ -126,7 +126,7 @@ def _write_part(folder: str, dictionary: bytes, date: str):
                 if stream is None:
                     files, path = _files(target)
                     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    stream = files.open_output_stream(path)
+                    stream = files.open_output_stream(path, compression=None)
                     stream.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
                 name = f"{ID_PREFIX}{row.id}" if not pd.isna(row.id) else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{part}-{count}')}"
                 refers = None if pd.isna(row.refers_to) else f"{ID_PREFIX}{int(row.refers_to)}"
@@ -172,7 +172,7 @@ class _Reader:
 
     def __init__(self, path: str):
         files, inner = _files(path)
-        self.path, self.stream, self.held, self.at = path, files.open_input_stream(inner), b"", 0
+        self.path, self.stream, self.held, self.at = path, files.open_input_stream(inner, compression=None), b"", 0
 
     def _need(self, n: int) -> bool:
         while len(self.held) < n and (more := self.stream.read(PIECE)):

@@ -78,7 +78,7 @@ def archive(tmp_path, *records, dictionary=b"", lead=True):
     (record().replace(b"WARC-Date", b"X-Date"), "warc-date"),
     (record() + b"x", "length"),
     (record().replace(b"<html>", b"<HTML>"), "payload"),
-    (record().replace(b"HTTP/1.1", b"FTP"), "HTTP"),
+    (record().replace(b"HTTP/1.1", b"FTTP/1.1"), "HTTP"),
     (record().replace(b"response\r\nWARC-Record", b"revisit\r\nWARC-Record"), "revisit"),
     (b"junk", "end"),
 ])
