@@ -58,11 +58,21 @@ def _per_char(value: str, pattern: str) -> Column:
 
 
 def measured(found: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Adds ``FEATURES``. Coverage is the share of a value's characters in dictionary words."""
+    """Adds ``FEATURES``.
+
+    Coverage is the share of a value's characters in dictionary words that begin or end its runs of letters.
+    """
     found = found.withColumn("key", F.xxhash64("row_key", "place"))
-    parts = found.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("part"))
-    covered = parts.join(dictionary.select("word"), F.col("part") == F.col("word")).groupBy("key").agg(
-        F.sum(F.length("part")).alias("covered"))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    split = found.select("key", F.explode(runs).alias("run")).withColumn("n", F.length("run"))
+    sizes = F.sequence(F.lit(3), F.least(F.col("n"), F.lit(20)))
+    ends = F.concat(F.transform(sizes, lambda k: F.struct(F.lit(0).alias("side"), F.substr("run", F.lit(1), k).alias("part"))),
+                    F.transform(sizes, lambda k: F.struct(F.lit(1).alias("side"), F.substr("run", F.col("n") - k + 1, k).alias("part"))))
+    parts = split.select("key", "run", "n", F.explode(ends).alias("x")).select("key", "run", "n", "x.side", "x.part")
+    known = parts.join(dictionary.select("word"), F.col("part") == F.col("word")).withColumn("size", F.length("part"))
+    longest = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("size"))), F.lit(0))
+    per_run = known.groupBy("key", "run", "n").agg((longest(0) + longest(1)).alias("both"))
+    covered = per_run.groupBy("key").agg(F.sum(F.least("n", "both")).alias("covered"))
     covered = covered.withColumnRenamed("key", "k")
     around = F.concat_ws(" ", "before", "name")
     path = F.coalesce("path", F.lit(""))
