@@ -114,7 +114,10 @@ def train_forest(findings: DataFrame, rows: int = 20_000, trees: int = 30, depth
 
     The sample is one small sorted partition, so reruns build the same trees.
     """
-    sample = settle(findings.select(*FEATURES, "label", F.xxhash64("value", "place").alias("h")).orderBy("h", *FEATURES).limit(rows), "secret-sample")
+    hashed = findings.select(*FEATURES, "label", F.xxhash64("value", "place").alias("h"))
+    share = min(1.0, 2 * rows / max(1, findings.count()))  # so that no more than about twice the sample meets in one task
+    near = hashed.where(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20)))
+    sample = settle(near.orderBy("h", *FEATURES).limit(rows), "secret-sample")
     if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)

@@ -158,7 +158,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     first = sizes.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("times"))
     first = settle(first.where("times > 1").select(F.col("digest").alias("d"), "first"), "warc-first")
     drawn = own.where("payload <> ''").select(F.substring("payload", 1, 1 << 16).alias("x"), F.xxhash64("digest").alias("h"))
-    samples = [r["x"].encode() for r in drawn.orderBy("h").limit(sample).collect()]
+    hashes = [r["h"] for r in drawn.select("h").distinct().orderBy("h").limit(sample).collect()]  # numbers only
+    samples = [r["x"].encode() for r in drawn.where(F.col("h").isin(hashes)).groupBy("h").agg(F.first("x").alias("x")).orderBy("h").collect()]
     linked = own.join(first, F.col("digest") == F.col("d"), "left").select(
         "id", "url", "payload", "digest", F.when(F.col("first") != F.col("id"), F.col("first"))
         .otherwise(F.when(F.col("id").isNull(), F.col("first"))).alias("refers_to"))
