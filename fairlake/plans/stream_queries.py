@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fairlake.functions import paths as P
 from fairlake.operators.manifest import summarize_manifest
 from fairlake.plans.record_queries import TS
-from fairlake.plans.registry import query, spark_text, table, view
+from fairlake.plans.registry import ORACLES, query, spark_text, table, view
 from fairlake.plans.views import VIEWS
 from fairlake.session import shared_dir
 from fairlake.sources import io
@@ -85,23 +85,21 @@ def backfill(spark, d):
     return spark.read.parquet(f"{base}/table").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("k03_finalize_on_change")
+@query("k03_finalize_on_change", f"""
+SELECT project_key, dataset_key, experiment_id, completeness_score FROM ({ORACLES["h05_finalize"]}) z
+WHERE dataset_key IN (SELECT split_part(src_path, '/', -3) FROM $fs_events e WHERE kind = 'modified')""")
 def finalize_on_change(spark, d):
     base = shared_dir(spark, "finalize")
-    # The event tree names datasets by user; give the derived records the matching folder names.
-    folder = F.when(F.col("dataset_key").isNotNull(), F.concat(F.lit("p_"), F.col("doc_id") % 7))
+    # The event tree files datasets under other projects; give the events the folders that the records have.
+    folders = view(spark, d, "contextual").select(F.col("dataset_key").alias("folder"), "project_key")
+    routed = K.route_events(_event_stream(spark, d, "fs_events")).where("action = 'check_completion'")
+    placed = routed.join(folders, F.split_part("path", F.lit("/"), F.lit(-3)) == F.col("folder")).withColumn(
+        "path", F.concat_ws("/", F.lit("/data"), "project_key", "folder", F.lit(".metadata"), F.lit("experiment_contextual.json")))
 
     def records():
-        r = view(spark, d, "records").withColumn("body", F.parse_json("raw"))
-        datasets = r.where("dataset_key IS NOT NULL").withColumn("project_key", folder)
-        projects = r.where("dataset_key IS NULL").groupBy("metadata_type").agg(F.min_by(F.struct("record_key", "raw"), "record_key").alias("p"))
-        spread = projects.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(6)))).select(
-            F.concat(F.lit("p_"), "n").alias("project_key"), "metadata_type", F.parse_json("p.raw").alias("body"),
-            F.lit(None).cast("string").alias("dataset_key"))
-        return datasets.select("project_key", "metadata_type", "body", "dataset_key").unionByName(spread)
+        return view(spark, d, "records").withColumn("body", F.parse_json("raw"))
 
-    routed = K.route_events(_event_stream(spark, d, "fs_events"))
-    K.finalize_on_change(routed, f"{base}/table", f"{base}/checkpoint", records, TS).awaitTermination()
+    K.finalize_on_change(placed.drop("folder", "project_key"), f"{base}/table", f"{base}/checkpoint", records, TS).awaitTermination()
     return spark.read.parquet(f"{base}/table").select(
         "project_key", "dataset_key", "experiment_id", F.round("completeness_score", 9).alias("completeness_score"))
 
