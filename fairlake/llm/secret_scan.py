@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -110,18 +112,28 @@ def rule_findings(found: DataFrame) -> DataFrame:
 
 
 def train_forest(findings: DataFrame, rows: int = 20_000, trees: int = 30, depth: int = 8, seed: int = 7) -> PipelineModel | None:
-    """A forest on at most ``rows`` labelled findings, drawn by hash; None unless both labels occur.
+    """A forest on at most ``rows`` distinct labelled findings; None unless both labels occur in all of them.
 
-    The sample is one small sorted partition, so reruns build the same trees.
+    Copies of a value with equal features count once. The sample is drawn by hash for each label; a rare
+    label gets at least a tenth of the rows, or all it has, and weights keep the labels' shares. It
+    is one small sorted partition, so reruns build the same trees.
     """
-    hashed = findings.select(*FEATURES, "label", F.xxhash64("value", "place").alias("h"))
-    share = min(1.0, 2 * rows / max(1, findings.count()))  # so that no more than about twice the sample meets in one task
-    near = hashed.where(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20)))
-    sample = settle(near.orderBy("h", *FEATURES).limit(rows), "secret-sample")
-    if sample.select("label").distinct().count() < 2:
+    single = settle(findings.where("label IS NOT NULL").select("value", *FEATURES, "label").distinct().withColumn(
+        "h", F.xxhash64("value", *FEATURES)), "secret-labelled")
+    counts = {r["label"]: r["count"] for r in single.groupBy("label").count().orderBy("label").collect()}
+    if len(counts) < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(sample.orderBy("h", *FEATURES).coalesce(1))
+    total, drawn = sum(counts.values()), []
+    quotas = {k: min(n, max(rows * n // total, rows // 10)) for k, n in counts.items()}
+    most = max(quotas, key=lambda k: quotas[k])
+    quotas[most] = min(quotas[most], rows - sum(q for k, q in quotas.items() if k != most))
+    for label, quota in quotas.items():
+        share = min(1.0, (2 * quota + 1000) / counts[label])  # so that not much more than twice the sample meets in one task
+        near = single.where((F.col("label") == label) & (F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))))
+        drawn.append(near.orderBy("h", *FEATURES).limit(quota).withColumn("weight", F.lit(counts[label] / quota)))
+    sample = settle(reduce(DataFrame.unionByName, drawn), "secret-sample")
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(sample.orderBy("h", *FEATURES, "label").coalesce(1))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", path: str = "source",
@@ -131,7 +143,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     ``findings`` holds labelled candidates, ``(value, label)``; without it the rules label what
     they can decide. The dictionary is counted over all documents. Returns ``id_col``,
     ``row_key``, ``place`` (of the word), ``value``, ``before``, ``after``, ``FEATURES``, ``score`` and ``is_secret``. With labels of one kind
-    only, every candidate gets that label; without any, 0. Null and empty texts have no candidates;
+    only in all labelled findings, every candidate gets that label; without any, 0. Null and empty texts have no candidates;
     a null path is an empty one; repeated rows give their candidates each. Further columns are
     ignored. An empty table gives no rows.
     """

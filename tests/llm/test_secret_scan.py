@@ -60,6 +60,16 @@ def test_edge_cases(spark):
     assert all(value not in (r.text or "") for r in clean.collect())
 
 
+def test_rare_label_and_copies_do_not_switch_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan.train_forest, "__defaults__", (200, 30, 8, 7))
+    secret = "ghp_" + "a1B2c3" * 6
+    addresses = spark.range(3_000).selectExpr("id AS doc_id", "concat('mail user', id, '@mail.example.com now') AS text", "'s' AS source")
+    copies = spark.range(3_000).selectExpr("id + 50000 AS doc_id", "'see user7@mail.example.com now' AS text", "'s' AS source")
+    one = spark.createDataFrame([(99_999, f"token = {secret}", "s")], "doc_id long, text string, source string")
+    rows = secret_scan.scan(addresses.union(copies).union(one)).select("value", "is_secret").collect()
+    assert len(rows) == 6_001 and {r.value for r in rows if r.is_secret} <= {secret}
+
+
 def test_no_python_on_the_main_path(spark):
     docs = spark.sql("SELECT 1L AS doc_id, 'token = 0123456789abcdef0123' AS text, 's' AS source")
     plan = secret_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
