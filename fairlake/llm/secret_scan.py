@@ -15,7 +15,13 @@ from fairlake.llm.common import let, settle, words
 
 #: A value: a run that can be a key, a digest, a password or an address.
 SHAPE = r"[A-Za-z0-9+/_=.:@~-]{12,}"
-KEY_NAMES = r"(?i)(?:^|[^a-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth|bearer|credential)s?(?:$|[^a-z])"
+#: What may be a value after a credential's name; every run of SHAPE is one of these too.
+RUN = r"[A-Za-z0-9+/_=.:@~-]{6,}"
+NAMES = r"(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth|bearer|credential)s?"
+KEY_NAMES = rf"(?i)(?:^|[^a-z]){NAMES}(?:$|[^a-z])"
+#: Text that ends with a credential's name and an assignment, and a run that begins so.
+NAMED_BEFORE = rf"(?i)(?:^|[^a-z]){NAMES}[\"'`]?\s*[=:]+\s*[\"'`]*$"
+NAMED_RUN = rf"(?i)^((?:[a-z0-9]+[_.-])*{NAMES})[=:](?=.{{6}})"
 HARMLESS_NAMES = r"(?i)(?:^|[^a-z])(?:example|sample|dummy|uuid|sha1|sha256|md5|hash|commit|checksum|digest|card|phone|mail|url|isbn)(?:$|[^a-z])"
 TEST_PATHS = r"(?i)(?:^|[/._-])(?:test|tests|example|examples|sample|fixture|fixtures|mock|docs?)(?:$|[/._-])"
 CONFIG_PATHS = r"(?i)\.(?:env|ini|cfg|conf|ya?ml|json|toml|properties|tf)$"
@@ -28,22 +34,36 @@ FEATURES = ["length", "digits", "capitals", "class_changes", "vowel_changes", "d
 
 
 def candidates(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
-    """One row per candidate: its row, place among the words, value, the words around it and its path."""
+    """One row per candidate: its row, place among the words, number among the word's runs, value, the text around it and its path.
+
+    Every run of a word is looked at. A run of 12 with a digit or a change of case is a candidate, and
+    so is a value of 6 after a credential's name. The text before a later run is what lies between it and the run before.
+    """
     def pick(w: Column) -> Column:
-        found = F.transform(w, lambda x, i: F.when(x.rlike(SHAPE), F.struct(i.alias("place"), x.alias("word"))))
-        kept = F.filter(found, lambda x: x.isNotNull() & x["word"].rlike("[0-9]|[a-z][A-Z]"))
-        return F.transform(kept, lambda x: F.struct(
+        found = F.transform(w, lambda x, i: F.when(x.rlike(RUN), F.struct(i.alias("place"), x.alias("word"))))
+        kept = F.filter(found, lambda x: x.isNotNull())
+        around = F.transform(kept, lambda x: F.struct(
             x["place"].alias("place"), x["word"].alias("word"),
             F.array_join(F.slice(w, F.greatest(x["place"] - 1, F.lit(1)), F.least(x["place"], F.lit(2))), " ").alias("before"),
             F.array_join(F.slice(w, x["place"] + 2, 2), " ").alias("after")))
+        return F.filter(around, lambda x: x["word"].rlike(f"{SHAPE}|(?i){NAMES}") | x["before"].rlike(NAMED_BEFORE))
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("row_key"), F.col(path).alias("path"),
                        F.explode(let(words(F.col(text)), pick)).alias("x"))
-    run = F.regexp_extract("x.word", SHAPE, 0)
-    name = F.regexp_extract(run, r"^([A-Za-z_.-]{2,40})[=:](?=.{8})", 1)
-    value = F.rtrim(F.when(name != "", F.substr(run, F.length(name) + 2)).otherwise(run), F.lit(".:=~-"))
-    return rows.select("id", "row_key", "path", "x.place", "x.word", "x.before", "x.after", name.alias("name"), value.alias("value")).where(
-        F.length("value") >= 8)
+    runs = F.regexp_extract_all("x.word", F.lit(RUN), F.lit(0))
+    split = rows.select("id", "row_key", "path", "x.*", runs.alias("runs"), F.split("x.word", RUN, -1).alias("gaps"))
+    each = split.select("*", F.posexplode("runs").alias("run", "text"))
+    earlier = F.when(F.col("run") > 0, F.get("runs", F.col("run") - 1))
+    plain = ~earlier.rlike(f"^{SHAPE}$") | ~earlier.rlike("[0-9]|[a-z][A-Z]")
+    own = F.concat(F.when(plain, earlier).otherwise(""), F.get("gaps", F.col("run")))
+    lead = F.when(F.col("run") > 0, own).when((own == "") | (F.col("before") == ""), F.concat("before", own)).otherwise(F.concat_ws(" ", "before", own))
+    each = each.withColumn("before", lead)
+    credential = F.regexp_extract("text", NAMED_RUN, 1)
+    name = F.when(credential != "", credential).otherwise(F.regexp_extract("text", r"^([A-Za-z_.-]{1,40})[=:](?=.{8})", 1))
+    value = F.rtrim(F.when(name != "", F.substr("text", F.length(name) + 2)).otherwise(F.col("text")), F.lit(".:=~-"))
+    shaped = F.col("text").rlike(f"^{SHAPE}$") & F.col("text").rlike("[0-9]|[a-z][A-Z]") & (F.length(value) >= 8)
+    named = (F.col("before").rlike(NAMED_BEFORE) | (credential != "")) & (F.length(value) >= 6)
+    return each.where(shaped | named).select("id", "row_key", "path", "place", "run", "word", "before", "after", name.alias("name"), value.alias("value"))
 
 
 def common_words(docs: DataFrame, text: str, least: int = 5) -> DataFrame:
@@ -64,7 +84,7 @@ def measured(found: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Coverage is the share of a value's characters in dictionary words that begin or end its runs of letters.
     """
-    found = found.withColumn("key", F.xxhash64("row_key", "place"))
+    found = found.withColumn("key", F.xxhash64("row_key", "place", "run"))
     runs = F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"\p{L}{3,}"), F.lit(0)))
     split = found.select("key", F.explode(runs).alias("run")).withColumn("n", F.length("run"))
     sizes = F.sequence(F.lit(3), F.least(F.col("n"), F.lit(20)))
@@ -90,7 +110,7 @@ def measured(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         flag(path.rlike(TEST_PATHS)).alias("is_test_path"), flag(path.rlike(CONFIG_PATHS)).alias("is_config_path"),
         (F.length(path) - F.length(F.replace(path, F.lit("/")))).cast("double").alias("path_depth"),
         flag(around.rlike(KEY_NAMES)).alias("named"),
-        flag((F.col("name") != "") | F.col("before").rlike(r"[=:]$")).alias("assigned"),
+        flag((F.col("name") != "") | F.col("before").rlike("[=:]\\s*[\"'`]*$")).alias("assigned"),
         flag(F.col("word").rlike("[\"'`]")).alias("quoted"),
         flag(F.concat_ws(" ", "before", "name", "after").rlike(HARMLESS_NAMES)).alias("harmless"),
     )
@@ -142,7 +162,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
 
     ``findings`` holds labelled candidates, ``(value, label)``; without it the rules label what
     they can decide. The dictionary is counted over all documents. Returns ``id_col``,
-    ``row_key``, ``place`` (of the word), ``value``, ``before``, ``after``, ``FEATURES``, ``score`` and ``is_secret``. With labels of one kind
+    ``row_key``, ``place`` (of the word), ``run`` (within it), ``value``, ``before``, ``after``, ``FEATURES``, ``score`` and ``is_secret``. With labels of one kind
     only in all labelled findings, every candidate gets that label; without any, 0. Null and empty texts have no candidates;
     a null path is an empty one; repeated rows give their candidates each. Further columns are
     ignored. An empty table gives no rows.
@@ -160,11 +180,12 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
         scored = ready.withColumn("score", F.lit(float(only)))
     else:
         scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
-    keys = ["id", "row_key", "place"]
+    keys = ["id", "row_key", "place", "run"]
     again = found.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_times")).where("_times > 1")
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_row_key")) & (F.col("place") == F.col("_place"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_row_key")) & (F.col("place") == F.col("_place")) & (
+        F.col("run") == F.col("_run"))
     every = scored.join(again, same, "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_times", F.lit(1)))))
-    return every.select(F.col("id").alias(id_col), "row_key", "place", "value", "before", "after", *FEATURES, "score",
+    return every.select(F.col("id").alias(id_col), "row_key", "place", "run", "value", "before", "after", *FEATURES, "score",
                         (F.col("score") >= threshold).alias("is_secret"))
 
 
