@@ -122,3 +122,23 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ho
     return rows.join(taken, "row_key", "left").select(
         F.col("id").alias(id_col), "m.*", gone.alias("n_line_words"), failed.alias("base_failed"),
         (~failed & (gone <= depleted * F.col("m.n_words"))).alias("kept"))
+
+
+def remove_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source",
+                          share: float = 0.05, least: int = 10) -> DataFrame:
+    """``docs`` with ``kept_text``: the text's lines without those that many documents of its host share, in order.
+
+    Lines are frequent as in ``line_quality``. Lines without words stay. Every row stays; a null text stays null.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(host).alias("host"))
+    lines = host_lines(own, "id", "text", "host")
+    often = frequent_lines(lines, own, "text", "host", share, least)
+    hit = lines.join(
+        often.select(F.col("host").alias("h"), F.col("line").alias("l")),
+        F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left_semi")
+    gone = hit.groupBy(F.col("row_key").alias("_key")).agg(F.collect_set("line").alias("_gone"))
+    joined = docs.join(gone, F.xxhash64(id_col, host, text) == F.col("_key"), "left")
+    left = F.filter(F.split(F.col(text), "\n"), lambda x: let(words(F.lower(x)), lambda w: (F.size(w) == 0) | ~F.array_contains(
+        "_gone", F.xxhash64(F.array_join(w, " ")))))
+    return joined.select(*[docs[c] for c in docs.columns],
+                         F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias("kept_text"))

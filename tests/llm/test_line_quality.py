@@ -64,6 +64,18 @@ def test_empty_and_repeated_rows(spark):
     assert fast(make(spark, rows)) == slow(rows)
 
 
+def test_frequent_lines_leave_the_text(spark):
+    menu = "Home  About us"
+    rows = [(i, f"{menu.upper() if i % 2 else menu}\n\nbody {i}\n{menu}\n end of {i}", "a" if i < 30 else None) for i in range(60)]
+    rows += [(70, f"{menu}\nelsewhere", "b"), (71, None, "a"), (72, "", "a"), (73, menu, "a"), (73, menu, "a"), (74, " \n", None)]
+    df = make(spark, rows)
+    got = line_quality.remove_frequent_lines(df)
+    want = [(i, f"\nbody {i}\n end of {i}") for i in range(60)]
+    want += [(70, f"{menu}\nelsewhere"), (71, None), (72, ""), (73, ""), (73, ""), (74, " \n")]
+    assert got.columns == [*df.columns, "kept_text"]
+    assert sorted(((r.doc_id, r.kept_text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_no_python_on_the_main_path(spark):
     plan = line_quality.line_quality(spark.sql("SELECT 1L AS doc_id, 'x' AS text, 'y' AS source"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
