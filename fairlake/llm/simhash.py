@@ -139,7 +139,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: the document with the smallest id of each component stays, once."""
+    """``docs`` without near copies: the document with the smallest id of each component stays, once.
+
+    Rows without an id go, and one row of each id stays; ``near_copies.drop_near_copies`` loses neither.
+    """
     groups = simhash_groups(docs, id_col, text).where(F.col(id_col) == F.col("component_id"))
     kept = docs.join(groups.select(id_col), id_col, "left_semi")
     return kept.dropDuplicates([id_col]).select(docs.columns)
