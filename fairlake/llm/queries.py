@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlake.llm import embeddings, licenses, line_quality, mixing, packing, secret_scan, simhash, substrings, toxicity, warc
-from fairlake.llm.common import table
+from fairlake.llm import (
+    divergence, embeddings, licenses, line_quality, mixing, packing, periodic, personal_data, secret_scan, simhash, substrings, toxicity, warc)
+from fairlake.llm.common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +186,68 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 """)
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    shown = F.filter("spans", lambda s: s["plain"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.filter(shown, lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(line(shown), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+_SHARE = "(1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * {v}))"
+
+
+@query("op12_source_divergence", rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+tok AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+vocab AS (SELECT lang, term, count(*) AS all_n FROM tok GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+lang_ AS (SELECT lang, count(*) AS v, sum(all_n)::HUGEINT AS all_total FROM vocab GROUP BY lang),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN vocab USING (lang, term) GROUP BY lang, source, term),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM grp g LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source
+        GROUP BY g.lang, g.source),
+p AS (SELECT t.lang, t.source, vo.term, coalesce(n, 0) AS n, {_SHARE.format(n="coalesce(n, 0)", total="total", v="v")} AS p,
+             {_SHARE.format(n="all_n", total="all_total", v="v")} AS q
+      FROM tot t JOIN lang_ USING (lang) JOIN vocab vo ON vo.lang = t.lang
+      LEFT JOIN cnt ON cnt.lang = t.lang AND cnt.source = t.source AND cnt.term = vo.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM parts
+QUALIFY part = 'pair' OR rank <= 10
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def planted_loops(docs: DataFrame) -> DataFrame:
+    """The texts of the contract: in one document of ten, chosen by id, the words repeat from some word on."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    own = docs.select("doc_id", "text", words(F.col("text")).alias("w"), hashed.alias("h"), F.floor(hashed / 10).alias("g"))
+    first = F.col("g") % F.col("n")
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    looped = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    own = own.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, first)).withColumn("p", period)
+    return own.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_loops(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"),
+                        F.sha2("collapsed_text", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", F.col("b.start").alias("start"), (-F.col("b.l")).alias("length"), F.col("b.period").alias("period"),
+        F.floor(-1000 * F.col("b.l") / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
