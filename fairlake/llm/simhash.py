@@ -120,28 +120,51 @@ def near_links(prints: DataFrame) -> DataFrame:
     return cells.where(F.size("fps") > 1).select("key", "fps", "nodes").mapInPandas(_cell_links, "u long, v long")
 
 
+def _with_components(prints: DataFrame) -> DataFrame:
+    """``(f, component_id)`` of each fingerprint of ``(fp, id)``: links join fingerprints, whoever holds them."""
+    prints = settle(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-nodes")
+    groups = settle(components(near_links(prints.select("fp", F.col("fp").alias("node")))), "simhash-components")
+    joined = prints.join(groups, F.col("fp") == F.col("node"), "left").select(
+        "fp", "id", F.coalesce("component", "fp").alias("component"))
+    lowest = settle(joined.groupBy("component").agg(F.min("id").alias("component_id")), "simhash-lowest")
+    return settle(joined.select("fp", "component").join(lowest, "component"), "simhash-classes").select(
+        F.col("fp").alias("f"), "component", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Documents link when their fingerprints differ in at most three bits; the component is the
     smallest id reachable by links. Equal fingerprints are one node, so copies are never
     paired. Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay
-    rows. Ids are integers; a null id never names a component unless its whole fingerprint has no
-    other, then the component is null. Further columns of ``docs`` are ignored. An empty table gives no rows.
+    rows. Ids are integers; rows with a null id link like any other and never name a component: one in which no
+    row has an id is null. Further columns of ``docs`` are ignored. An empty table gives no rows.
     """
     own = settle(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text)).alias("fp")), "simhash-prints")
-    prints = settle(own.groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
-    groups = settle(components(near_links(prints.where("node IS NOT NULL"))), "simhash-components")
-    of_print = prints.join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-        F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
-    return own.join(of_print, F.col("fp") == F.col("f")).select(
+    return own.join(_with_components(own), F.col("fp") == F.col("f")).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of every component of :func:`simhash_groups`; all columns stay.
+
+    The one with the smallest id stays, one without an id only where the component has no other; among rows that share the
+    id, the one with the smallest hash of the text, and of equal rows one. A document that is alone stays, whatever its id.
+    """
+    named = docs.select(F.struct(*docs.columns).alias("row"))  # keeps columns with clashing names apart
+    own = named.select("row", F.col(f"row.{id_col}").alias("id"), _fingerprints(F.col(f"row.{text}")).alias("fp"))
+    own = settle(own.withColumn("h", F.xxhash64(f"row.{text}")), "simhash-rows")
+    classes = _with_components(own.select("fp", "id"))
+    placed = own.join(classes, F.col("fp") == F.col("f")).withColumn("o", F.struct(F.col("id").isNull().alias("n"), "id", "h"))
+    first = settle(placed.groupBy(F.col("component").alias("c")).agg(F.min("o").alias("first")), "simhash-first")
+    kept = placed.join(first, (F.col("component") == F.col("c")) & F.col("o").eqNullSafe(F.col("first")))
+    return kept.dropDuplicates(["component"]).select("row.*")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: the document with the smallest id of each component stays, once.
 
-    Rows without an id go, and one row of each id stays; ``near_copies.drop_near_copies`` loses neither.
+    Rows without an id go, and one row of each id stays; :func:`keep_one` loses neither.
     """
     groups = simhash_groups(docs, id_col, text).where(F.col(id_col) == F.col("component_id"))
     kept = docs.join(groups.select(id_col), id_col, "left_semi")

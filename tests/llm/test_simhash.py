@@ -60,6 +60,45 @@ def test_empty_and_repeated_rows(spark):
     assert [r.doc_id for r in simhash.deduplicate(twice).collect()] == [5]
 
 
+def _text_near(start, bits):
+    """A text whose fingerprint differs from that of ``start`` in at most ``bits``, found by trying."""
+    rng, base = random.Random(2), slow_fingerprint(start)
+    words = start.split()
+    while True:
+        other = list(words)
+        other[rng.randrange(len(other))] = f"v{rng.randrange(10**6)}"
+        if 0 < bin(slow_fingerprint(" ".join(other)) ^ base).count("1") <= bits:
+            return " ".join(other)
+
+
+def test_rows_without_an_id_link_and_stay(spark):
+    start = " ".join(f"w{i}" for i in range(400))
+    middle = _text_near(start, 3)
+    end = _text_further(middle, start)
+    rows = [(3, start, "a"), (None, middle, "b"), (9, end, "c"), (None, "alone without an id", "d"), (None, "p q r s t", "e"),
+            (None, "p q r s t", "e"), (5, "first text here", "f"), (5, "another one entirely different", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = {(r.doc_id, r.component_id) for r in simhash.simhash_groups(df).collect()}
+    assert got == {(3, 3), (None, 3), (9, 3), (None, None), (5, 5)}
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.fp for r in kept.collect()) == ["a", "d", "e", "f", "g"]
+    assert simhash.keep_one(df.where("false")).collect() == []
+
+
+def _text_further(middle, start):
+    """A text within three bits of ``middle`` and further from ``start``."""
+    rng, base, far = random.Random(4), slow_fingerprint(middle), slow_fingerprint(start)
+    words = middle.split()
+    while True:
+        other = list(words)
+        for _ in range(rng.randint(1, 2)):
+            other[rng.randrange(len(other))] = f"u{rng.randrange(10**6)}"
+        fp = slow_fingerprint(" ".join(other))
+        if bin(fp ^ base).count("1") <= 3 < bin(fp ^ far).count("1"):
+            return " ".join(other)
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_chains_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
