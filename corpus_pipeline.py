@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlake.llm import mixing, near_copies, packing, secret_scan, toxicity
+from fairlake.llm import mixing, packing, secret_scan, simhash, toxicity
 from fairlake.llm.common import settle, table
 from fairlake.llm.queries import tokenizer_path
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a 5-word-shingle similarity of at least 0.8 to an earlier kept one go."""
-    return near_copies.drop_near_copies(docs)
+    """One document of every group stays: SimHash over 3-word shingles, links at three differing bits or fewer."""
+    return simhash.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
