@@ -39,12 +39,13 @@ def _default_object(node: Column, nested: bool) -> Column:
 def default_records(registry: DataFrame) -> DataFrame:
     """One row per schema: its default record and, if fixed, its template name.
 
-    Objects are filled one level deep; an object inside an object becomes the placeholder.
+    Objects are filled one level deep; an object inside an object becomes the placeholder. A schema
+    without properties has an empty record.
     """
     schema = V.parse_strict("body")
     template = V.field(V.field("_schema", "properties"), "experiment_template_type")
     return registry.withColumn("_schema", schema).select(
-        "data_root", "schema_id", _default_object(F.col("_schema"), True).alias("defaults"),
+        "data_root", "schema_id", F.coalesce(_default_object(F.col("_schema"), True), F.parse_json(F.lit("{}"))).alias("defaults"),
         V.text(template, "const").alias("template_const"))
 
 

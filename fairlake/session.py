@@ -25,12 +25,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 
     Lies below ``spark.checkpoint.dir``, or below the warehouse, which executors share as
-    well, where that setting is absent. A relative warehouse path is refused off local mode.
+    well, where that setting is absent. A warehouse in a machine's own files is refused off local mode.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir")
-        if ":" not in base and not spark.sparkContext.master.startswith("local"):
+        own_files = ":" not in base or base.startswith("file:")
+        if own_files and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{base.rstrip('/')}/_intermediate"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
