@@ -8,6 +8,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -21,9 +22,11 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Nor does it join a letter with the ASCII character after it that is no letter.
 _CHUNK = re.compile(rf"[{_SPACE}]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Chunks whose ids a task remembers, twice: those used of late, and those used before them.
-REMEMBERED = 1 << 17
-#: Bytes of ids that are handed on together.
-TOGETHER = 1 << 22
+REMEMBERED = 1 << 18
+#: Chunks that begin with white space and end without are encoded many in one string, for the tokenizer's cost is mostly one a call.
+_JOINS, TOGETHER_AT_ONCE = re.compile(rf"[{_SPACE}].*[^{_SPACE}]\Z", re.S), 256
+#: Characters of texts that are encoded and handed on together.
+TOGETHER = 1 << 20
 
 
 class Encoder:
@@ -34,21 +37,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)  # in a byte-level vocabulary a character stands for a byte
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
     def encode(self, text: str | None) -> bytes:
-        chunks = _CHUNK.findall(text or "")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        split = [_CHUNK.findall(text or "") for text in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = []
-        for chunk in set(chunks).difference(self.known):
-            ids = self.older.get(chunk)
-            if ids is None:
-                new.append(chunk)
-            else:
-                self.known[chunk] = ids
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[chunk] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        return b"".join(map(self.known.__getitem__, chunks))
+        get = self.known.get
+        found = [list(map(get, chunks)) for chunks in split]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        missing = {c for k in gaps for c, ids in zip(split[k], found[k]) if ids is None}
+        self.known |= {c: ids for c in missing if (ids := self.older.get(c)) is not None}
+        self._learn(list(missing.difference(self.known)))
+        for k in gaps:
+            found[k] = [self.known[c] if ids is None else ids for c, ids in zip(split[k], found[k])]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks. Joined ones are told apart by the bytes that their tokens stand for."""
+        joins = [c for c in chunks if _JOINS.match(c)]
+        alone = [c for c in chunks if not _JOINS.match(c)]
+        groups = [joins[k:k + TOGETHER_AT_ONCE] for k in range(0, len(joins), TOGETHER_AT_ONCE)]
+        for group, one in zip(groups, self._ids(["".join(g) for g in groups])):
+            ids = np.array(one.ids, "<u4")
+            token_ends, chunk_ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in group])
+            last = np.searchsorted(token_ends, chunk_ends)
+            if last[-1] >= len(ids) or not np.array_equal(token_ends[last], chunk_ends):  # a vocabulary that is not byte-level
+                alone += group
+                continue
+            data, start = ids.tobytes(), 0
+            for chunk, end in zip(group, (4 * (last + 1)).tolist()):
+                self.known[chunk] = data[start:end]
+                start = end
+        for chunk, one in zip(alone, self._ids(alone)):
+            ids = one.ids
+            self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
 
 
 @lru_cache(maxsize=1)
@@ -60,20 +91,28 @@ def _token_rows(path: str, end_id: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, before, end = _encoder(path), TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
         for batch in batches:
-            out, size = [], 0
-            for doc, text in zip(batch["id"], batch["text"]):
-                ids = encoder.encode(text) + end
-                out.append((part, before, None if pd.isna(doc) else int(doc), len(ids) // 4, ids))
-                before += len(ids) // 4
-                size += len(ids)
-                if size > TOGETHER:
-                    yield _frame(out)
-                    out, size = [], 0
-            yield _frame(out)
+            for group in _groups(batch["text"].map(lambda t: len(t or "")).tolist()):
+                out = []
+                for doc, ids in zip(batch["id"].iloc[group], encoder.encode_all(batch["text"].iloc[group].tolist())):
+                    ids += end
+                    out.append((part, before, None if pd.isna(doc) else int(doc), len(ids) // 4, ids))
+                    before += len(ids) // 4
+                yield _frame(out)
 
     return rows
 
 
+def _groups(lengths: list[int]) -> Iterator[slice]:
+    """Stretches of texts that hold about ``TOGETHER`` characters."""
+    first, size = 0, 0
+    for k, n in enumerate(lengths):
+        if size and size + n > TOGETHER:
+            yield slice(first, k)
+            first, size = k, 0
+        size += n
+    yield slice(first, len(lengths))
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "before", "id", "n", "ids"]).astype({"id": "Int64"})
 
