@@ -60,7 +60,7 @@ def _before(df: DataFrame, keys: list[str], size: Column) -> DataFrame:
     totals = sliced.groupBy(*keys, "slice").agg(F.sum("n").alias("total"))
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "slice", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("slice_before"))
-    inside = Window.partitionBy(*keys, "slice").orderBy("ticket", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "slice").orderBy("ticket", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     joined = sliced.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     same = [joined[k].eqNullSafe(offsets[k]) for k in [*keys, "slice"]]
     return joined.join(offsets, same).select(
@@ -84,10 +84,20 @@ def queue(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_
     are never taken. ``weights`` has ``(source, weight)``; a source that it leaves out, or gives 0, is left out.
     Further columns of ``docs`` are ignored. An empty table gives no rows.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"),
-                        F.size(words(F.col(text))).cast("long").alias("size"))
-    ticket = F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string")))
-    sized = settle(sized.withColumn("ticket", ticket), "mix-sizes")
+    sized = settle(_sized(docs, id_col, text, source, seed), "mix-sizes")
+    return _served(sized, weights, share, epochs).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "epoch",
+                                                         "before", "taken", "finish", "position")
+
+
+def _sized(docs: DataFrame, id_col: str, text: str, source: str, seed: str, *more: Column) -> DataFrame:
+    """Ids, sources and sizes with a ticket for the shuffle: a hash of the id, or of the text where there is no id."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.sha2(F.col(text), 256)))
+    return docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"),
+                       F.xxhash64(text).alias("text_hash"), F.md5(F.concat_ws("|", F.lit(seed), own)).alias("ticket"), *more)
+
+
+def _served(sized: DataFrame, weights: DataFrame | None, share: float, epochs: int) -> DataFrame:
+    """The queue over rows of :func:`_sized`, with all their columns."""
     weights = pattern_weights(sized, "source") if weights is None else weights
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(per_source, weights, share, epochs).withColumnRenamed("source", "goal_source")
@@ -95,9 +105,7 @@ def queue(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_
     copies = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     start = F.col("before") + F.col("epoch") * F.col("source_size")
     taken = F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target") - start)).cast("long")
-    served = copies.withColumn("taken", taken).withColumn("finish", (start + F.col("size")) / F.col("weight"))
-    return _positions(served).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "epoch",
-                                     "before", "taken", "finish", "position")
+    return _positions(copies.withColumn("taken", taken).withColumn("finish", (start + F.col("size")) / F.col("weight")))
 
 
 def _positions(served: DataFrame) -> DataFrame:
@@ -108,28 +116,28 @@ def _positions(served: DataFrame) -> DataFrame:
     totals = ranged.groupBy("stretch").agg(F.sum("taken").alias("total"))
     earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * SLICES rows
     offsets = totals.select("stretch", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("stretch_before"))
-    order = Window.partitionBy("stretch").orderBy("finish", F.col("source").isNull(), "source", "epoch", "ticket", "id")
+    order = Window.partitionBy("stretch").orderBy("finish", F.col("source").isNull(), "source", "epoch", "ticket", "id", "text_hash")
     inside = F.sum("taken").over(order.rowsBetween(Window.unboundedPreceding, -1))
     counted = ranged.withColumn("inside", F.coalesce(inside, F.lit(0)))
     return counted.join(offsets, "stretch").withColumn("position", (F.col("inside") + F.col("stretch_before")).cast("long"))
 
 
-def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None,
+        share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
     """The mixed corpus: rows of ``docs``, a row twice if it is taken twice, with ``epoch``, ``taken`` and ``position``.
 
     Columns of these names are replaced. Takes the options of :func:`queue`. A document that the end of the mix cuts keeps its first
-    ``taken`` words, joined by one blank. Ids should be unique here: rows that share one are told
-    apart by source and size only.
+    ``taken`` words, joined by one blank. Rows are told apart by a key that is written with them, so rows that share an id, or
+    have none, are documents of their own; those without an id are shuffled by a hash of their text.
     """
-    id_col, source = options.get("id_col", "doc_id"), options.get("source", "source")
-    served = queue(docs, text=text, **options).where("taken > 0").groupBy(
-        F.col(id_col).alias("q_id"), F.col("source").alias("q_source"), F.col("size").alias("q_size"), "epoch", "before").agg(
-        F.first("taken").alias("taken"), F.first("position").alias("position"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.monotonically_increasing_id())
+    keyed = settle(keyed, "mix-rows")  # written once, so a lost executor cannot change a key
+    sized = settle(_sized(keyed.select("key", F.col(f"row.{id_col}").alias("i"), F.col(f"row.{text}").alias("t"), F.col(f"row.{source}").alias("s")),
+                          "i", "t", "s", seed, F.col("key")), "mix-sizes")
+    served = _served(sized, weights, share, epochs).where("taken > 0").select(F.col("key").alias("k"), "size", "epoch", "taken", "position")
     found = words(F.col(f"row.{text}"))
-    sized = docs.select(F.struct(*docs.columns).alias("row")).withColumn("row_size", F.size(found).cast("long"))
-    cut = F.when(F.col("taken") < F.col("row_size"), F.array_join(F.slice(found, 1, F.col("taken").cast("int")), " "))
-    joined = sized.join(served, F.col(f"row.{id_col}").eqNullSafe(F.col("q_id")) & F.col(f"row.{source}").eqNullSafe(F.col("q_source"))
-                        & (F.col("row_size") == F.col("q_size")))
+    cut = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(found, 1, F.col("taken").cast("int")), " "))
+    joined = keyed.join(served, F.col("key") == F.col("k"))
     added = ["epoch", "taken", "position"]
     return joined.select(*[F.coalesce(cut, F.col(f"row.{c}")).alias(c) if c == text else F.col(f"row.{c}")
                            for c in docs.columns if c not in added], *added)

@@ -87,3 +87,13 @@ def test_given_weights_empty_table_and_repeated_rows(spark):
     assert {(r.source, r.target) for r in mixing.queue(docs, weights).collect()} == {("s", 9.0)}
     assert sum(r.taken for r in mixing.queue(docs, weights).collect()) == 9
     assert sum(r.taken for r in mixing.queue(docs).collect()) == 8 + 2 + 4  # targets 8.25, 2.75 and 4
+
+
+def test_rows_without_an_id_or_sharing_one_are_documents_of_their_own(spark):
+    rows = [(None, "a b c", "s"), (None, "d e f", "s"), (1, "g h i", "s"), (7, "j k l m", "s"), (7, "n o p q", "s"), (None, None, None), (None, "", "s")]
+    out = mixing.mix(make(spark, rows), share=1.5).collect()
+    assert sum(r.taken for r in out) == int(1.5 * 17) == sum(len(r.text.split()) for r in out)
+    assert {" ".join(t.split()[:1]) for _, t, _ in rows if t} <= {r.text.split()[0] for r in out}
+    assert max(sum(r.text.split()[0] == w for r in out) for w in "adgjn") <= 2
+    again = mixing.mix(make(spark, rows).repartition(2), share=1.5).collect()
+    assert sorted((r.text, r.position) for r in again) == sorted((r.text, r.position) for r in out)
