@@ -53,6 +53,26 @@ def checksum(content, algorithm: str = "sha256") -> Column:
     raise ValueError(f"unknown checksum algorithm: {algorithm}")
 
 
+def duplicate_files(files: DataFrame, contents: DataFrame | None = None, algorithm: str = "sha256") -> DataFrame:
+    """Classes of files with equal content: ``size_bytes, checksum, representative, n_files, wasted_bytes``.
+
+    ``files`` has ``path`` (unique) and ``size_bytes``. Sizes are counted first, and only files whose size another one
+    has are digested: from ``contents`` (``path``, ``content``), joined by path, or else by reading the files on the
+    executors. A class is counted, never listed: it has its first path, its number of files, and the bytes
+    of all but one. Counts combine before their shuffle, so one digest may hold half of all rows. Files without a size are left
+    out, files that cannot be read too; empty files are one class and waste nothing.
+    """
+    sized = files.where(F.col("size_bytes").isNotNull()).select("path", "size_bytes")
+    shared = sized.groupBy("size_bytes").agg(F.count("*").alias("n")).where("n > 1").select("size_bytes")
+    asked = sized.join(shared, "size_bytes", "left_semi")
+    if contents is None:
+        digested = checksum_files(asked, algorithm).where("checksum <> ''")
+    else:
+        digested = asked.join(contents, "path").select("size_bytes", "path", checksum("content", algorithm).alias("checksum"))
+    classes = digested.groupBy("size_bytes", "checksum").agg(F.min("path").alias("representative"), F.count("*").alias("n_files"))
+    return classes.where("n_files > 1").withColumn("wasted_bytes", (F.col("n_files") - 1) * F.col("size_bytes"))
+
+
 def checksum_files(files: DataFrame, algorithm: str = "sha256", chunk_bytes: int = 4 << 20,
                    partitions: int | None = None) -> DataFrame:
     """Adds ``checksum`` by streaming each file in chunks on the executors.

@@ -1,6 +1,7 @@
 """Loads every query module so that the registry is complete."""
 
 from fairlake.plans import (  # noqa: F401
+    catalog_queries,
     history_queries,
     listing_queries,
     manifest_queries,
