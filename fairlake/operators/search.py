@@ -23,6 +23,14 @@ def _bucket(term) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _part(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A partitioned part of the index; an empty one has no files to read the schema from."""
+    record = spark.read.parquet(f"{path}/records").schema["record"].dataType.simpleString()
+    schema = {"terms": "term string, records long, bucket int",
+              "postings": f"term string, record {record}, n long, length long, salt int, bucket int"}[name]
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
 def build_index(records: DataFrame, path: str, id_col: str = "record_key", text: str = "text", fields: Sequence[str] = ()) -> None:
     """Writes the index of ``text`` below ``path``, for :func:`search` to read as often as wanted.
 
@@ -44,7 +52,7 @@ def build_index(records: DataFrame, path: str, id_col: str = "record_key", text:
     placed = counted.select("term", "record", "n", "length", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int").alias("salt"),
                             _bucket("term").alias("bucket"))
     placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("records")).repartition("bucket").write.mode(
+    _part(spark, path, "postings").groupBy("bucket", "term").agg(F.count("*").alias("records")).repartition("bucket").write.mode(
         "overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
@@ -63,11 +71,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int = 10, wh
     totals = spark.read.parquet(f"{path}/totals").first()  # one row
     mean = max(totals["tokens"], 1) / max(totals["records"], 1)
     asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(tokens(text)).alias("term")).distinct()
-    known = spark.read.parquet(f"{path}/terms").withColumnRenamed("records", "df")
+    known = _part(spark, path, "terms").withColumnRenamed("records", "df")
     weight = F.log(1 + (totals["records"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.withColumn("bucket", _bucket("term")).join(known, ["bucket", "term"]).select(
         "query_id", "term", "bucket", weight.alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = spark.read.parquet(f"{path}/postings").join(weighted, ["bucket", "term", "salt"])
+    hits = _part(spark, path, "postings").join(weighted, ["bucket", "term", "salt"])
     if where is not None:
         allowed = spark.read.parquet(f"{path}/records").where(where).select("record")
         hits = hits.join(allowed, "record", "left_semi")
