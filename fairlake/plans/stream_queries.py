@@ -10,7 +10,8 @@ from fairlake.plans.record_queries import TS
 from fairlake.plans.registry import ORACLES, query, spark_text, table, view
 from fairlake.plans.views import VIEWS
 from fairlake.session import shared_dir
-from fairlake.sources import io
+from fairlake.sources import bucketed, io
+from fairlake.streaming import catalog as C
 from fairlake.streaming import ingest as K
 
 
@@ -119,7 +120,7 @@ def stream_manifest(spark, d):
     base = shared_dir(spark, "manifest")
     rows = _manifest_rows(_event_stream(spark, d, "fs_events"))
     K.stream_manifest(rows, f"{base}/table", f"{base}/checkpoint", ["event_id"]).awaitTermination()
-    return io.read_snapshot(spark, f"{base}/table")
+    return bucketed.read_table(spark, f"{base}/table")
 
 
 @query("k05_settled_events", f"""
@@ -153,3 +154,64 @@ def stream_quota(spark, d):
     requests = _event_stream(spark, d, "requests").select("client_id", "ts", "event_id")
     K.stream_quota(requests, f"{base}/table", f"{base}/state", f"{base}/checkpoint", 5, 172800).awaitTermination()
     return spark.read.parquet(f"{base}/table").where("NOT carried").select("event_id", "client_id", "allowed")
+
+
+@query("l02_sync_catalog", """
+SELECT record_key, version, content_hash, raw FROM (SELECT *, turn_kind = 4 AS deleted FROM (SELECT *, version % 5 AS turn_kind FROM $history h) t) x
+WHERE NOT deleted QUALIFY version = max(version) OVER (PARTITION BY record_key) AND version = (
+  SELECT max(version) FROM $history o WHERE o.record_key = x.record_key)""")
+def sync_catalog(spark, d):
+    base = shared_dir(spark, "catalog")
+    changes = view(spark, d, "history").select("record_key", "version", "content_hash", "raw", (F.col("version") % 5 == 4).alias("deleted"))
+    changes.repartition(3, F.col("version") % 3).write.parquet(f"{base}/changes")  # three files, each with a part of every record's versions
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/changes")
+    C.sync_catalog(stream, f"{base}/table", f"{base}/checkpoint", keep=2).awaitTermination()
+    return C.read_catalog(spark, f"{base}/table")
+
+
+def _outcomes(requests):
+    return requests.select("ts", F.col("endpoint").alias("kind"), (F.col("outcome") != "success").alias("failed"),
+                           F.col("event_id").alias("size_bytes"), F.floor("latency_ms").alias("millis"))
+
+
+_METRICS = """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end, endpoint AS kind,
+  count(*) AS files, count(*) FILTER (WHERE outcome <> 'success') AS failures, CAST(sum(event_id) AS BIGINT) AS size_bytes,
+  CAST(sum(floor(latency_ms)) AS BIGINT) AS millis, CAST(max(floor(latency_ms)) AS BIGINT) AS longest_millis FROM $requests r WHERE ts IS NOT NULL GROUP BY ALL"""
+
+
+def _plain(metrics):
+    return metrics.withColumn("window_start", F.col("window_start").cast("string")).withColumn("window_end", F.col("window_end").cast("string"))
+
+
+_AS_TEXT = "strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end"
+
+
+@query("l04_pipeline_metrics", f"SELECT * EXCLUDE (window_start, window_end), {_AS_TEXT} FROM ({_METRICS}) m")
+def pipeline_metrics(spark, d):
+    return _plain(C.pipeline_metrics(_outcomes(view(spark, d, "requests")), "6 hours"))
+
+
+@query("l04_stream_metrics", f"""SELECT * EXCLUDE (window_start, window_end), {_AS_TEXT} FROM ({_METRICS}) m
+WHERE window_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM @events)""")
+def stream_metrics(spark, d):
+    base = shared_dir(spark, "metrics")
+    by_time = view(spark, d, "requests").select(F.col("ts").cast("timestamp").alias("ts"), "endpoint", "outcome", "event_id", "latency_ms")
+    first, last = by_time.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
+    third = F.floor((F.unix_millis("ts") - first) * 3 / (last - first + 1))
+    for k in range(3):  # files that arrive one after the other, in time order
+        by_time.where(third == k).write.mode("append").parquet(f"{base}/requests")
+    stream = spark.readStream.schema(by_time.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/requests")
+    K.append_available(C.pipeline_metrics(_outcomes(stream), "6 hours", late_after="1 day"), f"{base}/table", f"{base}/checkpoint")
+    return _plain(spark.read.parquet(f"{base}/table"))
+
+
+@query("l05_alerts", f"""
+WITH RECURSIVE m AS (SELECT *, failures * 100 // files AS v, row_number() OVER (PARTITION BY kind ORDER BY window_start) AS rn FROM ({_METRICS}) x),
+run AS (SELECT kind, rn, window_start, v, v >= 45 AS busy, v >= 45 AS raised FROM m WHERE rn = 1
+  UNION ALL SELECT m.kind, m.rn, m.window_start, m.v, CASE WHEN run.busy THEN m.v >= 25 ELSE m.v >= 45 END, NOT run.busy AND m.v >= 45
+  FROM run JOIN m ON m.kind = run.kind AND m.rn = run.rn + 1)
+SELECT kind, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(v AS BIGINT) AS value FROM run WHERE raised""")
+def alerts(spark, d):
+    metrics = C.pipeline_metrics(_outcomes(view(spark, d, "requests")), "6 hours")
+    raised = C.alerts(metrics, F.floor(F.col("failures") * 100 / F.col("files")), 45, 25)
+    return raised.select("kind", F.col("window_start").cast("string").alias("window_start"), "value")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairlake import constants as C
 from fairlake.functions import paths as P
 from fairlake.functions import variants as V
+from fairlake.sources import bucketed
 
 
 def scan_files(spark: SparkSession, root: str, keep_ignored: bool = False) -> DataFrame:
@@ -125,7 +126,9 @@ def current_version(spark: SparkSession, path: str) -> int:
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The current, or a given, version of a table."""
+    """The current, or a given, version of a table, whole or in buckets."""
+    if bucketed.pointers(spark, path):
+        return bucketed.read_table(spark, path, version)
     chosen = current_version(spark, path) if version is None else version
     return spark.read.parquet(f"{path}/version={chosen}")
 

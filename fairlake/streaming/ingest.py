@@ -17,7 +17,7 @@ from fairlake.functions import paths as P
 from fairlake.operators.manifest import upsert_manifest
 from fairlake.operators.oplog import quota_audit
 from fairlake.operators.quality import finalize
-from fairlake.sources import io
+from fairlake.sources import bucketed, io
 
 
 def _dir_action(path: Column) -> Column:
@@ -54,12 +54,16 @@ def settled(events: DataFrame, now: Column, min_age_seconds: int, listing: DataF
     return ripe if listing is None else ripe.join(listing.select("path"), "path", "left_semi")
 
 
-def dedupe_events(events: DataFrame, keys: tuple[str, ...] = ("path", "kind")) -> DataFrame:
+def dedupe_events(events: DataFrame, keys: tuple[str, ...] = ("path", "kind"), ts: str = "ts", within: str | None = None) -> DataFrame:
     """The first event of every key; repeated ones collapse however a stream is cut into batches.
 
-    The state holds one small entry per key, spread over the shuffle partitions.
+    The state holds one small entry per key, spread over the shuffle partitions, for ever. With ``within`` an entry
+    ends when the watermark, the newest ``ts`` less this delay, has passed its event: repeats that are less than ``within`` apart
+    collapse, and the state follows the keys of that time only. Of repeats further apart, those whose entry has ended are new.
     """
-    return events.dropDuplicates(list(keys))
+    if within is None:
+        return events.dropDuplicates(list(keys))
+    return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(keys))
 
 
 def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -91,21 +95,24 @@ def backfill_then_stream(stream: DataFrame, checkpoint: str, handle: Callable[[D
     )
 
 
+MANIFEST_KEY = ("dataset_id", "file_name")
+
+
 def manifest_writer(table: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch handler: upserts manifest rows into a versioned table; batch n reads version n."""
+    """Batch handler: upserts manifest rows into a table in buckets; batch n writes version n + 1 of the buckets it touches."""
+
+    def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
+        known = batch.limit(0).drop(*[c for c in order if c not in MANIFEST_KEY]) if current is None else current
+        return upsert_manifest(known, batch, order)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            current = batch.limit(0).drop(*[c for c in order if c not in ("dataset_id", "file_name")])
-        else:
-            current = io.read_snapshot(batch.sparkSession, table, batch_id)
-        io.write_snapshot(upsert_manifest(current, batch, order), table, batch_id + 1)
+        bucketed.rewrite(batch, table, batch_id + 1, MANIFEST_KEY, merge)
 
     return handle
 
 
 def stream_manifest(rows: DataFrame, table: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Keeps a versioned manifest current from a stream of manifest rows."""
+    """Keeps a manifest current from a stream of manifest rows; read it with ``bucketed.read_table``."""
     return run_available(rows, checkpoint, manifest_writer(table, order))
 
 
