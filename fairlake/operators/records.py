@@ -13,7 +13,7 @@ from fairlake import schemas as S
 from fairlake.functions import paths as P
 from fairlake.functions import variants as V
 from fairlake.functions.ids import mint_id
-from fairlake.operators.registry import dispatch
+from fairlake.operators.registry import dispatch, effective
 from fairlake.operators.validation import validate
 
 
@@ -104,8 +104,14 @@ def migrate_contextual(records: DataFrame, legacy: bool = True) -> DataFrame:
 
 
 def records_with_schema(records: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds id, title (default: the id), description and source of the schema that applies."""
-    return dispatch(records, registry, ["title", "description", "source"]).select(
+    """Adds id, title (default: the id), description and source of the schema that applies.
+
+    Layers are resolved first: a record with a ``data_root`` follows the schemas of its root, others the winning
+    one over all roots. Every record has one row.
+    """
+    by_root = "data_root" in records.columns
+    chosen = effective(registry, by_root)
+    return dispatch(records, chosen, ["title", "description", "source"], "data_root" if by_root else None).select(
         *records.columns, "schema_id", F.coalesce("title", "schema_id").alias("schema_title"),
         F.col("description").alias("schema_description"), F.col("source").alias("schema_source"))
 
@@ -119,17 +125,22 @@ def get_record(records: DataFrame, owner_key: str, metadata_type: str) -> DataFr
 
 
 def judge_updates(current: DataFrame, updates: DataFrame, run_ts: str, registry: DataFrame | None = None,
-                  actor: str = "system") -> DataFrame:
-    """Merges and stamps updates and adds ``violations`` and ``valid``; one row per update.
+                  actor: str = "system", order: list[str] | None = None) -> DataFrame:
+    """Merges and stamps updates and adds ``violations`` and ``valid``; one row per updated record.
 
+    ``order`` names the columns that order several updates of one record: of each member the last value counts. Without
+    it the order is that of a hash of the body, so that a record has one row in any case.
     Protected identifiers are restored after validation: an update is judged on its own values.
     """
+    if order is None:
+        updates, order = updates.withColumn("_order", F.xxhash64(F.to_json("body"))), ["_order"]
+    updates = last_updates(updates, order)
     touched = merge_records(current.join(updates.select("record_key"), "record_key", "left_semi"), updates)
     return protect_ids(validate(stamp_audit(touched, run_ts, actor), registry))
 
 
 def apply_updates(current: DataFrame, updates: DataFrame, run_ts: str, registry: DataFrame | None = None,
-                  actor: str = "system") -> tuple[DataFrame, DataFrame]:
-    """Judged updates as (accepted records, rejected records with their violations)."""
-    judged = judge_updates(current, updates, run_ts, registry, actor).drop("old_body")
+                  actor: str = "system", order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Judged updates as (accepted records, rejected records with their violations); one row per updated record."""
+    judged = judge_updates(current, updates, run_ts, registry, actor, order).drop("old_body")
     return judged.where("valid").drop("violations", "valid"), judged.where("NOT valid")

@@ -83,15 +83,42 @@ def _json_items(value: Column) -> Column:
     return F.transform(V.items(value), lambda x: F.to_json(x))
 
 
+def _members_beside(value: Column, *known: str) -> Column:
+    """How many members an object has beside the known ones."""
+    names = F.map_keys(V.members(value))
+    return F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(k) for k in known]))), F.lit(0))
+
+
+def _cases(node: Column) -> Column:
+    """The if/then rules of a node, its own one and those in ``allOf``, with the number of members that no rule here may have."""
+    listed = F.transform(V.items(V.field(node, "allOf")), lambda rule: F.struct(
+        V.field(rule, "if").alias("test"), V.field(rule, "then").alias("then"),
+        _members_beside(rule, "if", "then", "title", "description", "$comment").alias("beside")))
+    own = F.array(F.struct(V.field(node, "if").alias("test"), V.field(node, "then").alias("then"),
+                           V.field(node, "else").isNotNull().cast("int").alias("beside")))
+    own = F.filter(own, lambda c: c["test"].isNotNull() | (c["beside"] > 0))
+    return F.concat(F.coalesce(listed, F.array().cast("array<struct<test:variant,then:variant,beside:int>>")), own)
+
+
 def _conditions(node: Column) -> Column:
-    """``allOf`` of if/then as array<struct<tests, required>>; allowed values as JSON text."""
-    def tests(rule: Column) -> Column:
-        return F.transform(F.map_entries(V.members(V.field(V.field(rule, "if"), "properties"))), lambda e: F.struct(
+    """If/then rules as array<struct<tests, required>>; allowed values as JSON text."""
+    def tests(test: Column) -> Column:
+        return F.transform(F.map_entries(V.members(V.field(test, "properties"))), lambda e: F.struct(
             e["key"].alias("field"),
             F.coalesce(_json_items(V.field(e["value"], "enum")), F.array(F.to_json(V.field(e["value"], "const")))).alias("allowed")))
 
-    return F.transform(V.items(V.field(node, "allOf")), lambda rule: F.struct(
-        tests(rule).alias("tests"), _texts(V.field(V.field(rule, "then"), "required")).alias("required")))
+    return F.transform(_cases(node), lambda c: F.struct(
+        tests(c["test"]).alias("tests"), _texts(V.field(c["then"], "required")).alias("required")))
+
+
+def _unsupported_conditions(node: Column) -> Column:
+    """How many parts of if/then rules are not checked: other tests than of values, other demands than of members, ``else``."""
+    def parts(c: Column) -> Column:
+        asked = F.coalesce(F.map_values(V.members(V.field(c["test"], "properties"))), F.array().cast("array<variant>"))
+        odd = F.aggregate(asked, F.lit(0), lambda n, v: n + _members_beside(v, "enum", "const", "title", "description"))
+        return c["beside"] + odd + _members_beside(c["test"], "properties") + _members_beside(c["then"], "required")
+
+    return F.aggregate(F.transform(_cases(node), parts), F.lit(0), lambda n, x: n + x)
 
 
 #: Nesting of the packaged schemas; other registries are measured.
@@ -192,7 +219,8 @@ def schema_fields(registry: DataFrame, depth: int | None = None, whole: bool = T
             V.field("node", "properties").isNotNull().alias("has_properties"),
             F.map_keys(V.members(V.field("node", "properties"))).alias("names"),
             F.coalesce(F.to_json(V.field("node", "additionalProperties")) == "false", F.lit(False)).alias("closed"),
-            F.size(F.array_intersect(F.map_keys(V.members("node")), F.array(*[F.lit(k) for k in UNSUPPORTED]))).alias("unsupported"),
+            (F.coalesce(F.size(F.array_intersect(F.map_keys(V.members("node")), F.array(*[F.lit(k) for k in UNSUPPORTED]))), F.lit(0))
+             + _unsupported_conditions(F.col("node")) + V.items(V.field("node", "items")).isNotNull().cast("int")).alias("unsupported"),
             _conditions(F.col("node")).alias("conditions")).alias("rule"))
 
 
