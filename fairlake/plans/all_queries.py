@@ -3,6 +3,7 @@
 from fairlake.plans import (  # noqa: F401
     catalog_queries,
     history_queries,
+    lifecycle_queries,
     listing_queries,
     manifest_queries,
     oplog_queries,
