@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlake import constants as C
 from fairlake.functions import variants as V
+from fairlake.operators.records import with_members
 from fairlake.operators.registry import unescaped, with_rules
 from fairlake.operators.templates import linked_body
 
@@ -98,6 +99,32 @@ def finalize(records: DataFrame, run_ts: str, registry: DataFrame | None = None,
         "project_key", "dataset_key", "experiment_id", "completeness_score", "quality_score", document.alias("document"))
 
 
+def with_instruments(complete: DataFrame, contextual: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Complete records with the instruments that their experiment names: in the document, beside the other components.
+
+    ``contextual`` has ``project_key``, ``dataset_key`` and ``body`` with ``instrument_used_link``, a list or one text; ``instruments``
+    has ``instrument_id`` (unique) and ``body``. The document gets ``metadata_components.instruments``, in the order of the links
+    and each once; ``unknown_instruments`` lists the links that no instrument has. Records without links get an empty list. The
+    document's members are in alphabetical order. Links are exploded, joined and collected again per dataset, so only links and instruments
+    are shuffled, never whole records twice.
+    """
+    key = ["project_key", "dataset_key"]
+    value = V.field("body", "instrument_used_link")
+    listed = F.coalesce(F.transform(V.items(value), lambda x: F.when(~V.is_container(x), x.cast("string"))), F.array(V.text("body", "instrument_used_link")))
+    links = contextual.select(*key, F.posexplode(listed).alias("at", "link")).where(F.col("link").isNotNull() & ~V.is_blank(F.col("link")))
+    links = links.groupBy(*key, "link").agg(F.min("at").alias("at"))
+    known = instruments.select(F.col("instrument_id").alias("_id"), F.to_json("body").alias("_text"))
+    per = links.join(known, F.col("link") == F.col("_id"), "left").groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("at", "link", "_text"))).alias("_links"))
+    none = F.array().cast("array<struct<at:int,link:string,_text:string>>")
+    joined = complete.join(per, key, "left").withColumn("_links", F.coalesce("_links", none))
+    texts = F.transform(F.filter("_links", lambda x: x["_text"].isNotNull()), lambda x: x["_text"])
+    unknown = F.transform(F.filter("_links", lambda x: x["_text"].isNull()), lambda x: x["link"])
+    document = F.parse_json("document")
+    part = with_members(V.field(document, "metadata_components"), {"instruments": F.parse_json(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))})
+    return joined.withColumns({"document": F.to_json(with_members(document, {"metadata_components": part})), "unknown_instruments": unknown}).drop("_links")
+
+
 def _sections() -> Column:
     def words(values: list[str]) -> Column:
         return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from fairlake.operators import lifecycle as L
-from fairlake.plans.registry import query, table, view
+from fairlake.operators import quality as Q
+from fairlake.plans.record_queries import TS
+from fairlake.plans.registry import ORACLES, query, table, view
+from fairlake.plans.validation_queries import _records
 from fairlake.session import shared_dir
 from fairlake.sources import ingest_catalog as I
 
@@ -116,3 +119,29 @@ def prefill(spark, d):
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.try_variant_get("body", f"$.{f}", "string").alias("value"),
                                         F.try_element_at("filled", F.lit(f)).alias("source")) for f in _FIELDS]))
     return done.select("record_key", each.alias("x")).select("record_key", "x.*")
+
+
+_LINKS = """[{'place': 0, 'link': 'i_' || (doc_id % 5)}, {'place': 1, 'link': CASE WHEN doc_id % 3 <> 2 THEN 'i_' || ((doc_id + 2) % 5) END},
+  {'place': 2, 'link': CASE WHEN doc_id % 4 = 0 THEN 'lost_' || (doc_id % 2) END}, {'place': 3, 'link': 'i_' || (doc_id % 5)}]"""
+
+
+@query("l09_instruments", f"""
+WITH done AS ({ORACLES["h05_finalize"]}),
+links AS (SELECT project_key, dataset_key, l.link AS link, min(l.place) AS place FROM $contextual c, unnest({_LINKS}) u(l) WHERE l.link IS NOT NULL GROUP BY ALL),
+inst AS (SELECT 'i_' || s_suppkey AS id, '{{"instrument_identifier":"i_' || s_suppkey || '","name":"' || s_name || '"}}' AS body FROM @supplier WHERE s_suppkey < 5 AND s_suppkey <> 3)
+SELECT d.project_key, d.dataset_key, '[' || coalesce(string_agg(body, ',' ORDER BY place) FILTER (WHERE body IS NOT NULL), '') || ']' AS instruments,
+  coalesce(string_agg(link, ',' ORDER BY place) FILTER (WHERE body IS NULL), '') AS unknown, CAST(5 + 1 AS INT) AS components
+FROM done d LEFT JOIN links l ON l.project_key = d.project_key AND l.dataset_key = d.dataset_key LEFT JOIN inst ON id = link GROUP BY d.project_key, d.dataset_key""")
+def instruments(spark, d):
+    done = Q.finalize(_records(spark, d), TS)
+    k = F.col("doc_id")
+    name = lambda n: F.concat(F.lit("i_"), n % 5)
+    links = F.array(name(k), F.when(k % 3 != 2, name(k + 2)), F.when(k % 4 == 0, F.concat(F.lit("lost_"), k % 2)), name(k))
+    contextual = view(spark, d, "contextual").select("project_key", "dataset_key", F.to_variant_object(F.struct(links.alias("instrument_used_link"))).alias("body"))
+    known = table(spark, d, "supplier").where("s_suppkey < 5 AND s_suppkey <> 3").select(
+        F.concat(F.lit("i_"), "s_suppkey").alias("instrument_id"),
+        F.to_variant_object(F.struct(F.concat(F.lit("i_"), "s_suppkey").alias("instrument_identifier"), F.col("s_name").alias("name"))).alias("body"))
+    parts = F.try_variant_get(F.parse_json("document"), "$.metadata_components", "variant")
+    whole = Q.with_instruments(done, contextual, known)
+    return whole.select("project_key", "dataset_key", F.to_json(F.try_variant_get(parts, "$.instruments", "variant")).alias("instruments"),
+                        F.array_join("unknown_instruments", ",").alias("unknown"), F.size(F.map_keys(F.try_variant_get(parts, "$", "map<string,variant>"))).alias("components"))

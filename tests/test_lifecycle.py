@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairlake.operators import lifecycle as L
+from fairlake.operators import quality
 from fairlake.sources import ingest_catalog as I
 
 
@@ -85,3 +86,13 @@ def test_prefill_takes_the_version_valid_at_the_date(spark):
     got = {r.record_key: (json.loads(r.b), r.filled) for r in L.prefill(df, samples, ["p", "t"]).withColumn("b", F.to_json("body")).collect()}
     assert got == {"r0": ({"p": "old", "t": "T"}, {"p": "lims", "t": "bank"}), "r1": ({"p": "new", "t": "own"}, {"p": "lims"}), "r2": ({}, {}), "r3": ({}, {}),
                    "r4": ({"p": "To be filled"}, {}), "r5": ({}, {}), "r6": ({"p": 0, "t": "T"}, {"t": "bank"})}
+
+
+def test_instruments_join_the_complete_record(spark):
+    done = spark.createDataFrame([("p", k, '{"version":"2.0","metadata_components":{"a":{"x":1}}}') for k in "abcd"], "project_key STRING, dataset_key STRING, document STRING")
+    links = [("a", '{"instrument_used_link":["I2","none","I1","I2"," ",null,{"z":1}]}'), ("b", '{"instrument_used_link":"I1"}'), ("c", "{}"), ("x", '{"instrument_used_link":["I1"]}')]
+    contextual = spark.createDataFrame([("p", k, t) for k, t in links], "project_key STRING, dataset_key STRING, raw STRING").withColumn("body", F.parse_json("raw"))
+    known = spark.createDataFrame([("I1", '{"n":1}'), ("I2", '{"n":2}')], "instrument_id STRING, raw STRING").withColumn("body", F.parse_json("raw"))
+    got = {r.dataset_key: (json.loads(r.document), r.unknown_instruments) for r in quality.with_instruments(done, contextual, known).collect()}
+    want = {"a": ([{"n": 2}, {"n": 1}], ["none"]), "b": ([{"n": 1}], []), "c": ([], []), "d": ([], [])}
+    assert got == {k: ({"version": "2.0", "metadata_components": {"a": {"x": 1}, "instruments": found}}, lost) for k, (found, lost) in want.items()}
