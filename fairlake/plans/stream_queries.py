@@ -13,6 +13,7 @@ from fairlake.session import shared_dir
 from fairlake.sources import bucketed, io
 from fairlake.streaming import catalog as C
 from fairlake.streaming import ingest as K
+from fairlake.streaming import quota
 
 
 def _event_stream(spark, d, view_name):
@@ -169,6 +170,16 @@ def sync_catalog(spark, d):
     return C.read_catalog(spark, f"{base}/table")
 
 
+def _in_time_order(spark, rows, path, files=3):
+    """A stream over files that arrived one after the other, in the order of ``ts``."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
+    part = F.floor((F.unix_millis("ts") - first) * files / (last - first + 1))
+    for k in range(files):
+        rows.where(part == k).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _outcomes(requests):
     return requests.select("ts", F.col("endpoint").alias("kind"), (F.col("outcome") != "success").alias("failed"),
                            F.col("event_id").alias("size_bytes"), F.floor("latency_ms").alias("millis"))
@@ -195,12 +206,7 @@ def pipeline_metrics(spark, d):
 WHERE window_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM @events)""")
 def stream_metrics(spark, d):
     base = shared_dir(spark, "metrics")
-    by_time = view(spark, d, "requests").select(F.col("ts").cast("timestamp").alias("ts"), "endpoint", "outcome", "event_id", "latency_ms")
-    first, last = by_time.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
-    third = F.floor((F.unix_millis("ts") - first) * 3 / (last - first + 1))
-    for k in range(3):  # files that arrive one after the other, in time order
-        by_time.where(third == k).write.mode("append").parquet(f"{base}/requests")
-    stream = spark.readStream.schema(by_time.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/requests")
+    stream = _in_time_order(spark, view(spark, d, "requests").select("ts", "endpoint", "outcome", "event_id", "latency_ms"), f"{base}/requests")
     K.append_available(C.pipeline_metrics(_outcomes(stream), "6 hours", late_after="1 day"), f"{base}/table", f"{base}/checkpoint")
     return _plain(spark.read.parquet(f"{base}/table"))
 
@@ -215,3 +221,12 @@ def alerts(spark, d):
     metrics = C.pipeline_metrics(_outcomes(view(spark, d, "requests")), "6 hours")
     raised = C.alerts(metrics, F.floor(F.col("failures") * 100 / F.col("files")), 45, 25)
     return raised.select("kind", F.col("window_start").cast("string").alias("window_start"), "value")
+
+
+@query("k07_quota_by_client", ORACLES["k07_stream_quota"] + """
+WHERE event_id IN (SELECT event_id FROM @events WHERE ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM @events))""".replace("@", ""))
+def quota_by_client(spark, d):
+    base = shared_dir(spark, "quota-state")
+    stream = _in_time_order(spark, view(spark, d, "requests").select("client_id", "ts", "event_id"), f"{base}/requests")
+    quota.stream_decisions(stream, f"{base}/table", f"{base}/checkpoint", 5, 172800, "1 day").awaitTermination()
+    return spark.read.parquet(f"{base}/table").select("event_id", "client_id", "allowed")
