@@ -143,28 +143,27 @@ def _place(value: Column, bounds: Column | None) -> Column:
     return F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda b: b < value))
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """One row per vector: ``id_col``, ``n_links``, ``component_id`` and ``kept``.
-
-    Vectors link when their cosine in double precision reaches ``threshold``. Vectors that are
-    null, zero, of another length than most (the longer at a tie), or that hold null or non-finite parts link with
-    nothing. Vectors whose unit vectors are equal are one node with a count of copies. Nodes are sorted into tiles along the first two principal axes; two tiles
-    are compared unless their extents along these axes are too far apart for the threshold, and
-    a task holds two tiles. Components keep the smallest id. Repeated rows count as copies. Ids are
-    unique integers. Further columns are ignored. An empty table gives no rows.
-    """
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
-    lengths = own.where(F.size("v") > 0).groupBy(F.size("v").alias("width")).count()
-    first = lengths.orderBy(F.desc("count"), F.desc("width")).first()
-    axes = principal_axes(own, first[0], "v") if first else np.eye(1)
-    turned = settle(_rotated(own, axes).withColumn("print", F.sha2("unit", 256)), "embedding-units")
-    usable = turned.where("unit IS NOT NULL AND id IS NOT NULL")
+def _split_ties(tiled: DataFrame, n_tiles: int) -> tuple[DataFrame, int]:
+    """Tiles that equal leading coordinates have left too large are cut into blocks by a hash of the node."""
+    sizes = settle(tiled.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "embedding-sizes")
+    most = sizes.agg(F.max("blocks")).first()[0] or 1
+    if most <= 2:
+        return tiled, n_tiles
+    cut = tiled.join(sizes.withColumnRenamed("tile", "t"), F.col("tile") == F.col("t"))
+    block = F.when(F.col("blocks") > 2, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0)
+    return cut.select((F.col("tile") * most + block).cast("long").alias("tile"), "node", "copies", "unit", "p0", "p1"), n_tiles * most
+
+
+def _linked(usable: DataFrame, threshold: float) -> DataFrame:
+    """``(p, n_links, component_id)`` of each distinct unit vector of one length."""
     nodes = settle(usable.groupBy("print").agg(
         F.min("id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit"),
         F.first("p0").alias("p0"), F.first("p1").alias("p1")), "embedding-nodes")
     tiled, n_tiles = _tiles(nodes, nodes.count())
-    tiled = settle(tiled.select("tile", "node", "copies", "unit", "p0", "p1"), "embedding-tiles")
-    pairs = _tile_pairs(tiled, threshold)
+    tiled = settle(tiled.select(F.col("tile").cast("long").alias("tile"), "node", "copies", "unit", "p0", "p1"), "embedding-tiles")
+    cut, n_tiles = _split_ties(tiled, n_tiles)
+    tiled = tiled if cut is tiled else settle(cut, "embedding-blocks")
+    pairs = settle(_tile_pairs(tiled, threshold), "embedding-pairs")
     sent = tiled.join(pairs, "tile").select("a", "b", "tile", "node", "copies", "unit")
     sent = sent.withColumn("pair", F.col("a") * n_tiles + F.col("b"))
     partial = settle(sent.groupBy("pair").applyInPandas(_compare(threshold), "node long, n long, low long"), "embedding-links")
@@ -174,8 +173,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "e
         groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select(
         F.col("print").alias("p"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"))
-    of_node = settle(of_node, "embedding-results")
-    whole = turned.join(of_node, F.col("print") == F.col("p"), "left")
+    return settle(of_node, "embedding-results")
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95) -> DataFrame:
+    """One row per vector: ``id_col``, ``n_links``, ``component_id`` and ``kept``.
+
+    Vectors of equal length link when their cosine in double precision reaches ``threshold``. Vectors that are
+    null, zero, or that hold null or non-finite parts link with
+    nothing. Vectors whose unit vectors are equal are one node with a count of copies. Nodes are sorted into tiles along the first two principal axes; two tiles
+    are compared unless their extents along these axes are too far apart for the threshold, and
+    a task holds two tiles; tiles of equal coordinates are cut by hash. Components keep the smallest id. Repeated rows count as copies. Ids are
+    unique integers. Each length that at least two vectors have is worked on by itself, with axes of its own, one after the other: a table has few.
+    Further columns are ignored. An empty table gives no rows.
+    """
+    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
+    lengths = own.where(F.size("v") > 0).groupBy(F.size("v").alias("width")).count().where("count > 1")
+    every = own.select("id", F.lit(None).cast("string").alias("print"))
+    results = None
+    widths = sorted(r["width"] for r in lengths.collect())
+    for width in widths:
+        same = own.where(F.size("v") == width)
+        turned = settle(_rotated(same, principal_axes(same, width, "v")).withColumn("print", F.concat_ws(":", F.lit(width), F.sha2("unit", 256))), "embedding-units")
+        turned = turned.withColumn("print", F.when(F.col("unit").isNotNull(), F.col("print")))
+        found = _linked(turned.where("unit IS NOT NULL AND id IS NOT NULL"), threshold)
+        rows = turned.select("id", "print").join(found, F.col("print") == F.col("p"), "left").select("id", "n_links", "component_id")
+        results = rows if results is None else results.unionByName(rows)
+    rest = own.where(~F.coalesce(F.size("v").isin(widths), F.lit(False)) | F.col("v").isNull()) if widths else every
+    alone = rest.select("id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    whole = alone if results is None else results.unionByName(alone)
     component = F.coalesce("component_id", "id")
     return whole.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                         component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
@@ -185,17 +211,19 @@ def _tile_pairs(tiled: DataFrame, threshold: float) -> DataFrame:
     """``(tile, a, b)``: for each tile the pairs of tiles to compare it in.
 
     Unit vectors with a cosine of at least t are at most sqrt(2 - 2 t) apart, so tiles whose
-    boxes along the two first axes are farther apart hold no link. Boxes are one small row a tile; all tile
-    numbers and their boxes are compared on the driver in blocks.
+    boxes along the two first axes are farther apart hold no link. Boxes, one small row a tile, meet in the cells of a grid of that
+    width that they touch or come close to; every pair within reach shares one.
     """
-    boxes = tiled.groupBy("tile").agg(F.min("p0"), F.max("p0"), F.min("p1"), F.max("p1")).orderBy("tile").collect()
-    table = np.array([[*b] for b in boxes], np.float64).reshape(-1, 5)
-    partners = []
-    for k, row in enumerate(table):
-        rest = table[k:]
-        gaps = [np.maximum(0, np.maximum(rest[:, lo] - row[hi], row[lo] - rest[:, hi])) for lo, hi in ((1, 2), (3, 4))]
-        near = rest[gaps[0] ** 2 + gaps[1] ** 2 <= 2 - 2 * threshold + SLACK, 0].astype(int).tolist()
-        partners.append((int(row[0]), near))
-    spark = tiled.sparkSession
-    half = spark.createDataFrame(partners, "a long, partners array<long>").select("a", F.explode("partners").alias("b"))
-    return half.select(F.col("a").alias("tile"), "a", "b").unionByName(half.where("a <> b").select(F.col("b").alias("tile"), "a", "b"))
+    reach = float(np.sqrt(max(2 - 2 * threshold, 0) + SLACK))
+    cell = max(reach, 0.05)
+    boxes = tiled.groupBy("tile").agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(("p0", "p1")) for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = boxes
+    for k in (0, 1):
+        first, last = (F.floor((F.col(f"{n}{k}") + side * reach / 2) / cell).cast("int") for n, side in (("lo", -1), ("hi", 1)))
+        cells = cells.withColumn(f"cell{k}", F.explode(F.sequence(first, last)))
+    a = cells.select("cell0", "cell1", F.col("tile").alias("a"), *[F.col(f"{n}{k}").alias(f"a_{n}{k}") for k in (0, 1) for n in ("lo", "hi")])
+    b = cells.select("cell0", "cell1", F.col("tile").alias("b"), *[F.col(f"{n}{k}").alias(f"b_{n}{k}") for k in (0, 1) for n in ("lo", "hi")])
+    gap = [F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")) for k in (0, 1)]
+    near = a.join(b, ["cell0", "cell1"]).where((F.col("a") <= F.col("b")) & (gap[0] * gap[0] + gap[1] * gap[1] <= 2 - 2 * threshold + SLACK))
+    half = near.select("a", "b").distinct()
+    return half.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("tile")).select("tile", "a", "b")

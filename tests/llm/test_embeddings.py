@@ -67,3 +67,29 @@ def test_suffix_bounds_lose_no_pair():
     a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
     i, j = embeddings.tile_links(a, b, 0.9)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.9)))) and len(i)
+
+
+def test_every_length_links(spark):
+    rng = np.random.default_rng(7)
+    rows = [[1.0, 2.0], [2.0, 4.0], [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0], [5.0], None, [], [0.0, 0.0], [float("nan"), 1.0]]
+    rows += [[float(np.float32(x)) for x in rng.normal(size=5)] for _ in range(30)]
+    rows += [[x * 3 for x in v] for v in rows[10:20]]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in enumerate(rows)], SCHEMA).repartition(4)
+    want = {i: (0, i, True) for i in range(len(rows))}
+    for width in {len(v) for v in rows if v}:
+        want |= slow([(i, v) for i, v in enumerate(rows) if v and len(v) == width])
+    assert as_dict(embeddings.near_vectors(df)) == want and want[0] == (1, 0, True) and want[3] == (1, 2, False)
+
+
+def test_tiles_of_equal_coordinates_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(400):  # equal parts along the two first axes, small different ones along the others
+        v = np.zeros(12)
+        v[:2] = 1.0, (-1.0) ** (k % 3 == 0)
+        v[2 + k % 10] = 0.2 + 0.01 * (k // 10 % 7)
+        rows.append([float(np.float32(x)) for x in v])
+    rows += [[float(np.float32(x)) for x in rng.normal(size=12)] for _ in range(40)]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in enumerate(rows)], SCHEMA).repartition(4)
+    assert as_dict(embeddings.near_vectors(df)) == slow(list(enumerate(rows)))
