@@ -63,11 +63,15 @@ def latency_percentiles(requests: DataFrame, percentiles: list[int] | None = Non
         pairs = F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("percentile"), F.col("v").alias("value"))
         return found.select(F.inline(pairs))
     v = F.col(column).cast("double")
+
+    def step(parts: int) -> Column:
+        """A whole number that grows with the value, ``parts`` of them for each power of two."""
+        size = F.when(F.abs("value") == float("inf"), 10_000 * parts).otherwise(F.floor(F.log2(F.abs("value")) * parts) + 2_000 * parts)
+        return F.when(F.col("value") == 0, F.lit(0).cast("bigint")).otherwise(F.signum("value").cast("bigint") * size)
+
     values = (
         requests.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.when(F.col("value") == 0, F.lit(0).cast("bigint")).otherwise(
-            F.signum("value").cast("bigint") * F.when(F.abs("value") == float("inf"), 1_000_000)
-            .otherwise(F.floor(F.log2(F.abs("value")) * 64) + 100_000)))
+        .withColumn("bucket", step(64))
     )
     # One row per bucket, at most some 270,000 whatever the input: a single window is safe here.
     everything = Window.partitionBy(F.lit(0))
@@ -82,7 +86,7 @@ def latency_percentiles(requests: DataFrame, percentiles: list[int] | None = Non
     hit = F.filter(wanted, lambda w: (w["position"] > F.col("upto") - F.col("n")) & (w["position"] <= F.col("upto")))
     targets = buckets.select("bucket", (F.col("upto") - F.col("n")).alias("before"), F.explode(hit).alias("w")).select(
         "bucket", "w.percentile", (F.col("w.position") - F.col("before")).alias("position"))
-    inside = running_total(values.join(targets, "bucket"), ["percentile"], "value", "n", "upto")
+    inside = running_total(values.join(targets, "bucket"), ["percentile"], "value", "n", "upto", cut=step(65_536))
     here = (F.col("position") <= F.col("upto")) & (F.col("position") > F.col("upto") - F.col("n"))
     return inside.where(here).select("percentile", "value")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 32
@@ -23,14 +23,15 @@ def with_slices(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
     return known.withColumn("_slice", F.size(F.filter("_limits", lambda limit: limit < value))).drop("_limits")
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, slices: int = SLICES) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, slices: int = SLICES, cut: Column | None = None) -> DataFrame:
     """Adds ``out``: sum of ``value`` over rows of the same key up to and including this order.
 
     ``order`` must be numeric and unique within a key; NULL comes first. Rows are cut into slices
     of the order, so a hot key is spread over ``slices`` tasks; slice totals are at most
-    ``slices`` rows per key and combine before their shuffle.
+    ``slices`` rows per key and combine before their shuffle. ``cut`` gives the slice where the caller knows
+    one that grows with the order.
     """
-    sliced = with_slices(df, order, slices)
+    sliced = with_slices(df, order, slices) if cut is None else df.withColumn("_slice", cut)
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
