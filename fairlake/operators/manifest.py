@@ -77,12 +77,15 @@ def upsert_manifest(current: DataFrame, new: DataFrame, order: list[str],
 
 def append_new(current: DataFrame, new: DataFrame, order: list[str],
                key: tuple[str, ...] = ("dataset_id", "file_name")) -> DataFrame:
-    """Insert-if-absent: rows whose key exists are left alone; of several new rows the first wins."""
+    """Insert-if-absent: rows whose key exists are left alone; of several new rows the first wins.
+
+    New rows are reduced to one per key, combined before the shuffle, and only then joined, so a hot name is one row there.
+    """
     rest = [c for c in new.columns if c not in key]
     first = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("row")
     fresh = (
-        new.join(current.select(*key), list(key), "left_anti")
-        .groupBy(*key).agg(first)
+        new.groupBy(*key).agg(first)
+        .join(current.select(*key), list(key), "left_anti")
         .select(*key, *[F.col(f"row.{c}").alias(c) for c in rest])
     )
     return current.unionByName(fresh.select(*[c for c in fresh.columns if c in current.columns]),
@@ -167,7 +170,9 @@ def dedupe_names(uploads: DataFrame, existing: DataFrame, order: str = "seq",
         pending = named.where(~done).select(*columns, "_stem", "_ext", "_root")
         if pending.isEmpty():
             return settled
-        taken = taken.unionByName(won.select(key, F.col("stored_name").alias("_name")))
+        # Written each round, so the plan does not grow with the rounds.
+        taken = taken.unionByName(won.select(key, F.col("stored_name").alias("_name"))).checkpoint()
+        settled = settled.checkpoint()
 
 
 def _free_numbers(pending: DataFrame, taken: DataFrame, order: str, key: str) -> DataFrame:

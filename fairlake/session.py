@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
+_MADE: list[tuple[SparkSession, str]] = []
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fairlake") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -21,8 +25,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fai
     )
 
 
+@atexit.register
+def _remove_made() -> None:
+    """Results are read lazily from intermediate tables, so these go when the driver's process ends."""
+    for spark, path in _MADE:
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        except (Py4JError, OSError):  # the JVM has ended already
+            return
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach; removed when the driver's process ends.
 
     Lies below ``spark.checkpoint.dir``, or below the warehouse, which executors share as
     well, where that setting is absent. A warehouse in a machine's own files is refused off local mode.
@@ -34,7 +49,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if own_files and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{base.rstrip('/')}/_intermediate"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
