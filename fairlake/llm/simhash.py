@@ -151,14 +151,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     The one with the smallest id stays, one without an id only where the component has no other; among rows that share the
     id, the one with the smallest hash of the text, and of equal rows one. A document that is alone stays, whatever its id.
     """
+    id_, hash_ = F.col(f"row.{id_col}"), F.xxhash64(f"row.{text}")
     named = docs.select(F.struct(*docs.columns).alias("row"))  # keeps columns with clashing names apart
-    own = named.select("row", F.col(f"row.{id_col}").alias("id"), _fingerprints(F.col(f"row.{text}")).alias("fp"))
-    own = settle(own.withColumn("h", F.xxhash64(f"row.{text}")), "simhash-rows")
-    classes = _with_components(own.select("fp", "id"))
-    placed = own.join(classes, F.col("fp") == F.col("f")).withColumn("o", F.struct(F.col("id").isNull().alias("n"), "id", "h"))
-    first = settle(placed.groupBy(F.col("component").alias("c")).agg(F.min("o").alias("first")), "simhash-first")
-    kept = placed.join(first, (F.col("component") == F.col("c")) & F.col("o").eqNullSafe(F.col("first")))
-    return kept.dropDuplicates(["component"]).select("row.*")
+    own = settle(named.select(id_.alias("id"), _fingerprints(F.col(f"row.{text}")).alias("fp"), hash_.alias("h")), "simhash-prints")
+    placed = own.join(_with_components(own), F.col("fp") == F.col("f"))
+    # Only ids and hashes are sorted out; of the documents themselves one join is needed.
+    alike = placed.groupBy("component", "id", "h").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull(), "id", "h")
+    first = alike.groupBy("component").agg(F.min_by(F.struct("id", "h", "n"), order).alias("x"))
+    first = settle(first.select(F.col("x.id").alias("i"), F.col("x.h").alias("k"), F.col("x.n").alias("n")), "simhash-first")
+    kept = named.join(first, id_.eqNullSafe(F.col("i")) & (hash_ == F.col("k")))
+    once = kept.where("n = 1").select("row.*")
+    again = kept.where("n > 1").dropDuplicates(["i", "k"]).select("row.*")  # equal rows
+    return once.unionByName(again)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
