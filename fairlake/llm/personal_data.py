@@ -117,7 +117,7 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʟ": "l", "ᴏ": "o", "ѡ": "w", "ո": "n", "ս": "u", "օ": "o", "հ": "h",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹘": "-", "․": ".", "。": ".", "｡": ".", "·": ".", "•": ".", "∙": ".",
-    "@": "@", "ⓐ": "@", "˖": "+", "➕": "+",
+    "˖": "+", "➕": "+",
 }
 _BEYOND = re.compile("[^\x00-\x7f\xc0-\xff]")
 #: Characters that show nothing.
@@ -159,9 +159,9 @@ _DOT, _AT = "(?:dot|punkt|punto|point)", "(?:at|arroba|chez|bei)"
 _OPEN, _CLOSE = r"[\[({<|_*~-]{1,2}", r"[\])}>|_*~-]{1,2}"
 _EDGE = r"(?<![^\W\d_])"  # no letter before
 _DASH = "(?:dash|hyphen|minus)"
-_GAP = rf"(?:\s{_DOT}\s|\s{_DASH}\s|[\x20,/-]{{1,2}})"
+_GAP = rf"(?:\s{_DOT}\s|\s{_DASH}\s|[\x20,/()-]{{1,3}})"
 _NUMBER = re.compile(rf"{_EDGE}(?:{_WORD}(?![^\W_])|(?<!\d)\d++)(?:{_GAP}(?:{_WORD}|\d++)(?![^\W\d_]))++", re.I)
-_PIECE = re.compile(rf"(?P<dot>\s{_DOT}\s)|(?P<dash>\s{_DASH}\s)|(?P<word>{_WORD})|(?P<digits>\d+)|(?P<gap>[\x20,/-]+)", re.I)
+_PIECE = re.compile(rf"(?P<dot>\s{_DOT}\s)|(?P<dash>\s{_DASH}\s)|(?P<word>{_WORD})|(?P<digits>\d+)|(?P<gap>[\x20,/()-]+)", re.I)
 _PLUS = re.compile(r"(?<!\w)(?:\(plus\)|\[plus\]|plus)\s{0,2}(?=[0-9(])", re.I)
 _BETWEEN = re.compile(rf"(?<=[0-9])\s?(?:\[\.\]|\(\.\)|{{\.}}|{_OPEN}\s?{_DOT}\s?{_CLOSE}|\s{_DOT}\s|\s\.\s)\s?(?=[0-9])", re.I)
 _LIKE_DIGITS = re.compile(  # begins where no such group goes on, so a long one is read once

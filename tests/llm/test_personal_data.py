@@ -78,6 +78,7 @@ def test_random_strings_against_patterns():
     ("card", "4111–1111–1111–1111", "4111-1111-1111-1111"),
     ("phone", "plus one two four three five five five five five two six", "+12435555526"),
     ("phone", "+1 (243) 555-five five two six", "+1 (243) 5555526"),
+    ("phone", "plus one (two four three) five five five - five five two six", "+12435555526"),
     ("phone", "plus vier neun eins sieben eins zwei drei vier fünf sechs sieben", "+49171234567"),
     ("phone", "+l (243) 555-55O6", "+1 (243) 555-5506"),
 ])
