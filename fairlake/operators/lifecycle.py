@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlake.functions import variants as V
@@ -146,16 +146,19 @@ def prefill(records: DataFrame, samples: DataFrame, fields: Sequence[str], sampl
     newest that does not begin after it. Equal dates are settled by the greater value. Members count as empty when
     they are absent, null, blank or the placeholder; others stay. Records without sample, date or match stay as they are.
 
-    The candidate versions of a record meet in one aggregation that keeps one value per field and combines before its shuffle, so
-    nothing is sorted. ``record_key`` is unique.
+    The best values change only where a version begins, and a running maximum along a sample's dates holds them. So versions
+    of one date become one row, each asked date is one more, and records meet exactly one row: work and rows follow records
+    and versions, not their pairs. ``record_key`` is unique.
     """
-    wanted = records.where(F.col(sample_id).isNotNull() & F.col(at).isNotNull()).select("record_key", F.col(sample_id).alias("_id"), F.col(at).alias("_at"))
-    versions = samples.select(F.col("sample_id").alias("_sample"), "source", "precedence", "valid_from", *[F.col(f).alias(f"_f_{f}") for f in fields])
-    met = wanted.join(versions, (F.col("_id") == F.col("_sample")) & (F.col("valid_from") <= F.col("_at")))
-    best = [F.max(F.when(F.col(f"_f_{f}").isNotNull(), F.struct((-F.col("precedence")).alias("p"), "valid_from", F.col(f"_f_{f}").alias("value"), "source"))).alias(f"_b_{f}")
+    wanted = records.where(F.col(sample_id).isNotNull() & F.col(at).isNotNull()).select(F.col(sample_id).alias("_id"), F.col(at).alias("_at")).distinct()
+    best = [F.max(F.when(F.col(f).isNotNull(), F.struct((-F.col("precedence")).alias("p"), "valid_from", F.col(f).alias("value"), "source"))).alias(f"_b_{f}")
             for f in fields]
-    found = met.groupBy("record_key").agg(*best)
-    joined = records.join(found, "record_key", "left")
+    dated = samples.where(F.col("sample_id").isNotNull() & F.col("valid_from").isNotNull())
+    versions = dated.groupBy(F.col("sample_id").alias("_id"), F.col("valid_from").alias("_at")).agg(*best)
+    dates = versions.withColumn("_asked", F.lit(False)).unionByName(wanted.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    so_far = Window.partitionBy("_id").orderBy("_at")  # rows of equal dates count together
+    known = dates.select("_id", "_at", "_asked", *[F.max(f"_b_{f}").over(so_far).alias(f"_b_{f}") for f in fields]).where("_asked").drop("_asked")
+    joined = records.join(known, (F.col(sample_id) == F.col("_id")) & (F.col(at) == F.col("_at")), "left").drop("_id", "_at")
     body, filled = V.members("body"), F.create_map().cast("map<string,string>")
     for f in fields:
         empty = ~V.passes_gate(V.field("body", f))

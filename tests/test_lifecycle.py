@@ -88,6 +88,22 @@ def test_prefill_takes_the_version_valid_at_the_date(spark):
                    "r4": ({"p": "To be filled"}, {}), "r5": ({}, {}), "r6": ({"p": 0, "t": "T"}, {"t": "bank"})}
 
 
+def test_prefill_of_a_sample_with_many_records_and_versions(spark):
+    n = 4000  # 16 million pairs of records and versions
+    samples = spark.range(n).selectExpr("'s' AS sample_id", "'lims' AS source", "CAST(id % 2 AS INT) AS precedence", "date_add(DATE'2024-01-01', CAST(id % 50 AS INT)) AS valid_from",
+                                        "CASE WHEN id % 3 > 0 THEN lpad(CAST(id AS STRING), 5, '0') END AS p")
+    rows = spark.range(n).selectExpr("CAST(id AS STRING) AS record_key", "'s' AS sample_id", "date_add(DATE'2023-12-31', CAST(id % 60 AS INT)) AS experiment_date", "'{}' AS raw")
+    filled = L.prefill(rows.withColumn("body", F.parse_json("raw")).drop("raw"), samples, ["p"])
+    got = {int(r.record_key): r.p for r in filled.select("record_key", F.try_variant_get("body", "$.p", "string").alias("p")).collect()}
+    versions = {}
+    for i in range(n):
+        if i % 3:
+            versions[i % 50] = max(versions.get(i % 50, ((-2,), "")), ((-(i % 2), i % 50), f"{i:05}"))
+    assert got == {i: max((v for day, v in versions.items() if day < i % 60), default=(0, None))[1] for i in range(n)}
+    plan = [filled._jdf.queryExecution().optimizedPlan().toString()]
+    assert "<= " not in plan[0]  # records meet one row each, not every version before their date
+
+
 def test_instruments_join_the_complete_record(spark):
     done = spark.createDataFrame([("p", k, '{"version":"2.0","metadata_components":{"a":{"x":1}}}') for k in "abcd"], "project_key STRING, dataset_key STRING, document STRING")
     links = [("a", '{"instrument_used_link":["I2","none","I1","I2"," ",null,{"z":1}]}'), ("b", '{"instrument_used_link":"I1"}'), ("c", "{}"), ("x", '{"instrument_used_link":["I1"]}')]
