@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fairlake.session import shared_dir
+
 #: Folders of the index, and parts into which the postings of one term are spread.
 BUCKETS, SALTS = 32, 16
+#: Pairs of query and record that one task scores, about.
+PAIRS = 500_000
 #: Usual BM25 settings: how soon repeated terms stop to matter, and how much length counts.
 SATURATION, LENGTH_WEIGHT = 1.2, 0.75
 
@@ -51,7 +55,7 @@ def build_index(records: DataFrame, path: str, id_col: str = "record_key", text:
     counted = counted.groupBy("record", "length", "term").agg(F.count("*").alias("n"))
     placed = counted.select("term", "record", "n", "length", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int").alias("salt"),
                             _bucket("term").alias("bucket"))
-    placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    placed.repartition("bucket", "salt").sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     _part(spark, path, "postings").groupBy("bucket", "term").agg(F.count("*").alias("records")).repartition("bucket").write.mode(
         "overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
@@ -64,8 +68,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int = 10, wh
     sums do not depend on their order; equal scores rank by record. ``where`` is a condition on the
     index's ``fields``: records that miss it are not ranked, and the weights of terms stay those of the whole index.
 
-    Terms meet their postings by term and part, so a frequent term's postings are spread over tasks. Scores are added up before their
-    shuffle, and of a query's hits each task hands on ``top`` at most, so no query's hits are sorted in one place. A query
+    The terms asked for are a table of their own, one row per term and part with the queries that ask for it. A posting meets it once and moves
+    once, to its record's task, so a record's scores for all queries are added up where they arise and no pair of query and record is
+    shuffled; tasks follow the number of pairs. Each task hands on the best ``top`` rows of a query only. A query
     without terms in the index has no rows; queries with the same id are one query. Null ids are left out.
     """
     totals = spark.read.parquet(f"{path}/totals").first()  # one row
@@ -73,14 +78,18 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int = 10, wh
     asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(tokens(text)).alias("term")).distinct()
     known = _part(spark, path, "terms").withColumnRenamed("records", "df")
     weight = F.log(1 + (totals["records"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.withColumn("bucket", _bucket("term")).join(known, ["bucket", "term"]).select(
-        "query_id", "term", "bucket", weight.alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = _part(spark, path, "postings").join(weighted, ["bucket", "term", "salt"])
+    weighted = asked.withColumn("bucket", _bucket("term")).join(known, ["bucket", "term"]).groupBy("bucket", "term", weight.alias("weight")).agg(
+        F.collect_list("query_id").alias("queries"))
+    terms = shared_dir(spark, "search-terms")
+    weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).write.parquet(terms)
+    part = F.col("weight") * (F.col("n") * (SATURATION + 1)) / (
+        F.col("n") + SATURATION * ((1 - LENGTH_WEIGHT) + LENGTH_WEIGHT * F.col("length") / mean))
+    tasks = min(max(totals["records"] * asked.agg(F.count_distinct("query_id")).first()[0] // PAIRS, 1), 10_000)
+    hits = _part(spark, path, "postings").join(spark.read.parquet(terms), ["bucket", "term", "salt"]).select(
+        "record", F.round(part * 1_000_000).cast("long").alias("part"), "queries").repartition(tasks, "record")
     if where is not None:
         allowed = spark.read.parquet(f"{path}/records").where(where).select("record")
         hits = hits.join(allowed, "record", "left_semi")
-    part = F.col("weight") * (F.col("n") * (SATURATION + 1)) / (
-        F.col("n") + SATURATION * ((1 - LENGTH_WEIGHT) + LENGTH_WEIGHT * F.col("length") / mean))
-    scores = hits.groupBy("query_id", "record").agg(F.sum(F.round(part * 1_000_000).cast("long")).alias("score"))
+    scores = hits.select("record", "part", F.explode("queries").alias("query_id")).groupBy("query_id", "record").agg(F.sum("part").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "record")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

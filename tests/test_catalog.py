@@ -44,6 +44,21 @@ def test_search_against_brute_force_and_reuse(spark, tmp_path):
     assert "WindowGroupLimit" in plan  # each task hands on its best only
 
 
+def test_search_adds_scores_up_where_a_records_postings_meet(spark, tmp_path, monkeypatch):
+    docs = {f"r{i:03}": f"all words{i % 5} all w{i % 11} " + "x " * (i % 4) for i in range(300)}
+    path = str(tmp_path / "index")
+    search.build_index(spark.createDataFrame(list(docs.items()), "record_key string, text string"), path)
+    asked = {i: f"all w{i % 11} x words{i % 5}" for i in range(40)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    monkeypatch.setattr(search, "PAIRS", 1500)  # eight tasks
+    found, got = search.search(spark, path, queries, 6), {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.record, r.score))
+    assert got == {k: slow_search(docs, t, 6) for k, t in asked.items()}
+    plan = found._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\w+, record", plan) and re.search(r"hashpartitioning\(record#\w+, 8\)", plan)
+
+
 def test_empty_index(spark, tmp_path):
     none = spark.createDataFrame([], "record_key string, text string")
     search.build_index(none, str(tmp_path / "index"))
