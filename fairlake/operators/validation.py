@@ -159,6 +159,11 @@ def group_errors(validated: DataFrame) -> DataFrame:
     return validated.withColumn("errors", F.map_from_entries(grouped))
 
 
+def error_rows(grouped: DataFrame, keys: tuple[str, ...] = ("record_key",)) -> DataFrame:
+    """One row per field path of ``errors`` with its ``messages``; an outer explode, which Spark does not filter in a copy of the validation."""
+    return grouped.select(*keys, F.explode_outer("errors").alias("field_path", "messages")).where("field_path IS NOT NULL")
+
+
 def _leading_number(text: Column, integer: Column) -> Column:
     digits = F.regexp_extract(text, r"^\s*([-+]?\d+)", 1)
     whole = F.coalesce(digits.try_cast("bigint").cast("variant"), digits.try_cast("decimal(38,0)").cast("variant"),

@@ -170,8 +170,7 @@ def validation_verdict(spark, d):
 @query("f14_grouped_errors", _NODES + f"SELECT record_key, field_path, count(*) AS messages FROM ({_ALL}) a GROUP BY ALL")
 def grouped_errors(spark, d):
     grouped = V.group_errors(V.validate(_records(spark, d)))
-    return grouped.select("record_key", F.explode("errors").alias("field_path", "m")).select(
-        "record_key", "field_path", F.size("m").cast("bigint").alias("messages"))
+    return V.error_rows(grouped).withColumn("messages", F.size("messages").cast("bigint"))
 
 
 @query("f15_form_rules", _NODES + _union("type", "required", "format", "range") + """

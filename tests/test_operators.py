@@ -294,6 +294,15 @@ def test_validation_and_normalisation_as_deep_as_the_schema(spark):
     assert json.loads(text) == _deep(4, 5)
 
 
+def test_grouped_errors_are_validated_once(spark):
+    df = _records(spark, [("", {"project_title": 5}), ("", {"project_identifier": "p", "project_title": "t"})]).drop("data_root")
+    rows = validation.error_rows(validation.group_errors(validation.validate(df, rules=("type", "required"))))
+    plain = validation.validate(df, rules=("type", "required")).select("record_key", F.explode("violations.field_path").alias("p")).collect()
+    assert plain and sorted((r.record_key, r.field_path) for r in rows.collect() for _ in r.messages) == sorted(map(tuple, plain))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "- Filter" in line and "flatten" in line]  # no copy of the walk below the joins
+
+
 def test_layers_and_roots_give_one_row_per_record(spark):
     one, two = {"type": "object", "required": ["a"], "properties": {"a": {"type": "string"}}}, {"type": "object", "required": ["b"]}
     registry = _layers(spark, [("x", "project_descriptive", "packaged", two), ("x", "project_descriptive", "explicit", one),
