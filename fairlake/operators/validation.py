@@ -148,7 +148,12 @@ def validate_form(records: DataFrame, registry: DataFrame | None = None) -> Data
 
 
 def violation_rows(validated: DataFrame, keys: tuple[str, ...] = ("record_key", "metadata_type")) -> DataFrame:
-    return validated.select(*keys, F.explode("violations").alias("v")).select(*keys, "v.*")
+    """One row per violation.
+
+    Spark filters the input of a plain explode by the size of the array, and pushes that filter below the records' joins
+    with every level of the validation copied into it; an outer explode is filtered afterwards.
+    """
+    return validated.select(*keys, F.explode_outer("violations").alias("v")).where("v IS NOT NULL").select(*keys, "v.*")
 
 
 def group_errors(validated: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def group_errors(validated: DataFrame) -> DataFrame:
 
 
 def error_rows(grouped: DataFrame, keys: tuple[str, ...] = ("record_key",)) -> DataFrame:
-    """One row per field path of ``errors`` with its ``messages``; an outer explode, which Spark does not filter in a copy of the validation."""
+    """One row per field path of ``errors`` with its ``messages``; an outer explode as in ``violation_rows``."""
     return grouped.select(*keys, F.explode_outer("errors").alias("field_path", "messages")).where("field_path IS NOT NULL")
 
 

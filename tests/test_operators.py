@@ -303,6 +303,16 @@ def test_grouped_errors_are_validated_once(spark):
     assert not [line for line in plan.split("\n") if "- Filter" in line and "flatten" in line]  # no copy of the walk below the joins
 
 
+def test_violation_rows_are_validated_once(spark):
+    df = _records(spark, [("", {"project_title": 5}), ("", {"project_identifier": "p", "project_title": "t"})]).drop("data_root")
+    checked = validation.validate(df, rules=("type", "required", "pattern"))
+    rows = validation.violation_rows(checked)
+    assert sorted((r.record_key, r.field_path, r.rule) for r in rows.collect()) == sorted(
+        (r.record_key, v.field_path, v.rule) for r in checked.collect() for v in r.violations) != []
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "- Filter" in line and "flatten" in line]
+
+
 def test_layers_and_roots_give_one_row_per_record(spark):
     one, two = {"type": "object", "required": ["a"], "properties": {"a": {"type": "string"}}}, {"type": "object", "required": ["b"]}
     registry = _layers(spark, [("x", "project_descriptive", "packaged", two), ("x", "project_descriptive", "explicit", one),
