@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +34,35 @@ def test_stream_equals_batch_and_state_ends(spark, tmp_path, parts):
     query = quota.stream_decisions(stream, str(tmp_path / "out"), str(tmp_path / "mark"), 3, 300, "10 minutes")
     query.awaitTermination()
     assert catalog.late_rows(query) == 1 and spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_state_calls_follow_parts_not_clients():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: bool(self.rows), "get": lambda: iter(self.rows), "appendValue": self.rows.append, "appendList": self.rows.extend,
+                    "put": lambda rows: self.__dict__.update(rows=list(rows)), "clear": lambda: self.__dict__.update(rows=[])}[name]
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State()
+
+        def registerTimer(self, millis):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 3000
+
+    rows = pd.DataFrame([(f"c{i % 500}", 1_000_000 * (i // 500), i) for i in range(2500)], columns=["client_id", "micros", "event_id"])
+    processor = quota.QuotaProcessor(2, 60)
+    processor.init(Handle())
+    list(processor.handleInputRows((1,), iter([rows]), Times()))
+    decided = pd.concat(list(processor.handleExpiredTimer((1,), Times(), None)))
+    assert len(decided) == 2000 and decided["allowed"].sum() == 1000 and set(decided["client_id"]) == {f"c{i}" for i in range(500)}
+    assert len(calls) < 20  # for 500 clients
