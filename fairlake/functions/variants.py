@@ -57,9 +57,16 @@ def kind_of_json(text: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.left(text, F.lit(1))), F.when(text.isNotNull(), "number"))
 
 
+# Types that tell the kind. Writing a value as JSON makes a generator for each of its strings, so only the
+# others are written: doubles, which are strings when not finite, and types that JSON lacks.
+_TYPES = {"OBJ": "object", "ARR": "array", "STR": "string", "BOO": "boolean", "VOI": "null", "BIG": "number", "DEC": "number"}
+
+
 def kind(value) -> Column:
     """JSON kind: object, array, string, number, boolean or null; NULL when absent."""
-    return kind_of_json(F.to_json(_col(value)))
+    names = F.create_map(*[F.lit(x) for kv in _TYPES.items() for x in kv])
+    v = _col(value)
+    return F.coalesce(F.try_element_at(names, F.left(F.schema_of_variant(v), F.lit(3))), kind_of_json(F.to_json(v)))
 
 
 def is_container_json(text: Column) -> Column:

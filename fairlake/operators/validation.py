@@ -178,12 +178,17 @@ def _leading_number(text: Column, integer: Column) -> Column:
 
 
 def _blank(value: Column) -> Column:
-    return F.is_variant_null(value) | (F.to_json(value) == '""')
+    return F.is_variant_null(value) | (value.cast("string") == "")
 
 
 def _unless_empty(value: Column) -> Column:
-    """The value, or NULL when it is {} or []; refers to the (large) expression only once."""
-    return F.get(F.filter(F.array(value), lambda x: ~F.to_json(x).isin("{}", "[]")), F.lit(0))
+    """The object or array, or NULL when it is {} or []; refers to the (large) expression only once."""
+    return F.get(F.filter(F.array(value), lambda x: F.greatest(F.size(V.members(x)), F.size(V.items(x))) > 0), F.lit(0))
+
+
+def _array_unless_empty(items: Column) -> Column:
+    """The items as VARIANT, or NULL when there are none."""
+    return F.get(F.transform(F.filter(F.array(items), lambda x: F.size(x) > 0), lambda x: x.cast("variant")), F.lit(0))
 
 
 def _normal_object(value: Column, at: Column, depth: int) -> Column:
@@ -220,7 +225,7 @@ def _normal_value(entry: Column, required: Column, depth: int) -> Column:
         .when(wanted.isin("number", "integer") & (kind == "null"), drop)
         .when(wanted.isin("number", "integer") & (kind == "string"), _leading_number(text, wanted == "integer"))
         .when((wanted == "boolean") & (kind == "string") & lowered.isin("true", "false"), (lowered == "true").cast("variant"))
-        .when((wanted == "array") & (kind == "array"), _unless_empty(items.cast("variant")))
+        .when((wanted == "array") & (kind == "array"), _array_unless_empty(items))
         .when(wanted == "array", single)
         .when((wanted == "object") & kind.isin("object", "array"), _unless_empty(child))
         .otherwise(value)

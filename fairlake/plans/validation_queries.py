@@ -39,7 +39,10 @@ _SID = """CASE metadata_type WHEN 'experiment_contextual' THEN CASE WHEN raw ->>
 
 
 def _records(spark, d):
-    return view(spark, d, "records").withColumn("body", F.parse_json("raw"))
+    # A file may hold a table in one row group, which is one task. The work on bodies is spread over all tasks, by a fixed
+    # number: merged to the usual bytes a task, records would again be few tasks.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return view(spark, d, "records").repartition(n, "record_key").withColumn("body", F.parse_json("raw"))
 
 
 @query("f04_schema_dispatch", f"SELECT record_key, {_SID} AS schema_id FROM $records r")
@@ -183,7 +186,8 @@ _PLAIN = "CASE WHEN t = 'DOUBLE' THEN rtrim(rtrim(CAST(v AS VARCHAR), '0'), '.')
 
 
 def _letters(text):
-    return F.array_join(F.array_sort(F.split(text, "")), "")
+    # sort_array compares in generated code; array_sort evaluates a lambda for each comparison.
+    return F.array_join(F.sort_array(F.split(text, "")), "")
 
 
 def _member_rows(records):

@@ -12,6 +12,7 @@ from fairlake.functions import variants as V
 from fairlake.operators import files, history, manifest, oplog, quality, ranking, records, templates
 from fairlake.operators import validation
 from fairlake.operators.registry import packaged_registry
+from fairlake.plans import all_queries, validation_queries
 from fairlake.sources import io
 from fairlake.streaming import ingest
 
@@ -348,3 +349,23 @@ def test_updates_of_one_record_are_reduced_in_order(spark):
                                     "record_key STRING, metadata_type STRING, raw STRING, seq INT").withColumn("body", F.parse_json("raw")).drop("raw")
     rows = records.merge_records(current, updates, ["seq"]).select(F.to_json("body").alias("b")).collect()
     assert [json.loads(r.b) for r in rows] == [{"a": 3, "b": 1, "c": 2}]
+
+
+def test_work_on_records_is_spread(spark):
+    # The given documents are one file with one row group.
+    rows = all_queries.QUERIES["f16_normalize"](spark, "/root/testdata/sf0.001")
+    sizes = [r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 0.3 * sum(sizes)
+
+
+def test_letters_are_sorted_without_a_lambda(spark):
+    df = spark.createDataFrame([("bß€a\U0001f600",), ("",), (None,)], "t string").select(validation_queries._letters(F.col("t")).alias("l"))
+    assert "lambda" not in df._jdf.queryExecution().toString()
+    assert [r[0] for r in df.collect()] == ["abß€\U0001f600", "", None]
+
+
+def test_kinds_follow_the_json_text(spark):
+    texts = ["{}", "[]", "[null]", '{"a":[{"b":null}]}', '"x"', '""', '"{"', "-1", "1.5", "1e10", "1e400", "9" * 30, "9" * 50, "true", "false", "null", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("v")).unionByName(
+        spark.sql("SELECT double('NaN')::variant AS v UNION ALL SELECT date'2020-01-01'::variant UNION ALL SELECT X'01'::variant"))
+    assert df.where(~V.kind("v").eqNullSafe(V.kind_of_json(F.to_json("v")))).count() == 0
