@@ -74,7 +74,7 @@ def is_container_json(text: Column) -> Column:
 
 
 def is_container(value) -> Column:
-    return is_container_json(F.to_json(_col(value)))
+    return F.left(F.schema_of_variant(_col(value)), F.lit(3)).isin("OBJ", "ARR")
 
 
 def is_blank(text: Column) -> Column:

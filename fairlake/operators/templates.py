@@ -51,7 +51,11 @@ def default_records(registry: DataFrame) -> DataFrame:
 
 def fill(defaults: Column, auto: Column) -> Column:
     """Default record with automatic values; fields that the schema lacks are left out."""
-    both = F.map_zip_with(V.members(defaults), auto, lambda _, value, new: F.when(value.isNotNull(), F.coalesce(new, value)))
+    return _fill_members(V.members(defaults), auto)
+
+
+def _fill_members(defaults: Column, auto: Column) -> Column:
+    both = F.map_zip_with(defaults, auto, lambda _, value, new: F.when(value.isNotNull(), F.coalesce(new, value)))
     return F.to_variant_object(F.map_filter(both, lambda _, v: v.isNotNull()))
 
 
@@ -72,11 +76,15 @@ def _registry_of(rows: DataFrame, registry: DataFrame | None) -> DataFrame:
 
 
 def _with_defaults(rows: DataFrame, registry: DataFrame | None, schema_id: str, out: str) -> DataFrame:
-    """Adds the default record of a schema, NULL where a row's data root has none."""
+    """Adds the members of a schema's default record, NULL where a row's data root has none.
+
+    They are spread into a map once per schema, not for every row.
+    """
     found = default_records(_registry_of(rows, registry).where(F.col("schema_id") == schema_id))
+    members = V.members("defaults").alias(out)
     if registry is None or "data_root" not in rows.columns:
-        return rows.withColumn(out, found.select("defaults").scalar())
-    return rows.join(found.select("data_root", F.col("defaults").alias(out)), "data_root", "left")
+        return rows.withColumn(out, found.select(members).scalar())
+    return rows.join(found.select("data_root", members), "data_root", "left")
 
 
 def init_projects(dirs: DataFrame, run_ts: str, registry: DataFrame | None = None) -> DataFrame:
@@ -85,7 +93,7 @@ def init_projects(dirs: DataFrame, run_ts: str, registry: DataFrame | None = Non
                   "project_title": P.strip_prefix("project_key", C.PROJECT_PREFIX)} | _audit(run_ts))
     return _with_defaults(dirs, registry, "project_descriptive", "_defaults").select(
         "project_key", F.lit("project_descriptive").alias("metadata_type"), mint_id("project_key").alias("project_identifier"),
-        fill(F.col("_defaults"), auto).alias("body"))
+        _fill_members(F.col("_defaults"), auto).alias("body"))
 
 
 def init_project_admin(projects: DataFrame, run_ts: str, registry: DataFrame | None = None) -> DataFrame:
@@ -93,14 +101,18 @@ def init_project_admin(projects: DataFrame, run_ts: str, registry: DataFrame | N
     auto = _auto({"project_identifier_link": F.col("project_identifier")} | _audit(run_ts))
     return _with_defaults(projects, registry, "project_administrative_schema", "_defaults").select(
         "project_key", F.lit("project_administrative").alias("metadata_type"), "project_identifier",
-        fill(F.col("_defaults"), auto).alias("body"))
+        _fill_members(F.col("_defaults"), auto).alias("body"))
 
 
 def project_admin_for(datasets: DataFrame, projects: DataFrame, admins: DataFrame) -> DataFrame:
-    """Adds ``admin``: the administrative body of the first project folder with the dataset's project id."""
+    """Adds ``admin``: the administrative body of the first project folder with the dataset's project id.
+
+    Adds ``admin_inherited`` too: what datasets inherit of it, taken once per project.
+    """
     first = projects.where("project_identifier IS NOT NULL").groupBy("project_identifier").agg(
         F.min("project_key").alias("_folder"))
-    bodies = admins.select(F.col("project_key").alias("_folder"), F.col("body").alias("admin"))
+    bodies = admins.select(F.col("project_key").alias("_folder"), F.col("body").alias("admin"),
+                           inherited(F.col("body")).alias("admin_inherited"))
     known = first.join(bodies, "_folder", "left").drop("_folder")
     return datasets.join(known.withColumnRenamed("project_identifier", "project_id"), "project_id", "left")
 
@@ -108,27 +120,31 @@ def project_admin_for(datasets: DataFrame, projects: DataFrame, admins: DataFram
 def inherited(admin: Column) -> Column:
     """Dataset fields that a project's administrative record fills; nulls fill nothing."""
     names = F.create_map(*[F.lit(x) for kv in C.INHERITED_FIELDS.items() for x in kv])
-    given = F.map_filter(V.members(admin), lambda k, v: F.map_contains_key(names, k) & ~F.is_variant_null(v))
+    given = F.map_filter(V.members(admin), lambda k, v: k.isin(*C.INHERITED_FIELDS) & ~F.is_variant_null(v))
     none = F.create_map().cast("map<string,variant>")
     return F.coalesce(F.transform_keys(given, lambda k, _: F.element_at(names, k)), none)
 
 
 def init_datasets(datasets: DataFrame, run_ts: str, registry: DataFrame | None = None) -> DataFrame:
-    """Administrative and structural records sharing one id; expects ``project_id`` and ``admin`` (or NULL)."""
+    """Administrative and structural records sharing one id; expects ``project_id`` and ``admin`` (or NULL).
+
+    ``admin_inherited`` spares the reading of ``admin`` for every dataset. A body is made after the explode, so that a
+    filter by ``metadata_type`` spares the other one.
+    """
     base = datasets.withColumn("dataset_id", mint_id("project_key", "dataset_key"))
     base = _with_defaults(base, registry, "dataset_administrative_schema", "_admin_defaults")
     base = _with_defaults(base, registry, "dataset_structural_schema", "_struct_defaults")
-    admin_auto = F.map_concat(_auto({"dataset_identifier_link": F.col("dataset_id")} | _audit(run_ts)), inherited(F.col("admin")))
+    none = F.create_map().cast("map<string,variant>")
+    taken = F.coalesce("admin_inherited", none) if "admin_inherited" in datasets.columns else inherited(F.col("admin"))
+    admin_auto = F.map_concat(_auto({"dataset_identifier_link": F.col("dataset_id")} | _audit(run_ts)), taken)
     struct_auto = _auto({
         "dataset_identifier": F.col("dataset_id"), "dataset_title": P.strip_prefix("dataset_key", C.DATASET_PREFIX),
         "associated_project_identifier": F.col("project_id")} | _audit(run_ts))
-    both = F.array(
-        F.struct(F.lit("dataset_administrative").alias("metadata_type"),
-                 fill(F.col("_admin_defaults"), admin_auto).alias("body")),
-        F.struct(F.lit("dataset_structural").alias("metadata_type"),
-                 fill(F.col("_struct_defaults"), struct_auto).alias("body")))
-    return base.select("project_key", "dataset_key", "dataset_id", F.explode(both).alias("_r")).select(
-        "project_key", "dataset_key", "dataset_id", "_r.metadata_type", "_r.body")
+    body = F.when(F.col("metadata_type") == "dataset_administrative", _fill_members(F.col("_admin_defaults"), admin_auto)).otherwise(
+        _fill_members(F.col("_struct_defaults"), struct_auto))
+    types = F.array(F.lit("dataset_administrative"), F.lit("dataset_structural"))
+    return base.withColumn("metadata_type", F.explode(types)).select(
+        "project_key", "dataset_key", "dataset_id", "metadata_type", body.alias("body"))
 
 
 def inherit_defaults(records: DataFrame, admin: str = "admin") -> DataFrame:

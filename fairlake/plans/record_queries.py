@@ -177,7 +177,9 @@ def init_project_admin(spark, d):
 def _new_datasets(spark, d):
     projects = E.init_projects(view(spark, d, "project_dirs"), TS)
     segment = view(spark, d, "project_dirs").select("project_key", "c_mktsegment")
-    admins = E.init_project_admin(projects, TS).join(segment, "project_key").where("c_mktsegment <> 'MACHINERY'")
+    # A file may hold a table in one row group, which is one task; bodies are made in all.
+    spread = projects.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project_key")
+    admins = E.init_project_admin(spread, TS).join(segment, "project_key").where("c_mktsegment <> 'MACHINERY'")
     admins = admins.withColumn("body", G.with_members(F.col("body"), {
         "default_license": F.col("c_mktsegment").cast("variant"),
         "default_anonymization_method": F.when(F.col("c_mktsegment") == "BUILDING", F.parse_json(F.lit("null")))}))

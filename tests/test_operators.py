@@ -369,3 +369,33 @@ def test_kinds_follow_the_json_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("v")).unionByName(
         spark.sql("SELECT double('NaN')::variant AS v UNION ALL SELECT date'2020-01-01'::variant UNION ALL SELECT X'01'::variant"))
     assert df.where(~V.kind("v").eqNullSafe(V.kind_of_json(F.to_json("v")))).count() == 0
+
+
+def test_dataset_bodies_are_made_for_the_wanted_type_with_fields_read_once_per_project(spark):
+    projects = spark.createDataFrame([("p_1", "a"), ("p_2", "b")], "project_key STRING, project_identifier STRING")
+    admins = spark.createDataFrame([("p_1", '{"default_license":"CC0","default_access_level":null,"unused_field":1}')],
+                                   "project_key STRING, raw STRING").select("project_key", F.parse_json("raw").alias("body"))
+    datasets = spark.createDataFrame([("p_1", "d_1", "a"), ("p_1", "d_2", "a"), ("p_2", "d_3", "b"), ("p_3", "d_4", "c")],
+                                     "project_key STRING, dataset_key STRING, project_id STRING")
+    known = templates.project_admin_for(datasets, projects, admins)
+    assert [list(r[0]) for r in known.where("dataset_key = 'd_1'").select(F.map_keys("admin_inherited")).collect()] == [["license"]]
+
+    def bodies(df):
+        return {(r.dataset_key, r.metadata_type): json.loads(r.b) for r in df.withColumn("b", F.to_json("body")).collect()}
+
+    made = templates.init_datasets(known, "t")
+    got = bodies(made)
+    assert got == bodies(templates.init_datasets(known.drop("admin_inherited"), "t")) and len(got) == 8
+    assert [got[d, "dataset_administrative"]["license"] for d in ("d_1", "d_2", "d_3", "d_4")] == ["CC0", "CC0", "To be filled", "To be filled"]
+    wanted = made.where("metadata_type = 'dataset_administrative'")
+    assert bodies(wanted) == {k: v for k, v in got.items() if k[1] == "dataset_administrative"}
+    plan = wanted._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in plan if "Generate" in line and "to_variant_object" in line]
+    body, kept = ([i for i, line in enumerate(plan) if text in line][0] for text in ("to_variant_object", "Filter (metadata_type"))
+    assert body < kept  # bodies are made above the filter, of the rows that it keeps
+
+
+def test_containers_follow_the_json_text(spark):
+    texts = ["{}", "[]", '{"a":1}', "[null]", '"{"', '"[x"', "1.5", "1e400", "true", "null", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("v"))
+    assert df.where(~V.is_container("v").eqNullSafe(V.is_container_json(F.to_json("v")))).count() == 0
