@@ -3,33 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from fairlake.llm.common import settle
 from fairlake.llm.components import components
 
-#: Rows of a tile, dimensions added at once, and room for rounding in the bounds.
-TILE, STEP, SLACK = 2048, 16, 1e-9
+#: Rows of a tile, rows of a block of tiles at least, bytes of its vectors at most, leading dimensions multiplied at first.
+TILE, LEAST, BLOCK, LEAD = 2048, 8192, 1 << 23, 32
+#: Room for rounding in the bounds.
+SLACK = 1e-9
 
 
-def _unit(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _room(width: int) -> float:
+    """Room for rounding in products of unit vectors of so many parts in single precision."""
+    return 1e-5 * max(1.0, width / 64)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The lists of a column, all of one length, as rows; null parts are NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision, and which of the rows are vectors that can link at all."""
-    whole = np.zeros((len(rows), width))
-    usable = np.zeros(len(rows), bool)
-    for i, row in enumerate(rows):
-        if row is not None and len(row) == width:
-            whole[i] = [np.nan if x is None else x for x in row]
-            usable[i] = True
-    usable &= np.isfinite(whole).all(1)
+    whole = rows.astype(np.float64)
+    usable = np.isfinite(whole).all(1)
     whole[~usable] = 0
     largest = np.abs(whole).max(1, initial=0)
     usable &= largest > 0
     whole /= np.where(usable, largest, 1)[:, None]  # first by the largest part, so that no square overflows
-    return whole / np.where(usable, np.linalg.norm(whole, axis=1), 1)[:, None], usable
+    return whole / np.where(usable, np.linalg.norm(whole, axis=1), 1)[:, None] + 0.0, usable
 
 
 def principal_axes(vectors: DataFrame, width: int, embedding: str = "embedding") -> np.ndarray:
@@ -37,14 +47,14 @@ def principal_axes(vectors: DataFrame, width: int, embedding: str = "embedding")
 
     Every partition sums up products of its vectors; only the width x width sums reach the driver.
     """
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            units, usable = _unit(batch["v"].tolist(), width)
+            units, usable = _unit(_matrix(batch.column(0), width))
             total += units[usable].T @ units[usable]
-        yield pd.DataFrame({"cell": np.arange(width * width), "value": total.ravel()})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], ["cell", "value"])
 
-    sums = vectors.select(F.col(embedding).alias("v")).mapInPandas(products, "cell long, value double")
+    sums = vectors.select(F.col(embedding).alias("v")).mapInArrow(products, "cell long, value double")
     gram = np.zeros(width * width)
     for row in sums.groupBy("cell").agg(F.sum("value").alias("value")).collect():
         gram[row["cell"]] = row["value"]
@@ -52,121 +62,281 @@ def principal_axes(vectors: DataFrame, width: int, embedding: str = "embedding")
     return np.linalg.eigh((gram + gram.T) / 2)[1][:, ::-1]
 
 
-def _rotated(vectors: DataFrame, axes: np.ndarray) -> DataFrame:
-    """``(id, unit, p0, p1)``: unit vectors along the axes as packed doubles, null where nothing can link."""
-    width = len(axes)
+class Vectors:
+    """Vectors as given, and as unit vectors along the axes in single precision."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            units, usable = _unit(batch["v"].tolist(), width)
-            turned = np.einsum("ij,jk->ik", units, axes)  # row by row: equal vectors stay equal in any batch
-            packed = [t.tobytes() if ok else None for t, ok in zip(turned, usable)]
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "unit": packed, "p0": turned[:, 0],
-                                "p1": turned[:, min(1, width - 1)]})
+    def __init__(self, rows: np.ndarray, axes: np.ndarray | None = None):
+        units = _unit(rows)[0]
+        self.rows, self.turned = rows, (units if axes is None else units @ axes).astype(np.float32)
+        self._leads: dict[int, np.ndarray] = {}
+
+    def lead(self, k: int) -> np.ndarray:
+        """The first ``k`` parts, and the norm of the others rounded up: products of these are bounds."""
+        if k not in self._leads:
+            parts = self.turned[:, :k]
+            if k < self.turned.shape[1]:
+                others = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", parts, parts), 0) + np.float32(_room(k)))
+                parts = np.hstack([parts, others[:, None]])
+            self._leads[k] = np.ascontiguousarray(parts)
+        return self._leads[k]
 
-    return vectors.mapInPandas(rows, "id long, unit binary, p0 double, p1 double")
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """Unit vectors of these rows in double precision."""
+        own, place = np.unique(rows, return_inverse=True)
+        return _unit(self.rows[own])[0][place]
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose product reaches the threshold, leading dimensions first.
+def tile_links(a: np.ndarray | Vectors, b: np.ndarray | Vectors, threshold: float,
+               rows_a: np.ndarray | None = None, rows_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (of those named, if any are) whose cosine reaches the threshold, leading dimensions first.
 
     What the other dimensions can add is at most the product of the norms of both suffixes; a pair
-    goes as soon as the sum so far and this bound stay below the threshold.
+    goes as soon as the sum so far and this bound stay below the threshold. Single precision with
+    room for its rounding sorts out pairs, double precision decides those that stand close to the threshold.
+    """
+    a, b = (x if isinstance(x, Vectors) else Vectors(x) for x in (a, b))
+    rows_a, rows_b = (np.arange(len(x.rows)) if r is None else r for x, r in ((a, rows_a), (b, rows_b)))
+    width = a.turned.shape[1]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in range(0, len(rows_a), 512):
+        for q in range(0, len(rows_b), 4096):
+            one, other = rows_a[p:p + 512], rows_b[q:q + 4096]
+            k = min(LEAD, width)
+            while True:
+                most = a.lead(k)[one] @ b.lead(k)[other].T
+                hits = np.flatnonzero(most >= threshold - _room(k))
+                if k == width or len(hits) <= most.size // 64:
+                    break
+                k = min(4 * k, width)  # too many to look at one by one
+            if not len(hits):
+                continue
+            i, j = np.divmod(hits, len(other))
+            i, j = one[i], other[j]
+            ok = most.ravel()[hits] >= threshold + _room(k) if k == width else np.zeros(len(hits), bool)
+            open_ = np.flatnonzero(~ok)
+            for s in range(0, len(open_), 65536):
+                at = open_[s:s + 65536]
+                ok[at] = np.einsum("ij,ij->i", a.exact(i[at]), b.exact(j[at])) >= threshold
+            found.append((i[ok], j[ok]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _centres(same: DataFrame, width: int, count: int, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors that tiles form around, about one for ``TILE`` vectors, ordered by slices of the first axis and along the second.
+
+    They are distinct vectors with a low hash. The choice decides how much is compared, never what is found.
     """
-    width = a.shape[1]
-    left, right = (np.sqrt(np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]) for x in (a, b))
-    i = j = so_far = None
-    for k in range(0, width, STEP):
-        end = min(k + STEP, width)
-        if i is None:
-            dense = a[:, :end] @ b[:, :end].T
-            bound = np.outer(left[:, end], right[:, end]) if end < width else 0
-            i, j = np.nonzero(dense + bound >= threshold - SLACK)
-            so_far = dense[i, j]
+    wanted = min(count // TILE, (1 << 25) // (8 * width))
+    if wanted < 2:
+        return axes[:, :1].T
+    low = F.pmod(F.xxhash64("v"), F.lit(1 << 31)) < int(wanted / count * (1 << 31))
+    drawn = same.where(low).select("v").distinct().toArrow().column("v").combine_chunks()
+    units, usable = _unit(_matrix(drawn, width))
+    units = units[usable]
+    if not len(units):
+        return axes[:, :1].T
+    turned = units @ axes[:, :2]
+    slices = np.array_split(np.lexsort((turned[:, -1], turned[:, 0])), max(1, round(len(units) ** 0.5 / 4)))
+    return units[np.concatenate([s[np.argsort(turned[s, -1], kind="stable")] for s in slices])]
+
+
+def _nearest(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each row the centre with the largest product."""
+    units, centres = units.astype(np.float32), centres.astype(np.float32).T
+    step = max(1, (1 << 22) // centres.shape[1])
+    return np.concatenate([(units[k:k + step] @ centres).argmax(1) for k in range(0, len(units), step)] or [np.zeros(0, np.int64)])
+
+
+def _marked(same: DataFrame, width: int, centres: np.ndarray, place: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``(id, print, tile)`` of each vector; print, a hash of the unit vector, is null where nothing can link.
+
+    With ``place``, the first block and the number of blocks of each tile, ``(id, print, block, vector)`` of those that can.
+    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = _matrix(batch.column("v"), width)
+            units, usable = _unit(given)
+            ids, tile = batch.column("id"), _nearest(units, centres)
+            prints = [blake2b(u, digest_size=16).digest() if ok else None for u, ok in zip(units, usable)]
+            if place is None:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.binary()), pa.array(tile.astype(np.int32))], ["id", "print", "tile"])
+                continue
+            at = np.flatnonzero(usable)
+            if not len(at):
+                continue
+            prints = [prints[i] for i in at]
+            dealt = np.frombuffer(b"".join(prints), np.uint64)[::2] % place[1][tile[at]].astype(np.uint64)
+            packed = np.ascontiguousarray(given[at])
+            ends = np.arange(len(at) + 1, dtype=np.int32) * (packed.itemsize * width)
+            vector = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(prints, pa.binary()), pa.array((place[0][tile[at]] + dealt.astype(np.int64)).astype(np.int32)), vector],
+                                             ["id", "print", "block", "vector"])
+
+    return same.mapInArrow(rows, "id long, print binary, " + ("tile int" if place is None else "block int, vector binary"))
+
+
+def _places(sizes: dict[int, int], n_tiles: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first block and the number of blocks of each tile, and the number of all blocks.
+
+    Neighbouring tiles share a block of ``most`` rows; a tile with more rows is dealt over blocks of its own.
+    """
+    first, parts, block, filled = np.zeros(n_tiles, np.int64), np.ones(n_tiles, np.int64), 0, 0
+    for tile in range(n_tiles):
+        size = sizes.get(tile, 0)
+        if filled and filled + size > most:
+            block, filled = block + 1, 0
+        first[tile], parts[tile] = block, max(1, -(-size // most))
+        filled += size
+        if parts[tile] > 1:
+            block, filled = block + int(parts[tile]), 0
+    return first, parts, block + 1
+
+
+#: A row a block: its vectors sorted by tile and distance from the tile's middle, and for each piece of a tile where it starts,
+#: that middle along the axes, the least cosine with it that a vector linked with one of the piece can have, and the extents along two axes.
+_BLOCK = ("block int, node binary, copies binary, vector binary, starts binary, middles binary, least binary, boxes binary, "
+          "lo0 double, hi0 double, lo1 double, hi1 double")
+
+
+def _pack(width: int, kind: str, axes: np.ndarray, centres: np.ndarray, place: tuple[np.ndarray, np.ndarray], threshold: float):
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        block = int(group["block"].iloc[0])
+        given = np.frombuffer(b"".join(group["vector"]), kind).reshape(-1, width)
+        units = _unit(given)[0]
+        own = np.flatnonzero((place[0] <= block) & (block < place[0] + place[1]))
+        tile, middles, cosine = _nearest(units, centres[own]), [], np.zeros(len(units))
+        for t in range(len(own)):
+            at = np.flatnonzero(tile == t)
+            middle = units[at].sum(0)
+            norm = np.linalg.norm(middle)
+            middles.append(middle / norm if norm > 1e-6 else axes[:, 0])
+            cosine[at] = units[at] @ middles[-1]
+        order = np.lexsort((-cosine, tile))
+        ends = np.searchsorted(tile[order], np.arange(len(own) + 1))
+        cuts = [(t, s, min(s + max(1, TILE // 2), ends[t + 1])) for t in range(len(own)) for s in range(ends[t], ends[t + 1], max(1, TILE // 2))]
+        turned = np.einsum("ij,jk->ik", units, axes[:, :2])[order]
+        turned = np.hstack([turned, np.zeros((len(turned), 2 - turned.shape[1]))])
+        boxes = np.array([[*turned[s:e].min(0), *turned[s:e].max(0)] for _, s, e in cuts])
+        # a piece lies within an angle of its middle; what links with it lies within that angle and the threshold's
+        inner = np.clip([cosine[order[e - 1]] - SLACK for _, _, e in cuts], -1, 1)
+        least = np.where(inner <= -threshold, -2, inner * threshold - np.sqrt(1 - inner ** 2) * np.sqrt(max(0, 1 - threshold ** 2)) - 2 * _room(width))
+        return pd.DataFrame({
+            "block": [block], "node": [group["node"].to_numpy(np.int64)[order].tobytes()], "copies": [group["copies"].to_numpy(np.int64)[order].tobytes()],
+            "vector": [given[order].tobytes()], "starts": [np.array([s for _, s, _ in cuts] + [len(units)], np.int64).tobytes()],
+            "middles": [(np.array([middles[t] for t, _, _ in cuts]) @ axes).astype(np.float32).tobytes()], "least": [least.astype(np.float64).tobytes()],
+            "boxes": [boxes.tobytes()], "lo0": boxes[:, 0].min(), "hi0": boxes[:, 2].max(), "lo1": boxes[:, 1].min(), "hi1": boxes[:, 3].max()})
+
+    return pack
+
+
+class _Block(Vectors):
+    def __init__(self, row: dict[str, pa.Scalar], side: str, width: int, kind: str, axes: np.ndarray):
+        of = lambda name, dtype: np.frombuffer(row[f"{side}_{name}"].as_buffer(), dtype).copy()
+        super().__init__(of("vector", kind).reshape(-1, width), axes)
+        self.node, self.copies, self.starts = of("node", np.int64), of("copies", np.int64), of("starts", np.int64)
+        self.middles, self.least, self.boxes = of("middles", np.float32).reshape(-1, width), of("least", np.float64), of("boxes", np.float64).reshape(-1, 4)
+
+    def close(self, other: _Block) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each piece of the other block the own rows that can link with it, and where in these the own pieces start."""
+        near = other.middles @ self.turned.T >= other.least[:, None].astype(np.float32)
+        rows = [np.flatnonzero(x) for x in near]
+        return rows, [np.searchsorted(x, self.starts) for x in rows]
+
+
+def _stars(count: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``count`` items the first one that the links reach."""
+    low = np.arange(count)
+    while True:
+        least, before = np.minimum(low[u], low[v]), low.copy()
+        for x in (u, v):
+            np.minimum.at(low, x, least)
+            np.minimum.at(low, before[x], least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _links(a: _Block, b: _Block, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts links of each vector of two blocks (or of one with itself), and one link per vector and group of linked vectors."""
+    same = a is b
+    gap = [np.maximum(0, np.maximum(b.boxes[None, :, k] - a.boxes[:, None, k + 2], a.boxes[:, None, k] - b.boxes[None, :, k + 2])) for k in (0, 1)]
+    near = gap[0] ** 2 + gap[1] ** 2 <= 2 - 2 * threshold + SLACK
+    if same:
+        near = np.triu(near)
+    (rows_a, cuts_a), (rows_b, cuts_b) = a.close(b), b.close(a)
+    shift = 0 if same else len(a.rows)
+    counts, node = np.zeros(shift + len(b.rows), np.int64), b.node if same else np.concatenate([a.node, b.node])
+    ends: list[list[np.ndarray]] = [[], []]
+    for s, t in zip(*np.nonzero(near)):
+        if same and s == t:
+            one = other = np.arange(a.starts[s], a.starts[s + 1])
         else:
-            so_far = so_far + np.einsum("ij,ij->i", a[i, k:end], b[j, k:end])
-            bound = left[i, end] * right[j, end] if end < width else 0
-            ok = so_far + bound >= threshold - SLACK
-            i, j, so_far = i[ok], j[ok], so_far[ok]
-    exact = np.concatenate([np.einsum("ij,ij->i", a[i[k:k + 65536]], b[j[k:k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
-    ok = exact >= threshold
-    return i[ok], j[ok]
-
-
-def _compare(threshold: float):
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        """Counts links of each vector of two tiles, and one link per vector and group of linked vectors."""
-        units = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
-        nodes, copies = group["node"].to_numpy(np.int64), group["copies"].to_numpy(np.int64)
-        side = (group["tile"] != group["a"]).to_numpy()
-        one, other = np.flatnonzero(~side), np.flatnonzero(side) if side.any() else np.flatnonzero(~side)
-        counts, low = np.zeros(len(group), np.int64), nodes.copy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(0, len(one), 256):
-            i, j = tile_links(units[one[k:k + 256]], units[other], threshold)
-            i, j = one[k + i], other[j]
-            apart = i != j
-            i, j = i[apart], j[apart]
-            np.add.at(counts, i, copies[j])
-            if side.any():
-                np.add.at(counts, j, copies[i])
-            found.append((i.astype(np.int32), j.astype(np.int32)))
-        ends = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int32)] * 2
-        while True:  # the smallest node reachable within the two tiles
-            before = low.copy()
-            np.minimum.at(low, ends[0], low[ends[1]])
-            np.minimum.at(low, ends[1], low[ends[0]])
-            if (low == before).all():
-                break
-        hit = counts > 0
-        return pd.DataFrame({"node": nodes[hit], "n": counts[hit], "low": low[hit]})
-
-    return pair
-
-
-def _tiles(prints: DataFrame, count: int) -> tuple[DataFrame, int]:
-    """Adds ``tile``: slices of the first axis of about equal size, cut along the second."""
-    across = max(1, round((count / TILE) ** 0.5))
-    along = max(1, -(-count // (across * TILE)))
-    ranks = [i / across for i in range(1, across)]
-    cuts = prints.agg(F.percentile_approx("p0", ranks, 10_000)).first()[0] or [] if ranks else []
-    sliced = prints.withColumn("slice", _place(F.col("p0"), F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None))
-    ranks = [i / along for i in range(1, along)]
-    if not ranks:
-        return sliced.withColumn("tile", F.col("slice")), across
-    bounds = sliced.groupBy("slice").agg(F.percentile_approx("p1", ranks, 10_000).alias("bounds"))
-    joined = sliced.join(F.broadcast(bounds), "slice")  # one row a slice
-    return joined.withColumn("tile", F.col("slice") * along + _place(F.col("p1"), F.col("bounds"))), across * along
-
-
-def _place(value: Column, bounds: Column | None) -> Column:
-    return F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda b: b < value))
-
-
-def _split_ties(tiled: DataFrame, n_tiles: int) -> tuple[DataFrame, int]:
-    """Tiles that equal leading coordinates have left too large are cut into blocks by a hash of the node."""
-    sizes = settle(tiled.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "embedding-sizes")
-    most = sizes.agg(F.max("blocks")).first()[0] or 1
-    if most <= 2:
-        return tiled, n_tiles
-    cut = tiled.join(sizes.withColumnRenamed("tile", "t"), F.col("tile") == F.col("t"))
-    block = F.when(F.col("blocks") > 2, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0)
-    return cut.select((F.col("tile") * most + block).cast("long").alias("tile"), "node", "copies", "unit", "p0", "p1"), n_tiles * most
-
-
-def _linked(usable: DataFrame, threshold: float) -> DataFrame:
+            one, other = rows_a[t][cuts_a[t][s]:cuts_a[t][s + 1]], rows_b[s][cuts_b[s][t]:cuts_b[s][t + 1]]
+        if not len(one) or not len(other):
+            continue
+        i, j = tile_links(a, b, threshold, one, other)
+        if same and s == t:
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            continue
+        np.add.at(counts, i, b.copies[j])
+        np.add.at(counts, j + shift, a.copies[i])
+        ends[0].append(i)
+        ends[1].append(j + shift)
+        if sum(map(len, ends[0])) > 1 << 21:
+            low = _stars(len(node), *map(np.concatenate, ends))
+            at = np.flatnonzero(low != np.arange(len(node)))
+            ends = [[at], [low[at]]]
+    hit = np.flatnonzero(counts)
+    low = _stars(len(node), *map(np.concatenate, ends)) if len(hit) else hit
+    return node[hit], counts[hit], node[low[hit]] if len(hit) else hit
+
+
+def _compare(width: int, kind: str, axes: np.ndarray, threshold: float):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, _Block] = {}
+
+        def block(row: dict[str, pa.Scalar], side: str) -> _Block:
+            number = row[f"{side}_block"].as_py()
+            found = kept.pop(number, None) or _Block(row, side, width, kind, axes)
+            kept[number] = found  # the last one used
+            if len(kept) > 6:
+                del kept[next(iter(kept))]
+            return found
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: column[k] for name, column in zip(batch.schema.names, batch.columns)}
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _links(block(row, "a"), block(row, "b"), threshold)], ["node", "n", "low"])
+
+    return compare
+
+
+def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Each pair of blocks that may hold links, once, and each block with itself.
+
+    Every task reads its two shares of the settled blocks, so no pair is shuffled or written. Unit vectors with a cosine of at
+    least t are at most sqrt(2 - 2 t) apart, so blocks whose boxes along the two first axes are farther apart hold no link.
+    """
+    a, b = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "ab")
+    gap = [F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")) for k in (0, 1)]
+    even = (F.col("a_block") + F.col("b_block")) % 2 == 0
+    once = (F.col("a_block") == F.col("b_block")) | (F.when(even, F.col("a_block") < F.col("b_block")).otherwise(F.col("a_block") > F.col("b_block")))
+    return a.join(b.hint("shuffle_replicate_nl"), once & (gap[0] * gap[0] + gap[1] * gap[1] <= 2 - 2 * threshold + SLACK))
+
+
+def _linked(same: DataFrame, width: int, kind: str, nodes: DataFrame, axes: np.ndarray, centres: np.ndarray, threshold: float) -> DataFrame:
     """``(p, n_links, component_id)`` of each distinct unit vector of one length."""
-    nodes = settle(usable.groupBy("print").agg(
-        F.min("id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit"),
-        F.first("p0").alias("p0"), F.first("p1").alias("p1")), "embedding-nodes")
-    tiled, n_tiles = _tiles(nodes, nodes.count())
-    tiled = settle(tiled.select(F.col("tile").cast("long").alias("tile"), "node", "copies", "unit", "p0", "p1"), "embedding-tiles")
-    cut, n_tiles = _split_ties(tiled, n_tiles)
-    tiled = tiled if cut is tiled else settle(cut, "embedding-blocks")
-    pairs = settle(_tile_pairs(tiled, threshold), "embedding-pairs")
-    sent = tiled.join(pairs, "tile").select("a", "b", "tile", "node", "copies", "unit")
-    sent = sent.withColumn("pair", F.col("a") * n_tiles + F.col("b"))
-    partial = settle(sent.groupBy("pair").applyInPandas(_compare(threshold), "node long, n long, low long"), "embedding-links")
+    sizes = {r["tile"]: r["count"] for r in nodes.groupBy("tile").count().collect()}
+    most = min(max(1, BLOCK // (width * np.dtype(kind).itemsize)), max(LEAST, sum(sizes.values()) // 24))
+    *place, n_blocks = _places(sizes, len(centres), most)
+    vectors = _marked(same.where("id IS NOT NULL"), width, centres, place).groupBy("print").agg(
+        F.min("id").alias("node"), F.count("*").alias("copies"), F.min("block").alias("block"), F.first("vector").alias("vector"))
+    packed = vectors.drop("print").repartition(n_blocks, "block").groupBy("block").applyInPandas(_pack(width, kind, axes, centres, place, threshold), _BLOCK)
+    pairs = _block_pairs(settle(packed, "embedding-blocks"), threshold)
+    partial = settle(pairs.mapInArrow(_compare(width, kind, axes, threshold), "node long, n long, low long"), "embedding-links")
     groups = settle(components(partial.select(F.col("node").alias("u"), F.col("low").alias("v"))), "embedding-components")
     links = settle(partial.groupBy("node").agg(F.sum("n").alias("n")), "embedding-counts")
     of_node = nodes.select("print", "node", "copies").join(links.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").join(
@@ -181,23 +351,29 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "e
 
     Vectors of equal length link when their cosine in double precision reaches ``threshold``. Vectors that are
     null, zero, or that hold null or non-finite parts link with
-    nothing. Vectors whose unit vectors are equal are one node with a count of copies. Nodes are sorted into tiles along the first two principal axes; two tiles
-    are compared unless their extents along these axes are too far apart for the threshold, and
-    a task holds two tiles; tiles of equal coordinates are cut by hash. Components keep the smallest id. Repeated rows count as copies. Ids are
+    nothing. Vectors whose unit vectors are equal are one node with a count of copies. Nodes form tiles around vectors of the table, in the order of the
+    first two principal axes, and tiles form blocks. A task reads two shares of the blocks and compares tiles unless their extents along the
+    axes, or the angles with a tile's middle, are too far apart for the threshold; a tile too large for a block is dealt by hash. Components keep the smallest id.
+    Repeated rows count as copies. Ids are
     unique integers. Each length that at least two vectors have is worked on by itself, with axes of its own, one after the other: a table has few.
     Further columns are ignored. An empty table gives no rows.
     """
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
+    parts, kind = ("float", "f4") if isinstance(vectors.schema[embedding].dataType.elementType, FloatType) else ("double", "f8")
+    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast(f"array<{parts}>").alias("v"))
     lengths = own.where(F.size("v") > 0).groupBy(F.size("v").alias("width")).count().where("count > 1")
     every = own.select("id", F.lit(None).cast("string").alias("print"))
     results = None
-    widths = sorted(r["width"] for r in lengths.collect())
+    counts = {r["width"]: r["count"] for r in lengths.collect()}
+    widths = sorted(counts)
     for width in widths:
         same = own.where(F.size("v") == width)
-        turned = settle(_rotated(same, principal_axes(same, width, "v")).withColumn("print", F.concat_ws(":", F.lit(width), F.sha2("unit", 256))), "embedding-units")
-        turned = turned.withColumn("print", F.when(F.col("unit").isNotNull(), F.col("print")))
-        found = _linked(turned.where("unit IS NOT NULL AND id IS NOT NULL"), threshold)
-        rows = turned.select("id", "print").join(found, F.col("print") == F.col("p"), "left").select("id", "n_links", "component_id")
+        axes = principal_axes(same, width, "v")
+        centres = _centres(same, width, counts[width], axes)
+        marks = settle(_marked(same, width, centres), "embedding-prints")
+        nodes = settle(marks.where("print IS NOT NULL AND id IS NOT NULL").groupBy("print").agg(
+            F.min("id").alias("node"), F.count("*").alias("copies"), F.min("tile").alias("tile")), "embedding-nodes")
+        found = _linked(same, width, kind, nodes, axes, centres, threshold)
+        rows = marks.select("id", "print").join(found, F.col("print") == F.col("p"), "left").select("id", "n_links", "component_id")
         results = rows if results is None else results.unionByName(rows)
     rest = own.where(~F.coalesce(F.size("v").isin(widths), F.lit(False)) | F.col("v").isNull()) if widths else every
     alone = rest.select("id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
@@ -205,25 +381,3 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "e
     component = F.coalesce("component_id", "id")
     return whole.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                         component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
-
-
-def _tile_pairs(tiled: DataFrame, threshold: float) -> DataFrame:
-    """``(tile, a, b)``: for each tile the pairs of tiles to compare it in.
-
-    Unit vectors with a cosine of at least t are at most sqrt(2 - 2 t) apart, so tiles whose
-    boxes along the two first axes are farther apart hold no link. Boxes, one small row a tile, meet in the cells of a grid of that
-    width that they touch or come close to; every pair within reach shares one.
-    """
-    reach = float(np.sqrt(max(2 - 2 * threshold, 0) + SLACK))
-    cell = max(reach, 0.05)
-    boxes = tiled.groupBy("tile").agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(("p0", "p1")) for n, f in (("lo", F.min), ("hi", F.max))])
-    cells = boxes
-    for k in (0, 1):
-        first, last = (F.floor((F.col(f"{n}{k}") + side * reach / 2) / cell).cast("int") for n, side in (("lo", -1), ("hi", 1)))
-        cells = cells.withColumn(f"cell{k}", F.explode(F.sequence(first, last)))
-    a = cells.select("cell0", "cell1", F.col("tile").alias("a"), *[F.col(f"{n}{k}").alias(f"a_{n}{k}") for k in (0, 1) for n in ("lo", "hi")])
-    b = cells.select("cell0", "cell1", F.col("tile").alias("b"), *[F.col(f"{n}{k}").alias(f"b_{n}{k}") for k in (0, 1) for n in ("lo", "hi")])
-    gap = [F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")) for k in (0, 1)]
-    near = a.join(b, ["cell0", "cell1"]).where((F.col("a") <= F.col("b")) & (gap[0] * gap[0] + gap[1] * gap[1] <= 2 - 2 * threshold + SLACK))
-    half = near.select("a", "b").distinct()
-    return half.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("tile")).select("tile", "a", "b")

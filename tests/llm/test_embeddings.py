@@ -93,3 +93,51 @@ def test_tiles_of_equal_coordinates_are_cut(spark, monkeypatch):
     rows += [[float(np.float32(x)) for x in rng.normal(size=12)] for _ in range(40)]
     df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in enumerate(rows)], SCHEMA).repartition(4)
     assert as_dict(embeddings.near_vectors(df)) == slow(list(enumerate(rows)))
+
+
+def test_pairs_of_tiles_are_neither_shuffled_nor_written(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    monkeypatch.setattr(embeddings, "LEAST", 64, raising=False)
+    frames = {}
+
+    def settle(df, name, known=embeddings.settle):
+        frames[name] = known(df, name), df._jdf.queryExecution().executedPlan().toString()
+        return frames[name][0]
+
+    monkeypatch.setattr(embeddings, "settle", settle)
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(900, 24))  # a flat spectrum: nearly all tiles are within reach of each other
+    rows[450:600] = rows[0] + 0.1 * rng.normal(size=(150, 24))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], SCHEMA).repartition(4)
+    assert as_dict(embeddings.near_vectors(df)) == slow(rows)
+    assert "Exchange" not in frames["embedding-links"][1]
+    held = sum(sum(len(x) for x in row if isinstance(x, (bytes, bytearray))) for df, _ in frames.values() for row in df.collect())
+    assert held < 3 * 900 * 24 * 4  # vectors are written once, as they were given
+
+
+def test_wide_vectors_and_tiles_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "LEAST", 1, raising=False)
+    monkeypatch.setattr(embeddings, "BLOCK", 40 * 150 * 4, raising=False)
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(150, 150))
+    rows[:60] = rows[100] + 0.25 * rng.normal(size=(60, 150))
+    rows = np.vstack([rows, rows[0] + rng.normal(size=(150, 150)) * 0.05])  # one tile larger than a block
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], SCHEMA).repartition(4)
+    assert as_dict(embeddings.near_vectors(df)) == slow(rows)
+
+
+@pytest.mark.parametrize("width", [3, 33, 200])
+def test_links_of_named_rows_close_to_the_threshold(width):
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(60, width))
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (base, base + rng.normal(size=base.shape) * 0.33 * abs(rng.normal(size=(60, 1)))))
+    for threshold in [0.0, 0.9, 0.95, *np.sort((a @ b.T).ravel())[-20:]]:
+        one, other = np.arange(0, 60, 2), np.arange(5, 60)
+        i, j = embeddings.tile_links(a, b, threshold, one, other)
+        products = np.einsum("ij,kj->ik", a, b)
+        sure = {(x, y) for x in one for y in other if products[x, y] >= threshold + 1e-12}
+        found = set(zip(i.tolist(), j.tolist()))
+        assert sure <= found and all(products[x, y] >= threshold - 1e-12 for x, y in found)
