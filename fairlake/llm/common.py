@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again, which cuts its lineage."""
+def settle(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again, which cuts its lineage. ``rows_a_file``: at most so many, 0 for any number."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,8 @@ from fairlake.llm.components import components
 
 #: Rows of a tile, rows of a block of tiles at least, bytes of its vectors at most, leading dimensions multiplied at first.
 TILE, LEAST, BLOCK, LEAD = 2048, 8192, 1 << 23, 32
+#: Blocks that a worker holds beside the one they are compared with.
+HELD = 6
 #: Room for rounding in the bounds.
 SLACK = 1e-9
 
@@ -86,10 +88,12 @@ class Vectors:
         return _unit(self.rows[own])[0][place]
 
 
-def tile_links(a: np.ndarray | Vectors, b: np.ndarray | Vectors, threshold: float,
-               rows_a: np.ndarray | None = None, rows_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(a: np.ndarray | Vectors, b: np.ndarray | Vectors, threshold: float, rows_a: np.ndarray | None = None, rows_b: np.ndarray | None = None,
+               leads: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (of those named, if any are) whose cosine reaches the threshold, leading dimensions first.
 
+    ``leads``: the leading dimensions of the named rows, where they have been taken already.
+
     What the other dimensions can add is at most the product of the norms of both suffixes; a pair
     goes as soon as the sum so far and this bound stay below the threshold. Single precision with
     room for its rounding sorts out pairs, double precision decides those that stand close to the threshold.
@@ -97,19 +101,20 @@ def tile_links(a: np.ndarray | Vectors, b: np.ndarray | Vectors, threshold: floa
     a, b = (x if isinstance(x, Vectors) else Vectors(x) for x in (a, b))
     rows_a, rows_b = (np.arange(len(x.rows)) if r is None else r for x, r in ((a, rows_a), (b, rows_b)))
     width = a.turned.shape[1]
+    first = min(LEAD, width)
+    lead_a, lead_b = leads or (a.lead(first)[rows_a], b.lead(first)[rows_b])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for p in range(0, len(rows_a), 512):
         for q in range(0, len(rows_b), 4096):
+            k, most = first, lead_a[p:p + 512] @ lead_b[q:q + 4096].T
+            if most.max() < threshold - _room(k):
+                continue
             one, other = rows_a[p:p + 512], rows_b[q:q + 4096]
-            k = min(LEAD, width)
-            while True:
+            hits = np.flatnonzero(most >= threshold - _room(k))
+            while k < width and len(hits) > most.size // 64:  # too many to look at one by one
+                k = min(4 * k, width)
                 most = a.lead(k)[one] @ b.lead(k)[other].T
                 hits = np.flatnonzero(most >= threshold - _room(k))
-                if k == width or len(hits) <= most.size // 64:
-                    break
-                k = min(4 * k, width)  # too many to look at one by one
-            if not len(hits):
-                continue
             i, j = np.divmod(hits, len(other))
             i, j = one[i], other[j]
             ok = most.ravel()[hits] >= threshold + _room(k) if k == width else np.zeros(len(hits), bool)
@@ -238,11 +243,10 @@ class _Block(Vectors):
         self.node, self.copies, self.starts = of("node", np.int64), of("copies", np.int64), of("starts", np.int64)
         self.middles, self.least, self.boxes = of("middles", np.float32).reshape(-1, width), of("least", np.float64), of("boxes", np.float64).reshape(-1, 4)
 
-    def close(self, other: _Block) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def close(self, other: _Block) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each piece of the other block the own rows that can link with it, and where in these the own pieces start."""
         near = other.middles @ self.turned.T >= other.least[:, None].astype(np.float32)
-        rows = [np.flatnonzero(x) for x in near]
-        return rows, [np.searchsorted(x, self.starts) for x in rows]
+        return [(rows, np.searchsorted(rows, self.starts)) for rows in map(np.flatnonzero, near)]
 
 
 def _stars(count: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -265,18 +269,19 @@ def _links(a: _Block, b: _Block, threshold: float) -> tuple[np.ndarray, np.ndarr
     near = gap[0] ** 2 + gap[1] ** 2 <= 2 - 2 * threshold + SLACK
     if same:
         near = np.triu(near)
-    (rows_a, cuts_a), (rows_b, cuts_b) = a.close(b), b.close(a)
+    close_a, close_b = a.close(b), b.close(a)
     shift = 0 if same else len(a.rows)
     counts, node = np.zeros(shift + len(b.rows), np.int64), b.node if same else np.concatenate([a.node, b.node])
     ends: list[list[np.ndarray]] = [[], []]
+    gathered, first = -1, min(LEAD, a.turned.shape[1])
     for s, t in zip(*np.nonzero(near)):
-        if same and s == t:
-            one = other = np.arange(a.starts[s], a.starts[s + 1])
-        else:
-            one, other = rows_a[t][cuts_a[t][s]:cuts_a[t][s + 1]], rows_b[s][cuts_b[s][t]:cuts_b[s][t + 1]]
-        if not len(one) or not len(other):
+        (rows_a, cuts_a), (rows_b, cuts_b) = close_a[t], close_b[s]
+        rows_a, at_b = rows_a[cuts_a[s]:cuts_a[s + 1]], slice(cuts_b[t], cuts_b[t + 1])
+        if not len(rows_a) or at_b.start == at_b.stop:
             continue
-        i, j = tile_links(a, b, threshold, one, other)
+        if gathered != s:
+            gathered, lead_b = s, b.lead(first)[rows_b]
+        i, j = tile_links(a, b, threshold, rows_a, rows_b[at_b], (a.lead(first)[rows_a], lead_b[at_b]))
         if same and s == t:
             i, j = i[i < j], j[i < j]
         if not len(i):
@@ -296,35 +301,47 @@ def _links(a: _Block, b: _Block, threshold: float) -> tuple[np.ndarray, np.ndarr
 
 def _compare(width: int, kind: str, axes: np.ndarray, threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, _Block] = {}
-
-        def block(row: dict[str, pa.Scalar], side: str) -> _Block:
-            number = row[f"{side}_block"].as_py()
-            found = kept.pop(number, None) or _Block(row, side, width, kind, axes)
-            kept[number] = found  # the last one used
-            if len(kept) > 6:
-                del kept[next(iter(kept))]
-            return found
-
+        left, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: column[k] for name, column in zip(batch.schema.names, batch.columns)}
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _links(block(row, "a"), block(row, "b"), threshold)], ["node", "n", "low"])
+                a, b = row["a_block"].as_py(), row["b_block"].as_py()
+                if row["a_vector"].is_valid:
+                    left = a, _Block(row, "a", width, kind, axes)
+                if row["b_vector"].is_valid:
+                    other = left[1] if a == b else _Block(row, "b", width, kind, axes)
+                    if row["hold"].as_py():
+                        held[b] = other
+                else:
+                    other = held[b]
+                if row["wanted"].as_py():
+                    if left[0] != a:
+                        raise ValueError("blocks came in another order")
+                    found = _links(left[1], left[1] if a == b else other, threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "n", "low"])
 
     return compare
 
 
-def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+def _block_pairs(blocks: DataFrame, n_blocks: int, threshold: float) -> DataFrame:
     """Each pair of blocks that may hold links, once, and each block with itself.
 
-    Every task reads its two shares of the settled blocks, so no pair is shuffled or written. Unit vectors with a cosine of at
+    Every task reads its two shares of the settled blocks, so no pair is shuffled or written. Its worker gets a block of the first share
+    once, and of the other one with the first of these only if it can hold it. Unit vectors with a cosine of at
     least t are at most sqrt(2 - 2 t) apart, so blocks whose boxes along the two first axes are farther apart hold no link.
     """
-    a, b = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "ab")
+    least = min(n_blocks, int(2 * blocks.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    a, b = (blocks.coalesce(max(1, n_blocks // share, least)).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).select(
+        *[F.col(c).alias(f"{side}_{c}") for c in (*blocks.columns, "at")]) for side, share in (("a", 3 * HELD), ("b", HELD)))
     gap = [F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")) for k in (0, 1)]
     even = (F.col("a_block") + F.col("b_block")) % 2 == 0
     once = (F.col("a_block") == F.col("b_block")) | (F.when(even, F.col("a_block") < F.col("b_block")).otherwise(F.col("a_block") > F.col("b_block")))
-    return a.join(b.hint("shuffle_replicate_nl"), once & (gap[0] * gap[0] + gap[1] * gap[1] <= 2 - 2 * threshold + SLACK))
+    wanted = once & (gap[0] * gap[0] + gap[1] * gap[1] <= 2 - 2 * threshold + SLACK)
+    hold = F.col("b_at") < HELD
+    sent = {"a": F.col("b_at") == 0, "b": (F.col("a_at") == 0) | ~hold}
+    return a.join(b.hint("shuffle_replicate_nl"), wanted | (F.col("a_at") == 0) | (F.col("b_at") == 0)).select(
+        "a_block", "b_block", wanted.alias("wanted"), hold.alias("hold"),
+        *[F.when(sent[side], F.col(f"{side}_{c}")).alias(f"{side}_{c}") for side in "ab" for c in ("node", "copies", "vector", "starts", "middles", "least", "boxes")])
 
 
 def _linked(same: DataFrame, width: int, kind: str, nodes: DataFrame, axes: np.ndarray, centres: np.ndarray, threshold: float) -> DataFrame:
@@ -335,7 +352,7 @@ def _linked(same: DataFrame, width: int, kind: str, nodes: DataFrame, axes: np.n
     vectors = _marked(same.where("id IS NOT NULL"), width, centres, place).groupBy("print").agg(
         F.min("id").alias("node"), F.count("*").alias("copies"), F.min("block").alias("block"), F.first("vector").alias("vector"))
     packed = vectors.drop("print").repartition(n_blocks, "block").groupBy("block").applyInPandas(_pack(width, kind, axes, centres, place, threshold), _BLOCK)
-    pairs = _block_pairs(settle(packed, "embedding-blocks"), threshold)
+    pairs = _block_pairs(settle(packed, "embedding-blocks", 1), n_blocks, threshold)
     partial = settle(pairs.mapInArrow(_compare(width, kind, axes, threshold), "node long, n long, low long"), "embedding-links")
     groups = settle(components(partial.select(F.col("node").alias("u"), F.col("low").alias("v"))), "embedding-components")
     links = settle(partial.groupBy("node").agg(F.sum("n").alias("n")), "embedding-counts")

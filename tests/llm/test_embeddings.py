@@ -100,8 +100,8 @@ def test_pairs_of_tiles_are_neither_shuffled_nor_written(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "LEAST", 64, raising=False)
     frames = {}
 
-    def settle(df, name, known=embeddings.settle):
-        frames[name] = known(df, name), df._jdf.queryExecution().executedPlan().toString()
+    def settle(df, name, *more, known=embeddings.settle):
+        frames[name] = known(df, name, *more), df._jdf.queryExecution().executedPlan().toString()
         return frames[name][0]
 
     monkeypatch.setattr(embeddings, "settle", settle)
@@ -141,3 +141,16 @@ def test_links_of_named_rows_close_to_the_threshold(width):
         sure = {(x, y) for x in one for y in other if products[x, y] >= threshold + 1e-12}
         found = set(zip(i.tolist(), j.tolist()))
         assert sure <= found and all(products[x, y] >= threshold - 1e-12 for x, y in found)
+
+
+@pytest.mark.parametrize("held", [1, 3])
+def test_shares_of_more_blocks_than_a_worker_holds(spark, monkeypatch, held):
+    for name, value in {"TILE": 16, "LEAST": 1, "BLOCK": 30 * 20 * 4, "HELD": held}.items():
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    rng = np.random.default_rng(13)
+    rows = rng.normal(size=(500, 20))
+    rows[::7] = rows[1] + 0.15 * rng.normal(size=rows[::7].shape)
+    rows[::11] = rows[2] + 0.25 * rng.normal(size=rows[::11].shape)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], SCHEMA).repartition(4)
+    assert as_dict(embeddings.near_vectors(df)) == slow(rows)
