@@ -18,7 +18,7 @@ from fairlake.llm.components import components
 #: Rows of a tile, rows of a block of tiles at least, bytes of its vectors at most, leading dimensions multiplied at first.
 TILE, LEAST, BLOCK, LEAD = 2048, 8192, 1 << 23, 32
 #: Blocks that a worker holds beside the one they are compared with.
-HELD = 6
+HELD = 4
 #: Room for rounding in the bounds.
 SLACK = 1e-9
 
@@ -68,8 +68,10 @@ class Vectors:
     """Vectors as given, and as unit vectors along the axes in single precision."""
 
     def __init__(self, rows: np.ndarray, axes: np.ndarray | None = None):
-        units = _unit(rows)[0]
-        self.rows, self.turned = rows, (units if axes is None else units @ axes).astype(np.float32)
+        self.rows, self.turned = rows, np.empty(rows.shape, np.float32)
+        for k in range(0, len(rows), 4096):
+            units = _unit(rows[k:k + 4096])[0]
+            self.turned[k:k + 4096] = units if axes is None else units @ axes
         self._leads: dict[int, np.ndarray] = {}
 
     def lead(self, k: int) -> np.ndarray:
